@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -300,7 +301,7 @@ def surrogate_signals(
 
 def movement_epoch_features(
     df: DataFrame, keys: Sequence[str] = ("record",), t: str = "t", us: str = "us", interval: float = 30,
-    x: str = "x", y: str = "y", z: str = "z",
+    x: str = "x", y: str = "y", z: str = "z", diff_seconds: Sequence[int] = DIFF_SECONDS,
 ) -> DataFrame:
     """Epoch statistics of ENMO, z-angle and inactivity index: 36 columns."""
     signals = surrogate_signals(df, keys, t, us, x, y, z)
@@ -310,8 +311,8 @@ def movement_epoch_features(
             F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("v")) for n in ("enmo", "angle_z", "lids")])
         ).alias("_s"),
     ).select(*keys, us, "_s.signal", "_s.v")
-    stats = epoch_stats(stacked, "v", [*keys, "signal"], us, interval)
-    names = list(STAT_NAMES) + [f"{d}{s}" for s in DIFF_SECONDS for d in ("prev", "next")]
+    stats = epoch_stats(stacked, "v", [*keys, "signal"], us, interval, diff_seconds=diff_seconds)
+    names = list(STAT_NAMES) + [f"{d}{s}" for s in diff_seconds for d in ("prev", "next")]
     picked = [
         F.max(F.when(F.col("signal") == s, F.col(n))).alias(f"{s}_{n}")
         for s in ("enmo", "angle_z", "lids") for n in names
@@ -364,8 +365,6 @@ def mean_ci(df: DataFrame, value: str, by: Sequence[str], confidence: float = 0.
 
     The t quantile is evaluated once per distinct group size, in tasks.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def quantile_of(dof: pd.Series) -> pd.Series:
         known = {n: t_quantile(confidence, int(n)) if n > 0 else float("nan") for n in dof.dropna().unique()}

@@ -183,7 +183,8 @@ def semantic_grid(
     start: str = "start", stop: str = "stop",
 ) -> DataFrame:
     """0/1 grid of ``size`` cells for every record."""
-    zero = records.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).cast("long").alias("cell"), F.lit(0).alias("y"))
+    cells = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    zero = records.select(*keys, F.explode(cells).alias("cell"), F.lit(0).alias("y"))
     one = grid_cells(events, size, so, keys, start, stop).withColumn("y", F.lit(1))
     return zero.unionByName(one).groupBy(*keys, "cell").agg(F.max("y").alias("y"))
 
@@ -283,9 +284,9 @@ def stretches(
     b = floor_div(F.col(start), bucket)
     reached = running_max(events, keys, b, order, stop, "_reach")
     head = F.col("_reach").isNull() | (F.col(start) >= F.col("_reach"))
-    heads = reached.withColumn("_head", F.when(head, F.col(start))).drop("_reach")
-    seen = running_max(heads, keys, b, order, "_head", "_seen")
-    return seen.withColumn("_stretch", F.greatest("_head", "_seen")).drop("_head", "_seen")
+    heads = reached.withColumn("_opens", F.when(head, F.col(start))).drop("_reach")
+    seen = running_max(heads, keys, b, order, "_opens", "_seen")
+    return seen.withColumn("_stretch", F.greatest("_opens", "_seen")).drop("_opens", "_seen")
 
 
 def greedy_keep(start: np.ndarray, stop: np.ndarray, order: np.ndarray, overlap: float) -> np.ndarray:

@@ -76,17 +76,14 @@ def attach_features(
 # ---- labels ---------------------------------------------------------------------------------
 
 
-def window_hits(
-    windows: DataFrame, intervals: DataFrame, window: int, resolution: float, so: float | None = None,
-    minimum_duration: float = 10, record: str = "record",
+def window_overlaps(
+    windows: DataFrame, intervals: DataFrame, window: int, minimum_duration: float = 10, record: str = "record"
 ) -> DataFrame:
-    """Cells of each window set by each overlapping event (spans, not yet exploded).
+    """Events meeting each window (``_s``, ``_e`` in absolute seconds).
 
     Both sides carry time buckets of one window length; a pair is judged only in
     the bucket where its overlap begins.
     """
-    so = 7.5 / resolution if so is None else so
-    n = int(window // resolution)
     stop_w = F.col("win_start") + F.lit(window)
     w = windows.select(record, "win", F.col("start").alias("win_start")).withColumn(
         "_bucket", F.explode(F.sequence(floor_div(F.col("win_start"), window), floor_div(stop_w, window)))
@@ -95,11 +92,21 @@ def window_hits(
         record, "label", "kind", F.col("start").alias("_s"), (F.col("start") + F.col("duration")).alias("_e")
     )
     e = e.withColumn("_bucket", F.explode(F.sequence(floor_div(F.col("_s"), window), floor_div(F.col("_e"), window))))
-    met = (
+    return (
         w.join(e, [record, "_bucket"])
         .where((F.col("_s") < stop_w) & (F.col("_e") > F.col("win_start")))
         .where(F.col("_bucket") == floor_div(F.greatest("win_start", "_s"), window))
     )
+
+
+def window_hits(
+    windows: DataFrame, intervals: DataFrame, window: int, resolution: float, so: float | None = None,
+    minimum_duration: float = 10, record: str = "record",
+) -> DataFrame:
+    """Cell spans of each window set by each overlapping event (not yet exploded)."""
+    so = 7.5 / resolution if so is None else so
+    n = int(window // resolution)
+    met = window_overlaps(windows, intervals, window, minimum_duration, record)
     a = F.greatest((F.col("_s") - F.col("win_start")) / F.lit(float(resolution)), F.lit(0.0))
     b = F.least((F.col("_e") - F.col("win_start")) / F.lit(float(resolution)), F.lit(float(n)))
     first, last = cell_span(F.col("_a"), F.col("_b"), n, so)
@@ -111,6 +118,18 @@ def window_hits(
     )
 
 
+# Cells packed into one integer while labels are aggregated.
+WORD = 32
+
+
+def _packed(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spans ``[first, last)`` as one row per touched word with a bit per cell."""
+    w = hits.withColumn("word", F.explode(F.sequence(floor_div(F.col("first"), WORD), floor_div(F.col("last") - 1, WORD))))
+    w = w.withColumn("_lo", F.greatest(F.col("first") - F.col("word") * WORD, F.lit(0)).cast("int"))
+    w = w.withColumn("_hi", F.least(F.col("last") - F.col("word") * WORD, F.lit(WORD)).cast("int"))
+    return w.select(*keys, "word", F.expr("shiftleft(shiftleft(1L, _hi - _lo) - 1L, _lo)").alias("bits"))
+
+
 def window_labels(
     windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
     so: float | None = None, use_mask: bool = True, minimum_duration: float = 10, record: str = "record",
@@ -118,42 +137,45 @@ def window_labels(
     """Full (window, class, cell) grid: 1 where an event of the class covers the cell, 0
     elsewhere, -1 in every class where a mask event covers it.
 
-    Calendar, events and masks are one union and one aggregation by cell.
+    Calendar, events and masks meet in one aggregation on words of 32 cells; cells
+    are unpacked after the shuffle, so the dense grid itself is never shuffled.
     """
     n = int(window // resolution)
     names = F.array(*[F.lit(c) for c in classes])
+    key = [record, "win", "win_start"]
+    none = F.lit(0).cast("long")
     hits = window_hits(windows, intervals, window, resolution, so, minimum_duration, record)
-    cells = F.sequence(F.col("first"), F.col("last") - 1)
-    events = hits.where((F.col("kind") == "event") & F.col("label").isin(list(classes))).select(
-        record, "win", "win_start", F.col("label").alias("class"), F.explode(cells).alias("cell"), F.lit(1).alias("_code")
+    found = hits.where((F.col("kind") == "event") & F.col("label").isin(list(classes)))
+    events = _packed(found, [*key, F.col("label").alias("class")]).select(
+        *key, "class", "word", F.col("bits").alias("_event"), none.alias("_mask")
     )
-    zero = (
+    words = F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // WORD).cast("long"))
+    calendar = (
         windows.select(record, "win", F.col("start").alias("win_start"), F.explode(names).alias("class"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("cell"))
-        .withColumn("_code", F.lit(0))
+        .select("*", F.explode(words).alias("word"), none.alias("_event"), none.alias("_mask"))
     )
-    all_ = zero.unionByName(events)
+    all_ = calendar.unionByName(events)
     if use_mask:
-        masks = (
-            hits.where(F.col("kind") == "mask")
-            .select(record, "win", "win_start", F.explode(cells).alias("cell"), F.lit(2).alias("_code"))
-            .distinct()
-            .withColumn("class", F.explode(names))
+        masks = _packed(hits.where(F.col("kind") == "mask"), key).groupBy(*key, "word").agg(F.bit_or("bits").alias("_mask"))
+        all_ = all_.unionByName(
+            masks.select(*key, F.explode(names).alias("class"), "word", none.alias("_event"), "_mask")
         )
-        all_ = all_.unionByName(masks)
-    code = F.max("_code")
-    return all_.groupBy(record, "win", "win_start", "class", "cell").agg(
-        F.when(code == 2, F.lit(-1.0)).otherwise(code.cast("double")).alias("y_true")
-    )
+    packed = all_.groupBy(*key, "class", "word").agg(F.bit_or("_event").alias("_event"), F.bit_or("_mask").alias("_mask"))
+    top = F.least((F.col("word") + 1) * WORD, F.lit(n).cast("long")) - 1
+    cells = packed.withColumn("cell", F.explode(F.sequence(F.col("word") * WORD, top)))
+    bit = "cast(cell - word * 32 as int)"
+    masked, hit = (F.expr(f"shiftright({c}, {bit}) & 1L = 1L") for c in ("_mask", "_event"))
+    y = F.when(masked, F.lit(-1.0)).when(hit, F.lit(1.0)).otherwise(F.lit(0.0))
+    return cells.select(*key, "class", "cell", y.alias("y_true"))
 
 
 def any_event(
-    windows: DataFrame, intervals: DataFrame, window: int, resolution: float, so: float | None = None, record: str = "record"
+    windows: DataFrame, intervals: DataFrame, window: int, minimum_duration: float = 10, record: str = "record"
 ) -> DataFrame:
-    """1 for windows with at least one kept event, else 0."""
+    """1 for windows meeting at least one event longer than the minimum, else 0."""
     hit = (
-        window_hits(windows, intervals, window, resolution, so, record=record)
-        .where(F.col("kind") == "event").select(record, "win", F.lit(1).alias("y")).distinct()
+        window_overlaps(windows, intervals.where(F.col("kind") == "event"), window, minimum_duration, record)
+        .select(record, "win", F.lit(1).alias("y")).distinct()
     )
     return windows.select(record, "win").join(hit, [record, "win"], "left").fillna(0, ["y"])
 

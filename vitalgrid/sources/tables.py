@@ -59,6 +59,13 @@ def read_annotations_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def annotations_from_json(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """The same for JSON lists held in a string column."""
+    item = F.from_json(column, "array<struct<start: bigint, `end`: bigint, label: string>>")
+    rows = df.select(*keys, F.explode(item).alias("_a"))
+    return annotations(rows.select(*keys, "_a.label", "_a.start", "_a.end"))
+
+
 def annotations(source: DataFrame) -> DataFrame:
     """Start/end rows as start/duration rows."""
     return source.withColumn("duration", F.col("end") - F.col("start")).drop("end")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +35,14 @@ def histogram_entropy(x: np.ndarray, bins: int) -> float:
     return float(-(p * np.log(p)).sum())
 
 
+def _entropy(values: str, bins: int) -> Column:
+    @F.pandas_udf("double")
+    def entropy(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: histogram_entropy(np.asarray(x, dtype=float), bins))
+
+    return entropy(values)
+
+
 def stream_epoch_stats_full(
     stream: DataFrame, keys: Sequence[str] = ("record",), ts: str = "ts", value: str = "value",
     interval: str = "30 seconds", delay: str = "1 minute", bins: Sequence[int] = (20, 200),
@@ -51,13 +59,7 @@ def stream_epoch_stats_full(
     )
     deviations = F.aggregate("_v", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("mean")))
     cols = [*keys, F.col("window.start").alias("start"), "mean", "std", "range", (deviations / F.size("_v")).alias("mad")]
-    for b in bins:
-
-        @F.pandas_udf("double")
-        def entropy(lists: pd.Series, b: int = b) -> pd.Series:
-            return lists.map(lambda x: histogram_entropy(np.asarray(x, dtype=float), b))
-
-        cols.append(entropy("_v").alias(f"entropy{b}"))
+    cols += [_entropy("_v", b).alias(f"entropy{b}") for b in bins]
     return g.select(*cols)
 
 
