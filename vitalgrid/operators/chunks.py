@@ -55,6 +55,11 @@ def over_chunks(
     return out.drop("_chunk")
 
 
+def _nothing(schema: T.StructType) -> pd.DataFrame:
+    """Result of a chunk that only holds neighbours' rows."""
+    return pd.DataFrame(columns=schema.names)
+
+
 def halo_map(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,10 +89,10 @@ def halo_map(
         index = pdf[t].to_numpy()
         core = (index // chunk) == pdf["_chunk"].iloc[0]
         wanted = np.flatnonzero(core & (index % stride == 0))
+        if len(wanted) == 0:
+            return _nothing(schema)
         out = pdf.loc[wanted, names].copy()
-        result = fn(pdf, wanted) if len(wanted) else {}
-        for name in outputs:
-            column = result.get(name, np.zeros(0))
+        for name, column in fn(pdf, wanted).items():
             out[name] = list(column) if column.ndim > 1 else column
         return out
 
@@ -143,7 +148,7 @@ def frame_map(
         n_local = origin + int(index.max()) + 1
         count = min(per, (n_local - need) // hop - j0 + 1)
         if count <= 0:
-            return pd.DataFrame({f.name: [] for f in schema})
+            return _nothing(schema)
         view = np.lib.stride_tricks.sliding_window_view(dense, width)[::hop][:count]
         number = np.arange(j0, j0 + count, dtype=np.int64)
         result = kernel(np.ascontiguousarray(view), number, n_local)
@@ -266,6 +271,8 @@ def epoch_map(
         origin, n = int(pdf[t].iloc[0]), int(pdf[t].iloc[-1]) + 1
         e0 = int(pdf["_chunk"].iloc[0]) * per
         epochs = range(e0, min(e0 + per, n // window))
+        if len(epochs) == 0:
+            return _nothing(schema)
         rows = [
             np.atleast_1d(fn(x[max(e * window - ext, 0) - origin : min((e + 1) * window + ext, n) - origin]))
             for e in epochs

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,11 +141,8 @@ def cache_preprocessed(spark: SparkSession, root: str, spec, compute: Callable[[
     Only a finished write (its success marker present) counts as a hit.
     """
     path = f"{root.rstrip('/')}/{spec_key(spec)}"
-    try:
-        done = spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count() > 0
-    except AnalysisException:
-        done = False
-    if not done:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
