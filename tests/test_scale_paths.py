@@ -138,6 +138,35 @@ def test_nms_equals_greedy(spark, local):
     assert got == brute_nms(rows, 0.4)
 
 
+def test_champion_rounds_on_copies(spark):
+    """A crowd of equal and nearly equal events collapses to its best members."""
+    rng = np.random.default_rng(9)
+    rows = [(i, 100.0 + (i % 3), 130.0 + (i % 3), float(rng.random())) for i in range(300)]
+    rows += [(1000 + i, float(s), float(s + 2 ** (i % 9)), float(rng.random())) for i, s in enumerate(rng.integers(0, 300, 120))]
+    df = spark.createDataFrame([("r", "c", *r) for r in rows], "record string, class string, id long, start double, stop double, score double")
+    for t in (0.7, 0.2):
+        got = sorted(r.id for r in iv.champion_rounds(df, t, ["record", "class"]).collect())
+        assert got == brute_nms(rows, t)
+    crowded = iv.nms(df, 0.7, local_bucket=10)
+    assert sorted(r.id for r in crowded.collect()) == brute_nms(rows, 0.7)
+
+
+@pytest.mark.parametrize("threshold", [1, 5, 20])
+def test_interval_filters_equal_brute_force(spark, threshold):
+    rng = np.random.default_rng(11)
+    e = [(i, float(s), float(s + d)) for i, (s, d) in enumerate(zip(rng.integers(0, 500, 120), rng.integers(0, 40, 120)))]
+    k = [(int(s), int(d), "ab"[int(x)]) for s, d, x in zip(rng.integers(0, 500, 25), rng.integers(0, 60, 25), rng.integers(0, 2, 25))]
+    events = spark.createDataFrame([("r", *x) for x in e], "record string, id long, start double, stop double")
+    masks = spark.createDataFrame([("r", *x) for x in k], "record string, start long, duration long, label string")
+    ov = lambda a, m: max(0, min(a[2], m[0] + m[1]) - max(a[1], m[0]))
+    got = sorted(r.id for r in iv.discard_overlap(events, masks, threshold, bucket=30).collect())
+    assert got == [a[0] for a in e if max(ov(a, m) for m in k) < threshold]
+    got = sorted(r.id for r in iv.select_overlap(events, masks, threshold, bucket=30).collect())
+    assert got == [a[0] for a in e if all(max(ov(a, m) for m in k if m[2] == lab) > threshold for lab in "ab")]
+    other = events.withColumn("record", F.lit("q"))
+    assert iv.select_overlap(other, masks, threshold).count() == len(e)
+
+
 @pytest.mark.parametrize("bucket", [3, 40, 10_000])
 def test_overlap_pairs_equal_brute_force(spark, bucket):
     rng = np.random.default_rng(5)

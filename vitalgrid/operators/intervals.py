@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.model import CHUNK, EPS
-from vitalgrid.operators.chunks import floor_div, ordinal, running_max
+from vitalgrid.model import CHUNK, EPS, layout
+from vitalgrid.operators.chunks import floor_div, running_max
 from vitalgrid.operators.rolling import close_then_open, runs
 from vitalgrid.session import settle
 
@@ -93,18 +93,42 @@ def event_intervals(intervals: DataFrame, keys: Sequence[str] = ("record", "labe
     return intervals.select(*keys, "start", (F.col("start") + F.col("duration")).alias("stop"))
 
 
-def _floored(x: Column, resolution: float) -> Column:
-    return F.floor(x / F.lit(resolution)) * F.lit(resolution)
-
-
 def _aligned(intervals: DataFrame, resolution: float, keys) -> DataFrame:
+    """Interval ends floored to the resolution, in seconds."""
+    floored = lambda c: F.floor(c / F.lit(resolution)) * F.lit(resolution)
     start = F.col("start")
     return intervals.select(
-        *keys, "label", F.col("id"), _floored(start, resolution).alias("start"),
-        _floored(start + F.col("duration"), resolution).alias("stop"),
+        *keys, "label", floored(start).cast("double").alias("start"),
+        floored(start + F.col("duration")).cast("double").alias("stop"),
     )
 
 
+def _reaching(
+    events: DataFrame, intervals: DataFrame, keys: Sequence[str], threshold: float, strict: bool, bucket: float
+) -> DataFrame:
+    """Distinct event spans overlapped by some interval of their key by at least ``threshold``.
+
+    An overlap of ``h`` means ``start_i <= stop_e - h`` and ``stop_i >= start_e + h``
+    (both lengths being at least ``h``), so it is enough to know the largest stop
+    among the intervals starting early enough: a running maximum over one sorted
+    union, with no pairs at all. Copies are collapsed before the sort.
+    """
+    keys = list(keys)
+    span = F.col("stop") - F.col("start")
+    long_ = span > threshold if strict else span >= threshold
+    spans = events.select(*keys, F.col("start").cast("double"), F.col("stop").cast("double")).where(long_).distinct()
+    ask = spans.select(*keys, "start", "stop", (F.col("stop") - threshold).alias("_at"), F.lit(0 if strict else 1).alias("_side"))
+    tops = intervals.where(long_).groupBy(*keys, "start").agg(F.max("stop").alias("_top"))
+    know = tops.select(*keys, F.col("start").alias("_at"), F.lit(0 if not strict else 1).alias("_side"), "_top")
+    both = ask.unionByName(know, allowMissingColumns=True)
+    seen = running_max(
+        both, keys, floor_div(F.col("_at"), bucket), ["_at", "_side", "start", "stop"], "_top", "_seen"
+    ).where(F.col("start").isNotNull())
+    need = F.col("start") + threshold
+    hit = F.col("_seen") > need if strict else F.col("_seen") >= need
+    return seen.where(hit).select(*keys, "start", "stop")
+
+
 def discard_overlap(
     events: DataFrame, intervals: DataFrame, threshold: float, resolution: float = 1,
     keys: Sequence[str] = ("record",), bucket: float = 3600,
@@ -112,31 +136,26 @@ def discard_overlap(
     """Drop events overlapping any discard interval by ``threshold`` (> 0) seconds or more."""
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    pairs = overlap_pairs(events, _aligned(intervals, resolution, keys), keys, bucket)
-    hit = pairs.where(F.col("overlap") >= threshold).select(*keys, F.col("a_id").alias("id")).distinct()
-    return events.join(hit, [*keys, "id"], "left_anti")
+    hit = _reaching(events, _aligned(intervals, resolution, keys), keys, threshold, False, bucket)
+    return events.join(hit, [*keys, "start", "stop"], "left_anti")
 
 
 def select_overlap(
     events: DataFrame, intervals: DataFrame, threshold: float, resolution: float = 1,
     keys: Sequence[str] = ("record",), bucket: float = 3600,
 ) -> DataFrame:
-    """Keep events overlapping an interval of every select label of their record by more than ``threshold``.
+    """Keep events overlapping an interval of every select label of their record by more than ``threshold`` (>= 0).
 
     Records without select intervals keep all their events.
     """
     keys = list(keys)
     wanted = _aligned(intervals, resolution, keys)
-    pairs = overlap_pairs(events, wanted, keys, bucket).where(F.col("overlap") > threshold)
-    named = pairs.join(wanted.select(*keys, F.col("id").alias("b_id"), "label"), [*keys, "b_id"])
-    met = named.groupBy(*keys, F.col("a_id").alias("id")).agg(F.countDistinct("label").alias("_met"))
-    asked = wanted.groupBy(*keys).agg(F.countDistinct("label").alias("_asked"))
-    kept = (
-        events.select(*keys, "id").join(asked, keys, "left").join(met, [*keys, "id"], "left")
-        .where(F.coalesce("_met", F.lit(0)) >= F.coalesce("_asked", F.lit(0)))
-        .select(*keys, "id")
-    )
-    return events.join(kept, [*keys, "id"], "left_semi")
+    labels = wanted.select(*keys, "label").distinct()
+    spans = events.select(*keys, "start", "stop").distinct()
+    hit = _reaching(spans.join(labels, keys), wanted, [*keys, "label"], threshold, True, bucket)
+    # A span fails when some label of its record does not reach it.
+    failed = spans.join(labels, keys).join(hit, [*keys, "label", "start", "stop"], "left_anti")
+    return events.join(failed.select(*keys, "start", "stop").distinct(), [*keys, "start", "stop"], "left_anti")
 
 
 def pairs(df: DataFrame, item: str, keys: Sequence[str] = (), max_items: int = 10_000) -> DataFrame:
@@ -213,8 +232,6 @@ def score_runs(
     offset: str | None = "win_start", chunk: int = CHUNK,
 ) -> DataFrame:
     """Threshold, closing and opening, runs, mean raw score per run, absolute seconds."""
-    from vitalgrid.model import layout
-
     keys = list(keys)
     extra = [offset] if offset else []
     base = scores.select(*keys, *extra, cell, score).withColumn("_on", (F.col(score) > threshold).cast("int"))
@@ -272,8 +289,9 @@ def hard_top_k(
 
 # ---- non-maximum suppression ------------------------------------------------------------
 
-# Events of one overlapping stretch that a task resolves by itself.
+# Events of one overlapping stretch, or of one time bucket, that a task handles by itself.
 LOCAL_STRETCH = 10_000
+LOCAL_BUCKET = 200_000
 
 
 def stretches(
@@ -305,15 +323,19 @@ def greedy_keep(start: np.ndarray, stop: np.ndarray, order: np.ndarray, overlap:
 
 def nms(
     events: DataFrame, overlap: float = 0.5, keys: Sequence[str] = ("record", "class"), bucket: float = 3600,
-    local_stretch: int = LOCAL_STRETCH,
+    local_stretch: int = LOCAL_STRETCH, local_bucket: int = LOCAL_BUCKET,
 ) -> DataFrame:
     """Greedy suppression by score within each key (``id`` must be unique per key).
 
-    Stretches of overlapping events are independent. Those of counted size up to
-    ``local_stretch`` are solved inside the partition that holds them; larger
-    ones are solved by rounds on the conflict edges, which give the same result.
+    Stretches of overlapping events are independent: those of counted size up to
+    ``local_stretch`` are solved inside the partition that holds them. Larger
+    ones, and tables with a time bucket too crowded to be sorted in one task, go
+    through ``champion_rounds``, which gives the same result.
     """
     keys = list(keys)
+    crowd = events.groupBy(*keys, floor_div(F.col("start"), bucket)).count().agg(F.max("count")).first()[0]
+    if (crowd or 0) > local_bucket:
+        return champion_rounds(events, overlap, keys)
     marked = stretches(events, keys, bucket)
     by = [*keys, "_stretch"]
     sizes = marked.groupBy(*by).agg(F.count("*").alias("_size"))
@@ -322,7 +344,7 @@ def nms(
     large = sized.where(F.col("_size") > local_stretch)
     kept = _local(small, by, overlap, events.schema)
     if large.limit(1).count():
-        kept = kept.unionByName(_rounds(large.select(*events.columns), overlap, keys, bucket))
+        kept = kept.unionByName(champion_rounds(large.select(*events.columns), overlap, keys))
     return kept
 
 
@@ -358,41 +380,56 @@ def _local(df: DataFrame, by: list[str], overlap: float, schema) -> DataFrame:
     return placed.mapInPandas(run, schema)
 
 
-def _rounds(events: DataFrame, overlap: float, keys: list[str], bucket: float) -> DataFrame:
-    """Parallel form of the greedy rule.
+def champion_rounds(events: DataFrame, overlap: float, keys: Sequence[str]) -> DataFrame:
+    """The greedy rule in parallel rounds of linear cost.
 
-    Each round keeps the undecided events without an undecided better neighbour
-    and removes their neighbours. Every round decides at least the best event of
-    each stretch; state is checkpointed, so lineage stays short.
+    Events live in cells of (length class, position on a grid of that length).
+    Two events can only conflict when their cells are neighbours: IoU bounds the
+    ratio of lengths, and overlap bounds the distance. Each round takes the best
+    event of every cell (a partial aggregate, so copies and crowds collapse
+    before the shuffle); a champion that beats the champions of all neighbouring
+    cells is kept, and the events it suppresses are removed. A row meets at most
+    one kept champion per neighbouring cell, so no pairs within a crowd are
+    formed. Every round decides at least the best remaining event of each key.
     """
-    node = [*keys, "id"]
-    pairs_ = overlap_pairs(events, events, keys, bucket)
-    exact = F.col("overlap") / (
-        (F.col("a_stop") - F.col("a_start")) + (F.col("b_stop") - F.col("b_start")) - F.col("overlap")
-    )
-    score = events.select(*node, "score")
-    rank = lambda s: F.struct(-F.col(f"{s}_score"), F.col(f"{s}_start"), F.col(f"{s}_stop"), F.col(f"{s}_id"))
-    edges = settle(
-        pairs_.where((exact > overlap) & (F.col("a_id") != F.col("b_id")))
-        .join(score.withColumnsRenamed({"id": "a_id", "score": "a_score"}), [*keys, "a_id"])
-        .join(score.withColumnsRenamed({"id": "b_id", "score": "b_score"}), [*keys, "b_id"])
-        .where(rank("a") < rank("b"))
-        .select(*keys, "a_id", "b_id")
+    keys = list(keys)
+    spread = 64 if overlap <= 0 else int(np.ceil(np.log2(1 / overlap))) + 1
+    length = F.col("stop") - F.col("start")
+    level = F.floor(F.log2(length)).cast("long")
+    cell = [*keys, "_level", "_slot"]
+    grid = lambda at, lv: F.floor(at / F.pow(F.lit(2.0), lv)).cast("long")
+    left = settle(
+        events.where(length > 0).withColumn("_level", level)
+        .withColumn("_slot", grid(F.col("start"), F.col("_level")))
     )
-    open_ = events.select(*node)
-    kept = None
-    while True:
-        blocked = edges.select(*keys, F.col("b_id").alias("id")).distinct()
-        top = settle(open_.join(blocked, node, "left_anti"))
-        kept = top if kept is None else kept.unionByName(top)
-        removed = edges.join(top.withColumnRenamed("id", "a_id"), [*keys, "a_id"], "left_semi")
-        removed = removed.select(*keys, F.col("b_id").alias("id")).distinct()
-        open_ = settle(blocked.join(removed, node, "left_anti"))
-        if open_.limit(1).count() == 0:
-            break
-        edges = settle(
-            edges.join(open_.withColumnRenamed("id", "a_id"), [*keys, "a_id"], "left_semi").join(
-                open_.withColumnRenamed("id", "b_id"), [*keys, "b_id"], "left_semi"
-            )
+    levels = left.agg(F.min("_level"), F.max("_level")).first()
+    out = events.where(length <= 0)
+
+    def neighbours(champions: DataFrame) -> DataFrame:
+        """Champions repeated for every cell whose events they may conflict with."""
+        near = F.sequence(
+            F.greatest(F.col("_level") - spread, F.lit(levels[0])), F.least(F.col("_level") + spread, F.lit(levels[1]))
+        )
+        c = champions.withColumn("_near", F.explode(near))
+        reach = F.pow(F.lit(2.0), F.col("_near") + 1)
+        slots = F.sequence(grid(F.col("_best.start") - reach, F.col("_near")), grid(F.col("_best.stop"), F.col("_near")))
+        c = c.withColumn("_at", F.explode(slots))
+        return c.select(*keys, F.col("_near").alias("_level"), F.col("_at").alias("_slot"), F.col("_best").alias("_by"))
+
+    best = F.struct(-F.col("score"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), F.col("id").alias("id"))
+    while left.limit(1).count():
+        champions = left.groupBy(*cell).agg(F.min(best).alias("_best"))
+        beaten = (
+            champions.join(neighbours(champions), cell).where(F.col("_by") < F.col("_best")).select(*cell).distinct()
         )
-    return events.join(kept, node, "left_semi")
+        winners = settle(champions.join(beaten, cell, "left_anti"))
+        kept = winners.select(*keys, F.col("_best.id").alias("id"))
+        out = out.unionByName(left.join(kept, [*keys, "id"], "left_semi").select(*events.columns))
+        # Few winners can stand next to a cell; rows are checked against each.
+        inter = F.least(F.col("stop"), F.col("_by.stop")) - F.greatest(F.col("start"), F.col("_by.start"))
+        union = length + (F.col("_by.stop") - F.col("_by.start")) - inter
+        gone = (F.col("id") == F.col("_by.id")) | (F.greatest(inter, F.lit(0.0)) / union > overlap)
+        near = left.select(*cell, "id", "start", "stop").join(neighbours(winners), cell)
+        dropped = near.where(gone).select(*keys, "id").distinct()
+        left = settle(left.join(dropped, [*keys, "id"], "left_anti"))
+    return out

@@ -192,13 +192,9 @@ def multiclass_agreement(df: DataFrame, true: str = "y_true", pred: str = "y_pre
 
 def one_hot_labels(df: DataFrame, keys: Sequence[str] = ("record", "epoch"), cls: str = "class") -> DataFrame:
     """True and predicted class of epochs with exactly one true class (first class on a tie)."""
-    first = F.max_by(cls, F.struct(F.col("y_pred"), F.col("_back")))
-    order = df.select(cls).distinct().withColumn(
-        "_back", -F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cls))
-    )
-    g = df.join(F.broadcast(order), cls).groupBy(*keys).agg(
-        F.sum("y_true").alias("_s"), F.max_by(cls, F.struct(F.col("y_true"), F.col("_back"))).alias("true_class"),
-        first.alias("pred_class"),
+    strongest = lambda c: F.min(F.struct((-F.col(c)).alias("s"), F.col(cls).alias("c")))["c"]
+    g = df.groupBy(*keys).agg(
+        F.sum("y_true").alias("_s"), strongest("y_true").alias("true_class"), strongest("y_pred").alias("pred_class")
     )
     return g.where(F.col("_s") == 1).drop("_s")
 
@@ -215,46 +211,61 @@ specificity_semantic = _micro(SEMANTIC_SPECIFICITY)
 # ---- events -----------------------------------------------------------------------------------
 
 
-def _matches(targets, outputs, min_iou, keys, bucket):
-    pairs = overlap_pairs(targets, outputs, keys, bucket)
-    return pairs.where(F.col("iou") >= min_iou)
+def _matched_spans(targets, outputs, min_iou, keys, bucket):
+    """Distinct target and output spans that have a partner.
+
+    Copies of a span are collapsed first: they match or miss together, so a group
+    of copies costs one row in the join.
+    """
+    keys = list(keys)
+    span = [*keys, "start", "stop"]
+    distinct = lambda df: df.select(*span).distinct().withColumn("id", F.struct("start", "stop"))
+    met = overlap_pairs(distinct(targets), distinct(outputs), keys, bucket).where(F.col("iou") >= min_iou)
+    side = lambda s: met.select(*keys, F.col(f"{s}_start").alias("start"), F.col(f"{s}_stop").alias("stop")).distinct()
+    return side("a"), side("b")
 
 
 def true_positive_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                          keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    m = _matches(targets, outputs, min_iou, keys, bucket).withColumnRenamed("a_id", "id")
-    return targets.join(m.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
+    hit, _ = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    return targets.join(hit, [*keys, "start", "stop"], "left_semi")
 
 
 def false_negative_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                           keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    m = _matches(targets, outputs, min_iou, keys, bucket).withColumnRenamed("a_id", "id")
-    return targets.join(m.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+    hit, _ = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    return targets.join(hit, [*keys, "start", "stop"], "left_anti")
 
 
 def false_positive_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                           keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    m = _matches(targets, outputs, min_iou, keys, bucket).withColumnRenamed("b_id", "id")
-    return outputs.join(m.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+    _, hit = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    return outputs.join(hit, [*keys, "start", "stop"], "left_anti")
 
 
 def event_counts(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                  keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
     """Per key: targets, outputs, matched targets and matched outputs.
 
-    The four contributions are pre-aggregated and meet in one aggregation.
+    Spans are counted first, so copies are one row in everything that follows;
+    the contributions meet in one aggregation.
     """
     keys = list(keys)
-    m = _matches(targets, outputs, min_iou, keys, bucket)
-    names = ("targets", "outputs", "hit_targets", "hit_outputs")
-
-    def tally(df, name):
-        return df.select(*keys, *[F.lit(1 if n == name else 0).cast("long").alias(n) for n in names])
-
-    parts = tally(targets, "targets").unionByName(tally(outputs, "outputs"))
-    parts = parts.unionByName(tally(m.select(*keys, "a_id").distinct(), "hit_targets"))
-    parts = parts.unionByName(tally(m.select(*keys, "b_id").distinct(), "hit_outputs"))
-    return parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    span = [*keys, "start", "stop"]
+    t = targets.groupBy(*span).agg(F.count("*").alias("_n"))
+    o = outputs.groupBy(*span).agg(F.count("*").alias("_n"))
+    t_hit, o_hit = _matched_spans(t, o, min_iou, keys, bucket)
+
+    def tally(df, hits, all_name, hit_name):
+        marked = df.join(hits.withColumn("_hit", F.lit(1)), span, "left")
+        zero = F.lit(0).cast("long")
+        cols = {n: zero for n in ("targets", "outputs", "hit_targets", "hit_outputs")}
+        cols[all_name] = F.col("_n")
+        cols[hit_name] = F.when(F.col("_hit") == 1, F.col("_n")).otherwise(zero)
+        return marked.select(*keys, *[c.alias(n) for n, c in cols.items()])
+
+    parts = tally(t, t_hit, "targets", "hit_targets").unionByName(tally(o, o_hit, "outputs", "hit_outputs"))
+    return parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in ("targets", "outputs", "hit_targets", "hit_outputs")])
 
 
 # SQL text of the event metrics over the four counts.

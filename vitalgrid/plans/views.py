@@ -41,7 +41,7 @@ class Views:
     def xyz(self) -> DataFrame:
         """Many short three-axis records with clock time."""
         e = self.events.select(F.col("user_id").alias("record"), "ts", "event_id", "value")
-        s = samples_from_log(e, ["record"], "ts", ["ts", "event_id"], 86_400 * 30)
+        s = samples_from_log(e, ["record"], "ts", ["ts", "event_id"], 86_400)
         us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ORIGIN * 1_000_000)
         v = F.col("value")
         return s.select(
