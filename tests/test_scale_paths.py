@@ -209,7 +209,7 @@ def test_stitch_undoes_windows(samples):
     win = wn.window_index(extents, 60, 0.5)
     cells = wn.window_samples(samples, win, 60, 1).join(win.select("record", "win", F.col("start").alias("win_start")), ["record", "win"])
     timed = cells.withColumn("epoch", F.col("win_start") + F.col("pos"))
-    got = table(iv.stitch_windows(timed, ("record",), order=["win"], values=["value"]).withColumnRenamed("epoch", "t"))
+    got = table(iv.stitch_windows(timed, ("record",), win="win", values=["value"]).withColumnRenamed("epoch", "t"))
     want = table(samples.where("t < (case record when 'a' then 990 else 390 end)"))
     np.testing.assert_allclose(got.value, want.value)
 

@@ -70,3 +70,7 @@ def odd_window(fs: float, seconds: float) -> int:
     """Window length in samples, made odd so it has a centre."""
     w = int(round(fs * seconds))
     return w + 1 if w % 2 == 0 else w
+
+
+def next_power_of_two(n: int) -> int:
+    return 1 << (int(n) - 1).bit_length()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import rows
-from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, layout
+from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, next_power_of_two
 from vitalgrid.operators import rolling
 from vitalgrid.operators.chunks import epoch_map, floor_div, over_chunks
 from vitalgrid.operators.normalize import axis_flip
@@ -103,7 +103,7 @@ def band_power_kernel(
     window: int, fs: float, low: float, high: float, normalize: Sequence[float] | None = None
 ) -> Callable[[np.ndarray], float]:
     """Summed log power of a band; FFT length is the next power of two of ``window``."""
-    nfft = int(2 ** np.ceil(np.log2(window)))
+    nfft = next_power_of_two(window)
     f = np.arange(nfft // 2 + 1) * fs / nfft
     band = (f > low) & (f <= high)
     other = None if normalize is None else (f > normalize[0]) & (f <= normalize[1])

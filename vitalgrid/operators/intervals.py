@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vitalgrid.model import CHUNK, EPS, layout
 from vitalgrid.operators.chunks import floor_div, running_max
 from vitalgrid.operators.rolling import close_then_open, runs
-from vitalgrid.session import settle
+from vitalgrid.session import settle, stage
 
 
 def _bucketed(df: DataFrame, keys, id_, start, stop, bucket, side) -> DataFrame:
@@ -250,11 +250,18 @@ def score_runs(
 
 def stitch_windows(
     scores: DataFrame, keys: Sequence[str] = ("record", "class"), epoch: str = "epoch",
-    start: str = "win_start", order: Sequence[str] = (), values: Sequence[str] = ("y_pred",),
+    start: str = "win_start", win: str | None = None, values: Sequence[str] = ("y_pred",),
 ) -> DataFrame:
-    """One value per epoch from overlapping windows: the earliest window wins."""
-    first = F.struct(start, *order)
-    return scores.groupBy(*keys, epoch).agg(*[F.min_by(v, first).alias(v) for v in values])
+    """One value per epoch from overlapping windows: the earliest window wins.
+
+    Start and window number (below 2^20) form one integer, which keeps the
+    aggregation a hash aggregation. NULL values do not take part.
+    """
+    order = F.col(start).cast("long")
+    if win is not None:
+        order = order * F.lit(1 << 20) + F.col(win)
+    first = lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), order))
+    return scores.groupBy(*keys, epoch).agg(*[first(v).alias(v) for v in values])
 
 
 def combine_append(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -307,17 +314,17 @@ def stretches(
     return seen.withColumn("_stretch", F.greatest("_opens", "_seen")).drop("_opens", "_seen")
 
 
-def greedy_keep(start: np.ndarray, stop: np.ndarray, order: np.ndarray, overlap: float) -> np.ndarray:
-    """Best-first suppression of one small stretch; ``order`` lists rows best first."""
-    keep = np.ones(len(start), dtype=bool)
-    for i in order:
+def greedy_keep(start: Sequence[float], stop: Sequence[float], overlap: float) -> list[bool]:
+    """Best-first suppression of one small stretch whose rows are listed best first."""
+    keep = [True] * len(start)
+    for i in range(len(start)):
         if not keep[i]:
             continue
-        inter = np.clip(np.minimum(stop, stop[i]) - np.maximum(start, start[i]), 0, None)
-        iou = inter / (stop - start + stop[i] - start[i] - inter)
-        drop = iou > overlap
-        drop[i] = False
-        keep &= ~drop
+        a, b = start[i], stop[i]
+        for j in range(i + 1, len(start)):
+            inter = min(b, stop[j]) - max(a, start[j])
+            if keep[j] and inter > 0 and inter > overlap * (b - a + stop[j] - start[j] - inter):
+                keep[j] = False
     return keep
 
 
@@ -330,9 +337,11 @@ def nms(
     Stretches of overlapping events are independent: those of counted size up to
     ``local_stretch`` are solved inside the partition that holds them. Larger
     ones, and tables with a time bucket too crowded to be sorted in one task, go
-    through ``champion_rounds``, which gives the same result.
+    through ``champion_rounds``, which gives the same result. The events are
+    written once, as they are read several times.
     """
     keys = list(keys)
+    events = stage(events)
     crowd = events.groupBy(*keys, floor_div(F.col("start"), bucket)).count().agg(F.max("count")).first()[0]
     if (crowd or 0) > local_bucket:
         return champion_rounds(events, overlap, keys)
@@ -353,15 +362,20 @@ def _local(df: DataFrame, by: list[str], overlap: float, schema) -> DataFrame:
     names = schema.names
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = pdf["_size"].to_numpy() == 1
-        parts = [pdf[alone]]
-        for _, g in pdf[~alone].groupby(by, sort=False, dropna=False):
-            rank = g.sort_values(["score", "start", "stop", "id"], ascending=[False, True, True, True])
-            at = {label: i for i, label in enumerate(g.index)}
-            order = np.array([at[label] for label in rank.index])
-            mask = greedy_keep(g["start"].to_numpy(dtype=float), g["stop"].to_numpy(dtype=float), order, overlap)
-            parts.append(g[mask])
-        return pd.concat(parts)[names]
+        up = [True] * len(by)
+        pdf = pdf.sort_values([*by, "score", "start", "stop", "id"], ascending=[*up, False, True, True, True])
+        changed = np.ones(len(pdf), dtype=bool)
+        changed[1:] = False
+        for k in by:
+            column = pdf[k].to_numpy()
+            changed[1:] |= column[1:] != column[:-1]
+        edges = [*np.flatnonzero(changed).tolist(), len(pdf)]
+        start, stop = pdf["start"].astype(float).tolist(), pdf["stop"].astype(float).tolist()
+        keep = np.ones(len(pdf), dtype=bool)
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > 1:
+                keep[a:b] = greedy_keep(start[a:b], stop[a:b], overlap)
+        return pdf.loc[keep, names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.model import KAPPA
 from vitalgrid.operators.intervals import overlap_pairs
+from vitalgrid.session import settle
 
 
 def _masked(df: DataFrame, mask: bool) -> DataFrame:
@@ -173,8 +174,11 @@ def optimized_f12(df: DataFrame, lower: float = 0.2, upper: float = 0.8, num_sam
 
 
 def multiclass_agreement(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """Accuracy and Cohen's kappa of two label columns, through the crosstab."""
-    cells = df.groupBy(true, pred).agg(F.count("*").alias("c"))
+    """Accuracy and Cohen's kappa of two label columns, through the crosstab.
+
+    The crosstab (classes squared) is settled: it is read three times below.
+    """
+    cells = settle(df.groupBy(true, pred).agg(F.count("*").alias("c")))
     total = cells.agg(
         F.sum("c").alias("n"), F.sum(F.when(F.col(true) == F.col(pred), F.col("c")).otherwise(0)).alias("same")
     )
@@ -190,13 +194,27 @@ def multiclass_agreement(df: DataFrame, true: str = "y_true", pred: str = "y_pre
     return both.select(po.alias("accuracy"), ((po - pe) / (1 - pe)).alias("kappa"))
 
 
-def one_hot_labels(df: DataFrame, keys: Sequence[str] = ("record", "epoch"), cls: str = "class") -> DataFrame:
-    """True and predicted class of epochs with exactly one true class (first class on a tie)."""
-    strongest = lambda c: F.min(F.struct((-F.col(c)).alias("s"), F.col(cls).alias("c")))["c"]
-    g = df.groupBy(*keys).agg(
-        F.sum("y_true").alias("_s"), strongest("y_true").alias("true_class"), strongest("y_pred").alias("pred_class")
+def one_hot_labels(
+    df: DataFrame, classes: Sequence[str], keys: Sequence[str] = ("record", "epoch"), cls: str = "class"
+) -> DataFrame:
+    """True and predicted class of epochs with exactly one true class (first listed class on a tie).
+
+    One conditional maximum per class keeps the aggregation on plain doubles
+    (hash aggregation); the strongest class is picked afterwards.
+    """
+    side = lambda c: [F.max(F.when(F.col(cls) == k, F.col(c))).alias(f"_{c}{i}") for i, k in enumerate(classes)]
+    g = df.where(F.col(cls).isin(list(classes))).groupBy(*keys).agg(
+        F.sum("y_true").alias("_s"), *side("y_true"), *side("y_pred")
+    )
+    names = F.array(*[F.lit(k) for k in classes])
+
+    def strongest(c):
+        values = F.array(*[F.col(f"_{c}{i}") for i in range(len(classes))])
+        return F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
+
+    return g.where(F.col("_s") == 1).select(
+        *keys, strongest("y_true").alias("true_class"), strongest("y_pred").alias("pred_class")
     )
-    return g.where(F.col("_s") == 1).drop("_s")
 
 
 # ---- binary sequences ----------------------------------------------------------------------

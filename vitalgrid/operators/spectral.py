@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout
+from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, next_power_of_two
 from vitalgrid.operators.chunks import floor_div, frame_map, halo_map
 from vitalgrid.session import attach
 
@@ -68,12 +68,12 @@ def autocorr_psd(
 ) -> DataFrame:
     """Log spectrum of a frame's correlation with its widened neighbourhood; border frames are 0."""
     hop = round(window * (1 - noverlap / window))
-    nfft = int(2 ** np.ceil(np.log2(window)))
+    nfft = next_power_of_two(window)
     keep = band(fs, nfft, f_min, f_max)
     half = window // 2
     length = 3 * window - 1
     taper = np.hanning(length)
-    size = int(2 ** np.ceil(np.log2(4 * window)))
+    size = next_power_of_two(4 * window)
 
     def kernel(x, j, n):
         frame = x[:, half : half + window]
@@ -176,10 +176,6 @@ def _convolve_same(x: np.ndarray, taps: np.ndarray, size: int, spectrum: np.ndar
     return full[start : start + len(x)]
 
 
-def _fft_size(n: int) -> int:
-    return int(2 ** np.ceil(np.log2(max(n, 2))))
-
-
 def _pooled(mag: np.ndarray, wanted: np.ndarray, size: int) -> np.ndarray:
     """Maximum over ``[i - size//2, i + size - size//2 - 1]`` at the wanted positions."""
     if size <= 1:
@@ -221,7 +217,7 @@ def wavelet(
     reach = int(np.ceil(8 * scales.max()))
 
     def columns(x):
-        size = _fft_size(len(x) + 2 * reach + 1)
+        size = next_power_of_two(len(x) + 2 * reach + 1)
         spectrum = np.fft.fft(x, size)
         for a in scales[::-1]:
             m = int(np.ceil(8 * a))
@@ -240,12 +236,16 @@ def wavelet_pooled(
     return wavelet(df, scales, lay, chunk, pool=sub, magnitude=True)
 
 
-def superlet_wavelet(scale: float, cycles: float, dt: float, k_sd: float = 5.0) -> np.ndarray:
-    """Sampled Morlet of the superlet formulation, normalised to the harmonic amplitude."""
+def superlet_wavelet(scale: float, cycles: float, dt: float, deviations: float = 5.0) -> np.ndarray:
+    """Sampled Morlet of the superlet formulation, normalised to the harmonic amplitude.
+
+    The Gaussian spans ``deviations`` standard deviations over its ``cycles``.
+    """
     points = 10 * scale * cycles / dt
-    t = np.arange((1 - points) / 2, (points + 1) / 2) * dt / scale
-    height = k_sd / (scale * cycles * (2 * np.pi) ** 1.5) * np.sqrt(dt) / (4 * np.pi)
-    return height * np.exp(1j * t - 0.5 * (k_sd * t / (2 * np.pi * cycles)) ** 2)
+    phase = (np.arange(int(np.ceil(points))) - (points - 1) / 2) * dt / scale
+    decay = deviations / (2 * np.pi * cycles)
+    height = decay / (scale * np.sqrt(2 * np.pi)) * np.sqrt(dt) / (4 * np.pi)
+    return height * np.exp(1j * phase - (decay * phase) ** 2 / 2)
 
 
 def superlet_weights(
@@ -287,7 +287,7 @@ def superlet(
     )
 
     def columns(x):
-        size = _fft_size(len(x) + 2 * reach)
+        size = next_power_of_two(len(x) + 2 * reach)
         spectrum = np.fft.fft(x, size)
         for s, terms in zip(scales, weights):
             total = np.ones(len(x))
@@ -331,7 +331,7 @@ def _sections(zeros: np.ndarray, poles: np.ndarray, gain: float) -> list[tuple[n
     return out
 
 
-def butterworth_response(order: int, fs: float, low: float | None, high: float | None, tolerance: float = 1e-12) -> np.ndarray:
+def butterworth_response(order: int, fs: float, low: float | None, high: float | None, tolerance: float = 1e-15) -> np.ndarray:
     """Impulse response of a bilinear-transform Butterworth band- or high-pass filter.
 
     Cut where the remaining tail stays below ``tolerance`` of the peak.
@@ -372,7 +372,7 @@ def _causal(df: DataFrame, h: np.ndarray, lay: Layout, chunk: int) -> DataFrame:
 
     def kernel(pdf, wanted):
         x = pdf[lay.value].to_numpy(dtype=float)
-        size = _fft_size(len(x) + len(h))
+        size = next_power_of_two(len(x) + len(h))
         y = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)
         return {lay.value: y[: len(x)][wanted]}
 
@@ -412,11 +412,11 @@ def tv_denoise(
         y = pdf[lay.value].to_numpy(dtype=float)
         if len(y) < 2 or bool(pdf["_quiet"].iloc[0]):
             return {lay.value: y[wanted]}
-        z = np.zeros(len(y) - 1)
-        x = y
+        # Dual variable between samples; its zero ends are the zero-flux borders.
+        flux = np.zeros(len(y) + 1)
         for _ in range(iterations):
-            x = y - np.concatenate((-z[:1], -np.diff(z), z[-1:]))
-            z = np.clip(z + np.diff(x) / alpha, -bound, bound)
+            x = y + np.diff(flux)
+            flux[1:-1] = np.clip(flux[1:-1] + np.diff(x) / alpha, -bound, bound)
         return {lay.value: x[wanted]}
 
     return halo_map(

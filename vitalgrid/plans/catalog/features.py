@@ -171,7 +171,21 @@ def _(v):
     return hrv.hrv_features(_rr(v), 4, 120, 40, entropy=True)
 
 
-@query("ag20_beat_measures", "record:s epoch:i " + " ".join(f"{n}:d" for n in hrv.BEAT_NAMES))
+def _beats():
+    from vitalgrid.plans.catalog.rolling import BEATS
+
+    return BEATS | {
+        "ri": "SELECT record, beat, (beat - lag(beat) OVER (PARTITION BY record ORDER BY beat)) / 10.0 * 1000 AS rr FROM peaks",
+        "re": "SELECT record, beat // 300 AS epoch, beat, rr, rr - lag(rr) OVER (PARTITION BY record, beat // 300 ORDER BY beat) AS d, median(rr) OVER (PARTITION BY record, beat // 300) AS med FROM ri WHERE rr IS NOT NULL",
+        "g": """SELECT record, epoch, avg(rr) AS ibi, stddev_pop(rr) AS sdnn, stddev_pop(d) AS sdsd, sqrt(avg(d * d)) AS rmssd,
+  count(*) FILTER (WHERE abs(d) > 20) / nullif(count(d), 0)::DOUBLE AS pnn20, count(*) FILTER (WHERE abs(d) > 50) / nullif(count(d), 0)::DOUBLE AS pnn50,
+  median(abs(rr - med)) AS hr_mad, sqrt(var_samp(d) / 2) AS sd1, CASE WHEN 2 * var_samp(rr) - var_samp(d) / 2 >= 0 THEN sqrt(2 * var_samp(rr) - var_samp(d) / 2) END AS sd2 FROM re GROUP BY 1, 2""",
+        "k": "SELECT *, 60000 / ibi AS bpm, pi() * sd1 * sd2 AS s, CASE WHEN sd2 > 0 THEN sd1 / sd2 END AS sd1_sd2 FROM g",
+    }
+
+
+@query("ag20_beat_measures", "record:s epoch:i " + " ".join(f"{n}:d" for n in hrv.BEAT_NAMES), "sig",
+       f"SELECT record, epoch, {_zeroed(hrv.BEAT_NAMES)} FROM k", _beats())
 def _(v):
     return hrv.beat_measures(rolling.beat_intervals(v.sig, 10, 1.0), 10, 300)
 

@@ -133,7 +133,18 @@ def _(v):
 # ---- interval algebra ---------------------------------------------------------------------
 
 
-@query("iv1_nms", EVENT)
+# The sequential rule, one rank per step and record.
+GREEDY = {
+    "ev": "SELECT record, id, start, stop + 36000 AS stop, score, row_number() OVER (PARTITION BY record ORDER BY score DESC, start, stop, id) AS r FROM outputs",
+    "g": """/*rec*/ SELECT DISTINCT record, 0::BIGINT AS r, []::STRUCT(id BIGINT, s DOUBLE, e DOUBLE)[] AS kept FROM ev UNION ALL
+SELECT g.record, ev.r, CASE WHEN len(list_filter(kept, lambda k: greatest(least(k.e, ev.stop) - greatest(k.s, ev.start), 0) / (k.e - k.s + ev.stop - ev.start - greatest(least(k.e, ev.stop) - greatest(k.s, ev.start), 0)) > 0.3)) = 0
+  THEN list_append(kept, {'id': ev.id, 's': ev.start, 'e': ev.stop}) ELSE kept END FROM g JOIN ev ON ev.record = g.record AND ev.r = g.r + 1""",
+    "last": "SELECT record, unnest(arg_max(kept, r)).id AS id FROM g GROUP BY 1",
+}
+
+
+@query("iv1_nms", EVENT, "outputs",
+       "SELECT ev.record, 'any' AS class, ev.id, start, stop, score FROM ev JOIN last ON last.record = ev.record AND last.id = ev.id", GREEDY)
 def _(v):
     wide = v.outputs.withColumn("stop", F.col("stop") + 36_000).withColumn("class", F.lit("any"))
     return iv.nms(wide, 0.3, bucket=BUCKET * 4)
@@ -210,7 +221,7 @@ def _(v):
     hits = wn.window_hits(_windows(v), v.intervals, WINDOW, RESOLUTION, SHARE).where("kind = 'event'")
     cells = hits.withColumn("cell", F.explode(F.sequence(F.col("first"), F.col("last") - 1))).withColumn("class", F.col("label"))
     timed = cells.withColumn("epoch", F.floor(F.col("win_start") / RESOLUTION) + F.col("cell")).withColumn("y", F.col("cell"))
-    return iv.stitch_windows(timed, order=["win"], values=["y"])
+    return iv.stitch_windows(timed, win="win", values=["y"])
 
 
 @query("iv6_combine_append", "record:i id:i label:s", "iv", "SELECT record, id, label FROM iv WHERE id % 2 = 0 UNION ALL SELECT record, id, NULL FROM iv WHERE id % 3 = 0")

@@ -96,7 +96,7 @@ def _(v):
 @query("me17_one_hot_labels", "record:i epoch:i true_class:s pred_class:s", "pred",
        "SELECT record, epoch, CASE WHEN max(CASE WHEN class = 'quality' THEN y_true END) >= max(CASE WHEN class = 'toxic' THEN y_true END) THEN 'quality' ELSE 'toxic' END AS true_class, CASE WHEN max(CASE WHEN class = 'quality' THEN y_pred END) >= max(CASE WHEN class = 'toxic' THEN y_pred END) THEN 'quality' ELSE 'toxic' END AS pred_class FROM pred GROUP BY 1, 2 HAVING sum(y_true) = 1")
 def _(v):
-    return me.one_hot_labels(v.predictions)
+    return me.one_hot_labels(v.predictions, ["quality", "toxic"])
 
 
 _micro("me18_accuracy_semantic", f"(tp + tn) / (tp + tn + fp + fn + {K})", me.accuracy_semantic)

@@ -66,7 +66,25 @@ def _(v):
     return nm.axis_flip(v.xyz)
 
 
-@query("nm11_pca", "record:i t:i pc1:d")
+# Leading axis of a symmetric 3 x 3 matrix in closed form: the largest eigenvalue by the
+# trigonometric rule, its axis as the longest cross product of two rows of A - lambda I.
+AXES = {
+    "m": "SELECT record, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM xyz GROUP BY 1",
+    "p": "SELECT *, (a + b + c) / 3 AS q FROM m",
+    "r": "SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS s FROM p",
+    "l": "SELECT *, q + 2 * s * cos(acos(greatest(least(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * s ** 3), 1), -1)) / 3) AS l FROM r",
+    "v": """SELECT record, mx, my, mz, unnest([
+  {'u': d * f - e * (b - l), 'v': e * d - (a - l) * f, 'w': (a - l) * (b - l) - d * d},
+  {'u': d * (c - l) - e * f, 'v': e * e - (a - l) * (c - l), 'w': (a - l) * f - d * e},
+  {'u': (b - l) * (c - l) - f * f, 'v': f * e - d * (c - l), 'w': d * f - (b - l) * e}]) AS k FROM l""",
+    "n": "SELECT record, mx, my, mz, k.u AS u, k.v AS v, k.w AS w, sqrt(k.u ** 2 + k.v ** 2 + k.w ** 2) AS len FROM v",
+    "g": "SELECT record, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, arg_max(u / len, len) AS u, arg_max(v / len, len) AS v, arg_max(w / len, len) AS w FROM n WHERE len > 0 GROUP BY 1",
+    "h": "SELECT *, CASE WHEN abs(u) >= abs(v) AND abs(u) >= abs(w) THEN sign(u) WHEN abs(v) >= abs(w) THEN sign(v) ELSE sign(w) END AS sg FROM g",
+}
+
+
+@query("nm11_pca", "record:i t:i pc1:d", "xyz",
+       "SELECT i.record, t, sg * (u * (x - mx) + v * (y - my) + w * (z - mz)) AS pc1 FROM xyz i JOIN h ON h.record = i.record", AXES)
 def _(v):
     return nm.pca(v.xyz, ["x", "y", "z"])
 

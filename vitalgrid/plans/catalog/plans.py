@@ -145,4 +145,4 @@ def _(v):
     labels = wn.window_labels(w, v.intervals, CLASSES, WINDOW, RESOLUTION, SHARE)
     u = seeded.uniform("s", *[F.col(c) for c in ("record", "win", "class", "cell")])
     scores = labels.drop("y_true").withColumn("y_pred", u)
-    return spec.agreement(spec.epoch_series(scores, labels, RESOLUTION))
+    return spec.agreement(spec.epoch_series(scores, labels, RESOLUTION), CLASSES)

@@ -27,7 +27,7 @@ def _(v):
 def _(v):
     raw = v.events.select(
         "event_id", F.col("user_id").alias("record"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0 - 1_704_067_200.0).alias("start"),
+        (tables.wall_micros(v.events, "ts") / 1_000_000.0 - 1_704_067_200.0).alias("start"),
         (F.col("value") * 60).alias("duration"),
     )
     return tables.read_intervals(raw)

@@ -35,9 +35,23 @@ def _(v):
     return long(sp.psd(v.sig, 32, 320, 256, 512, 0, 6, 3))
 
 
-@query("sp3_autocorr_psd", FX)
+# 16-sample frames every 4 samples; their 32-sample neighbourhood; correlation lags cut to 47, of which
+# the 16-point spectrum sees the first 16.
+AUTOCORR = {
+    "r": "SELECT record, count(*) AS n FROM sig GROUP BY 1",
+    "ix": "SELECT record, n, frame, k FROM r, range(0, 100000) f(frame), range(0, 32) g(k) WHERE frame <= n // 4",
+    "e0": "SELECT ix.record, n, frame, k, coalesce(value, 0) AS x FROM ix LEFT JOIN sig ON sig.record = ix.record AND sig.t = frame * 4 - 16 + k WHERE frame * 4 >= 8 AND frame * 4 + 7 <= n",
+    "e": "SELECT record, frame, k, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 2.220446049250313e-16) AS x FROM e0 WINDOW w AS (PARTITION BY record, frame)",
+    "f": "SELECT record, frame, k - 8 AS k, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 2.220446049250313e-16) AS x FROM e0 WHERE k >= 8 AND k < 24 WINDOW w AS (PARTITION BY record, frame)",
+    "c": "SELECT f.record, f.frame, m, sum(e.x * f.x) * (0.5 - 0.5 * cos(2 * pi() * m / 46)) AS c FROM f JOIN range(0, 16) g(m) ON true JOIN e ON e.record = f.record AND e.frame = f.frame AND e.k = 8 + f.k + (8 + m - 31) GROUP BY 1, 2, 3",
+    "d": "SELECT record, frame, b, sum(c * cos(2 * pi() * b * m / 16)) ** 2 + sum(c * sin(2 * pi() * b * m / 16)) ** 2 AS p FROM c, range(1, 4) h(b) GROUP BY 1, 2, 3",
+}
+
+
+@query("sp3_autocorr_psd", FX, "sig", extra=AUTOCORR,
+       sql="SELECT ix.record, ix.frame, b - 1 AS bin, CASE WHEN ix.frame * 4 >= 8 AND ix.frame * 4 + 7 <= n THEN ln(p / (32 * 16) + 2.220446049250313e-16) ELSE 0 END AS value FROM (SELECT DISTINCT record, n, frame, b FROM ix, range(1, 4) h(b)) ix LEFT JOIN d USING (record, frame, b)")
 def _(v):
-    return long(sp.autocorr_psd(v.sig, 32, 64, 48, 0, 6))
+    return long(sp.autocorr_psd(v.sig, 32, 16, 12, 0, 6))
 
 
 @query("sp4_log_filterbank", FX, "sig", extra=FRAMES | {
@@ -106,17 +120,56 @@ def _(v):
     return long(sp.superlet(v.sig, 32, [8, 10, 12], 2, c_1=3, adaptive=True))
 
 
-@query("sp10_superlet_frames", FX)
+@query("sp10_superlet_frames", FX, "sig", extra=_superlet((8, 12), [[(1, 0.5), (2, 0.5)]] * 2) | {
+    "z": "SELECT record, t, bin, exp(sum(pw * ln(z))) AS z FROM mag GROUP BY 1, 2, 3",
+    "mx": "SELECT record, t, bin, max(z) OVER (PARTITION BY record, bin ORDER BY t ROWS BETWEEN 16 PRECEDING AND 15 FOLLOWING) AS value FROM z"},
+    sql="SELECT record, t // 16 AS frame, bin, value FROM mx WHERE t % 16 = 0")
+def _(v):
+    # Two frequencies of interest: 7.5 + 1/2 and 12 Hz.
+    return long(sp.superlet_frames(v.sig, 32, 2, 7.5, 12, 16, order_max=2, c_1=3))
+
+
+@query("sp10_superlet_frames_ten_orders", "record:s bin:i mean:d")
+def _(v):
+    x = long(sp.superlet_frames(v.sig, 32, 16, 1, 6, 16))
+    return x.groupBy("record", "bin").agg(F.avg("value").alias("mean"))
+
+
+def _response(b, a):
+    """Impulse response of a second-order section by its recursion, and the filtered signal."""
+    return {
+        "h": f"""/*rec*/ SELECT 0 AS i, {b[0]} AS y, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 UNION ALL
+SELECT i + 1, (CASE i + 1 WHEN 1 THEN {b[1]} WHEN 2 THEN {b[2]} ELSE 0.0 END) - {a[0]} * y - {a[1]} * y1, y, y1 FROM h WHERE i < 400""",
+        "o": "SELECT s.record, s.t, sum(h.y * p.value) AS value FROM sig s JOIN h ON h.i <= s.t JOIN sig p ON p.record = s.record AND p.t = s.t - h.i GROUP BY 1, 2",
+    }
+
+
+# Bilinear designs with tangents of the cut-offs: 2..8 Hz band (order 1), 4 Hz high pass (order 2) at 32 Hz.
+T1, T2, T4 = "tan(pi() * 2 / 32)", "tan(pi() * 8 / 32)", "tan(pi() * 4 / 32)"
+_B0 = f"(1 + ({T2} - {T1}) + {T1} * {T2})"
+_H0 = f"(1 + sqrt(2) * {T4} + {T4} ** 2)"
+
+
+@query("sp11_bandpass", "record:s t:i value:d", "sig", "SELECT * FROM o",
+       _response((f"(({T2} - {T1}) / {_B0})", "0.0", f"(-({T2} - {T1}) / {_B0})"),
+                 (f"(2 * ({T1} * {T2} - 1) / {_B0})", f"((1 - ({T2} - {T1}) + {T1} * {T2}) / {_B0})")))
+def _(v):
+    return sp.bandpass(v.sig, 32, 2, 8, order=1)
+
+
+@query("sp12_highpass", "record:s t:i value:d", "sig", "SELECT * FROM o",
+       _response((f"(1 / {_H0})", f"(-2 / {_H0})", f"(1 / {_H0})"),
+                 (f"(2 * ({T4} ** 2 - 1) / {_H0})", f"((1 - sqrt(2) * {T4} + {T4} ** 2) / {_H0})")))
 def _(v):
-    return long(sp.superlet_frames(v.sig, 32, 8, 1, 6, 16, order_max=5, c_1=3))
+    return sp.highpass(v.sig, 32, 4, order=2)
 
 
-@query("sp11_bandpass", "record:s t:i value:d")
+@query("sp11_bandpass_order_5", "record:s t:i value:d")
 def _(v):
     return sp.bandpass(v.sig, 32, 0.5, 8)
 
 
-@query("sp12_highpass", "record:s t:i value:d")
+@query("sp12_highpass_order_10", "record:s t:i value:d")
 def _(v):
     return sp.highpass(v.sig, 32, 1)
 

@@ -24,7 +24,7 @@ CLOSED = "SELECT event_type AS record, ts, value, epoch_us(ts) // 3600000000 AS
 def _(v):
     path, ckpt = scratch(v.spark, "stream"), scratch(v.spark, "stream-state")
     stats = st.stream_epoch_stats(_stream(v), interval="1 hour", delay="1 day")
-    st.run_available(stats.withColumn("start", F.unix_seconds("start")), path, ckpt)
+    st.run_available(stats.withColumn("start", F.unix_seconds(F.from_utc_timestamp("start", F.current_timezone()))), path, ckpt)
     return v.spark.read.parquet(path)
 
 
@@ -38,7 +38,7 @@ def _(v):
 def _(v):
     path, ckpt = scratch(v.spark, "stream"), scratch(v.spark, "stream-state")
     stats = st.stream_epoch_stats_full(_stream(v), interval="1 hour", delay="1 day")
-    st.run_available(stats.withColumn("start", F.unix_seconds("start")), path, ckpt)
+    st.run_available(stats.withColumn("start", F.unix_seconds(F.from_utc_timestamp("start", F.current_timezone()))), path, ckpt)
     return v.spark.read.parquet(path)
 
 

@@ -88,7 +88,8 @@ def columns(spec: str) -> list[tuple[str, str]]:
 def statement(spec: str, uses: str, body: str, extra: dict[str, str] | None = None) -> str:
     """Complete statement with typed and rounded output columns."""
     parts = [(n, CTES[n]) for n in _closure(uses.split())] + list((extra or {}).items())
-    with_ = ("WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts) + "\n") if parts else ""
+    recursive = "RECURSIVE " if any(q.lstrip().startswith("/*rec*/") for _, q in parts) else ""
+    with_ = (f"WITH {recursive}" + ",\n".join(f"{n} AS ({q})" for n, q in parts) + "\n") if parts else ""
     cols = []
     for name, kind in columns(spec):
         if kind == "i":

@@ -197,6 +197,20 @@ PREPROCESSING: dict[str, Step] = {
     "pca_feature_reduction": _pca,
 }
 
+# Steps that are one pass of row expressions.
+ROW_STEPS = frozenset({
+    "clip", "divide", "log", "log_plus_one", "clip_by_iqr", "no_normalization",
+    "ACC_low_amplitude_segmentation", "ACC_high_amplitude_segmentation",
+})
+# Steps that read their input more than once (statistics of the whole recording first).
+MULTI_PASS_STEPS = frozenset({
+    "complete_zscore", "zscore", "zscore_log", "min_max", "soft", "set_min", "iqr_normalization",
+    "median_filter", "adaptive_soft", "iqr_normalization_adaptive", "change_PPG_direction",
+    "total_variation_filter", "pca_feature_reduction", "collect_signal_features", "FM_features", "ACC_features",
+    "collect_aura_features", "collect_hrv_features", "prep_data_and_compute_features",
+    "prep_data_and_compute_surrogate_signals",
+})
+
 # Normalisers that may also run per window.
 NORMALIZER_NAMES = (
     "complete_zscore", "adaptive_soft", "zscore_log", "min_max", "soft", "median", "clip", "no_normalization",

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.rows import flat_feature
 from vitalgrid.operators import features, intervals as iv, metrics, windows as wn
-from vitalgrid.plans.registry import AUGMENTATIONS, NORMALIZERS, PREPROCESSING
+from vitalgrid.plans.registry import AUGMENTATIONS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS
+from vitalgrid.session import stage
 from vitalgrid.sources.tables import read_samples
 
 
@@ -58,11 +59,20 @@ def parse_spec(spec: dict[str, dict]) -> list[SignalSpec]:
 def run_signal(samples: DataFrame, spec: SignalSpec, fs: float) -> tuple[DataFrame, float]:
     """Steps of one signal over ``record, signal, channel, t, value`` rows.
 
+    A step that reads its input several times gets it from a written table when
+    there is real work behind it; otherwise the work of a chain would grow with
+    the product of the passes instead of their sum.
+
     Returns ``record, signal, t, feature, value`` and the rate after the last step.
     """
     df = read_samples(samples, [spec.path], spec.channels).select("record", "channel", "t", "value")
+    heavy = False
     for step in spec.preprocessing:
-        df, fs = PREPROCESSING[step["type"]](df, fs, **step.get("args", {}))
+        name = step["type"]
+        if heavy and name in MULTI_PASS_STEPS:
+            df, heavy = stage(df), False
+        df, fs = PREPROCESSING[name](df, fs, **step.get("args", {}))
+        heavy = heavy or name not in ROW_STEPS
     if "x" in df.columns:
         df = df.select("record", "channel", F.col("frame").alias("t"), F.posexplode("x").alias("bin", "value"))
     else:
@@ -188,14 +198,21 @@ def _unique(events: DataFrame) -> DataFrame:
 def epoch_series(scores: DataFrame, labels: DataFrame, resolution: float) -> DataFrame:
     """Stitched predictions with targets: ``record, class, epoch, y_true, y_pred``.
 
-    ``scores`` and ``labels``: ``record, win, win_start, class, cell`` plus a value.
+    ``scores`` and ``labels`` hold the same windows: ``record, win, win_start,
+    class, cell`` plus a value. Both sides go into one aggregation, where the
+    earliest window wins, instead of a join followed by one.
     """
-    both = scores.join(labels, ["record", "win", "win_start", "class", "cell"])
+    none = F.lit(None).cast("double")
+    key = ["record", "win", "win_start", "class", "cell"]
+    both = labels.select(*key, "y_true", none.alias("y_pred")).unionByName(
+        scores.select(*key, none.alias("y_true"), F.col("y_pred").cast("double"))
+    )
     timed = both.withColumn("epoch", F.floor(F.col("win_start") / F.lit(resolution)).cast("long") + F.col("cell"))
-    return iv.stitch_windows(timed, ("record", "class"), "epoch", "win_start", ["win"], ("y_true", "y_pred"))
+    out = iv.stitch_windows(timed, ("record", "class"), "epoch", "win_start", "win", ("y_true", "y_pred"))
+    return out.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
 
 
-def agreement(series: DataFrame) -> DataFrame:
+def agreement(series: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Accuracy and kappa over epochs with exactly one true class."""
-    named = metrics.one_hot_labels(series)
+    named = metrics.one_hot_labels(series, classes)
     return metrics.multiclass_agreement(named, "true_class", "pred_class")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import seeded
-from vitalgrid.sources.tables import samples_from_log
+from vitalgrid.operators.chunks import floor_div
+from vitalgrid.sources.tables import samples_from_log, wall_micros
 
 # 2024-01-01 00:00:00 UTC, the origin of the event log, in seconds.
 ORIGIN = 1_704_067_200
@@ -42,7 +43,7 @@ class Views:
         """Many short three-axis records with clock time."""
         e = self.events.select(F.col("user_id").alias("record"), "ts", "event_id", "value")
         s = samples_from_log(e, ["record"], "ts", ["ts", "event_id"], 86_400)
-        us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ORIGIN * 1_000_000)
+        us = wall_micros(s, "ts") - F.lit(ORIGIN * 1_000_000)
         v = F.col("value")
         return s.select(
             "record", "t", us.alias("us"), F.sin(v).alias("x"), F.cos(v).alias("y"), (v / 250.0 - 1.0).alias("z")
@@ -53,7 +54,7 @@ class Views:
         kind = F.when(F.col("event_type") == "error", "mask").otherwise("event")
         return self.events.select(
             "event_id", F.col("event_id").alias("id"), F.col("user_id").alias("record"), F.col("event_type").alias("label"),
-            (F.unix_seconds(F.col("ts").cast("timestamp")) - ORIGIN).alias("start"),
+            (floor_div(wall_micros(self.events, "ts"), 1_000_000) - ORIGIN).alias("start"),
             F.floor(F.col("value") * 60).cast("long").alias("duration"), kind.alias("kind"),
         )
 

@@ -9,6 +9,7 @@ otherwise.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write a large intermediate once as Parquet in the shared folder and go on from there.
+
+    For tables that the next step reads several times: columns stay prunable and
+    a lost executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,

@@ -26,7 +26,9 @@ def read_samples(
 
 
 def open_samples(spark: SparkSession, path: str, **kw) -> DataFrame:
-    return read_samples(spark.read.schema(SAMPLES).parquet(path), **kw)
+    """Stored samples; NaN becomes NULL here, so aggregates downstream skip it."""
+    df = read_samples(spark.read.schema(SAMPLES).parquet(path), **kw)
+    return df.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def select_records(df: DataFrame, records: Sequence | DataFrame, record: str = "record") -> DataFrame:
@@ -86,6 +88,17 @@ def list_records(samples: DataFrame, record: str = "record") -> DataFrame:
     return samples.select(record).distinct()
 
 
+def wall_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column as written.
+
+    A zone-less timestamp is read as UTC in every session time zone.
+    """
+    instant = F.col(ts).cast("timestamp")
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        instant = F.from_utc_timestamp(instant, F.current_timezone())
+    return F.unix_micros(instant)
+
+
 def samples_from_log(
     log: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], bucket_seconds: int = 21_600
 ) -> DataFrame:
@@ -93,8 +106,7 @@ def samples_from_log(
 
     Numbering runs per time bucket, so a busy key is spread over many tasks.
     """
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    return ordinal(log, keys, floor_div(seconds, bucket_seconds * 1_000_000), order, "t")
+    return ordinal(log, keys, floor_div(wall_micros(log, ts), bucket_seconds * 1_000_000), order, "t")
 
 
 # ---- sinks -------------------------------------------------------------------------------
