@@ -229,3 +229,35 @@ def test_grouped_loss_equals_global(spark):
         assert fn(p, group=["g"]).first().value == pytest.approx(fn(p).first().value)
     for fn in (losses.ohem_weighted, losses.ohnm_effective):
         assert fn(p, 0.5, num_samples=60, group=["g"]).first().value == pytest.approx(fn(p, 0.5, num_samples=60).first().value)
+
+
+def test_group_size_is_bounded(samples):
+    """A long recording never reaches a kernel whole."""
+    seen = lambda pdf, wanted: {"n": np.full(len(wanted), float(len(pdf)))}
+    got = chunks.halo_map(samples, ["record"], "t", 7, 5, seen, {"n": "double"}, chunk=64).toPandas()
+    assert len(got) == 997 + 400 and got.n.max() == 64 + 7 + 5
+
+
+def test_one_record_with_a_third_of_the_rows(spark):
+    """Results and task sizes on a table where one record dominates."""
+    df = spark.range(60_000).selectExpr(
+        "case when id < 20000 then 'hot' else concat('r', id % 40) end as record", "0 as channel",
+        "case when id < 20000 then id else (id - 20000) div 40 end as t", "cast(id * 7919 % 1009 as double) as value",
+    )
+    got = rolling.diff(df, chunk=512)
+    sizes = got.where("record = 'hot'").groupBy(F.spark_partition_id()).count()
+    assert got.count() == 60_000 and sizes.count() > 1
+    flags = df.selectExpr("record", "channel", "t", "cast(value > 500 as int) as value")
+    pieces = rolling.runs(flags, "value", ["record"], chunk=512).toPandas()
+    want = flags.toPandas().sort_values(["record", "t"])
+    for name in ("hot", "r3"):
+        on = np.concatenate([[0], want[want.record == name].value, [0]])
+        edges = np.flatnonzero(np.diff(on)).reshape(-1, 2)
+        mine = pieces[pieces.record == name].sort_values("start")[["start", "stop"]].to_numpy()
+        assert np.array_equal(mine, edges)
+
+
+def test_missing_samples_count_as_zero_median(series, ordered):
+    x = [1.0, 2.0, 3.0, None, 5.0, 6.0, 7.0, 8.0, 9.0]
+    got = ordered(rolling.rolling_median_subtract(series(a=x), 1, 3))
+    assert got[1] == 0 and got[2] == 3 and got[4] == 5 and got[6] == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.model import KAPPA
@@ -197,8 +197,8 @@ def ohnm_effective(df: DataFrame, rate: float, beta: float = 0.99, num_samples:
 
 def _proportions(df: DataFrame, row: Sequence[str]) -> DataFrame:
     """Predictions scaled to sum to 1 over the classes of a row (bounded by the class count)."""
-    total = df.groupBy(*row).agg(F.sum("y_pred").alias("_t"))
-    return df.join(total, list(row)).withColumn("_q", _clip(F.col("y_pred") / F.col("_t")))
+    total = F.sum("y_pred").over(Window.partitionBy(*row))
+    return df.withColumn("_q", _clip(F.col("y_pred") / total))
 
 
 def _class_share(df: DataFrame, group, cls, spread) -> DataFrame:

@@ -20,6 +20,14 @@ def _rolling(df, lay, w, kernel, outputs, chunk, reach=1):
     return halo_map(data, lay.keys, lay.t, h, h, kernel, outputs, max(chunk, 4 * w))
 
 
+def _complete(y, w: int):
+    """0 where a whole window gave no value (missing samples inside); edges stay missing."""
+    h = w // 2
+    inner = y.iloc[h : len(y) - h] if len(y) >= w else y.iloc[:0]
+    y.loc[inner.index[inner.isna()]] = 0.0
+    return y
+
+
 def rolling_median_subtract(
     df: DataFrame, fs: float, window_size: float, lay: Layout = DEFAULT, chunk: int = CHUNK
 ) -> DataFrame:
@@ -33,7 +41,7 @@ def rolling_median_subtract(
 
     def kernel(pdf, wanted):
         x = pdf[lay.value]
-        med = x.rolling(w, center=True).median().bfill().ffill().fillna(x.median())
+        med = _complete(x.rolling(w, center=True).median(), w).bfill().ffill().fillna(x.median())
         return {lay.value: (x - med).to_numpy()[wanted]}
 
     return _rolling(df, lay, w, kernel, {lay.value: "double"}, chunk, reach=2)
@@ -46,7 +54,7 @@ def _centred(df, lay, w, chunk, **probs):
         out = {lay.value: x.to_numpy()[wanted]}
         for name, q in probs.items():
             y = roll.median() if q == 0.5 else roll.quantile(q)
-            out[name] = y.to_numpy()[wanted]
+            out[name] = _complete(y, w).to_numpy()[wanted]
         return out
 
     outputs = {lay.value: "double", **{n: "double" for n in probs}}
@@ -95,9 +103,9 @@ def adaptive_soft(
 
     def build(d, win):
         frame = win.rowsBetween(-h, h)
-        full = F.count("_r").over(frame) == w
-        std = F.when(full, F.stddev_samp("_r").over(frame)).otherwise(F.col("_gstd"))
-        return d.withColumn("_std", std)
+        whole = F.count(F.lit(1)).over(frame) == w
+        std = F.when(F.count("_r").over(frame) == w, F.stddev_samp("_r").over(frame)).otherwise(F.lit(0.0))
+        return d.withColumn("_std", F.when(whole, std).otherwise(F.col("_gstd")))
 
     out = over_chunks(res, lay.keys, lay.t, h, h, build, chunk)
     return out.select(*lay.keys, lay.t, (F.col("_r") / (F.col("_std") + F.lit(1e-10))).alias(lay.value))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import seeded
+from vitalgrid.model import layout
 from vitalgrid.operators import augment, windows as wn
 from vitalgrid.plans import oracle, spec
 from vitalgrid.plans.catalog import query
@@ -20,10 +21,11 @@ def _(v):
 
 
 @query("ud2_normalizer_registry", "record:i t:i channel:i value:d", "cells",
-       "SELECT win AS record, t, bin AS channel, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS value FROM cells WINDOW w AS (PARTITION BY win, bin)")
+       "SELECT win AS record, t, bin AS channel, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS value FROM cells WINDOW w AS (PARTITION BY win)")
 def _(v):
     cells = v.cells.withColumnsRenamed({"win": "record", "bin": "channel"})
-    return NORMALIZERS["min_max"](cells, 1.0)[0]
+    # The window takes the place of the record; extremes are those of all its bins.
+    return NORMALIZERS["min_max"](cells, 1.0, lay=layout(("record",)))[0]
 
 
 @query("ud3_augmentation_registry", "win:i t:i bin:i value:d", "cells",

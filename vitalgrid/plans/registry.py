@@ -217,6 +217,8 @@ NORMALIZER_NAMES = (
     "divide", "butter_bandpass_filter", "butter_highpass_filter", "zscore", "log",
 )
 NORMALIZERS: dict[str, Step] = {n: PREPROCESSING[n] for n in NORMALIZER_NAMES}
+# Of these, the ones whose statistics cover all bins of a window at once.
+WHOLE_WINDOW_NORMALIZERS = frozenset({"min_max", "zscore_log", "soft"})
 
 # Augmentation names; each takes (cells, seed, **args).
 AUGMENTATIONS: dict[str, Callable[..., DataFrame]] = {

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.rows import flat_feature
 from vitalgrid.operators import features, intervals as iv, metrics, windows as wn
-from vitalgrid.plans.registry import AUGMENTATIONS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS
+from vitalgrid.model import layout
+from vitalgrid.plans.registry import (
+    AUGMENTATIONS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS, WHOLE_WINDOW_NORMALIZERS,
+)
 from vitalgrid.session import stage
 from vitalgrid.sources.tables import read_samples
 
@@ -142,7 +145,10 @@ class WindowedDataset:
         keyed = part.select(
             F.struct("record", "win").alias("record"), F.col("bin").cast("int").alias("channel"), "t", "value"
         )
-        out, _ = NORMALIZERS[s.normalization["type"]](keyed, self.fs, **s.normalization.get("args", {}))
+        name, args = s.normalization["type"], dict(s.normalization.get("args", {}))
+        if name in WHOLE_WINDOW_NORMALIZERS:
+            args["lay"] = layout(("record",))
+        out, _ = NORMALIZERS[name](keyed, self.fs, **args)
         return out.select(
             "record.record", "record.win", F.lit(s.name).alias("signal"), "t", F.col("channel").cast("long").alias("bin"), "value"
         )
