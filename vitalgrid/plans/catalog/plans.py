@@ -68,7 +68,7 @@ def _(v):
 
 # The study set-up at 32 Hz: rolling median, rolling quartiles, clipping, pooled spectra.
 STUDY = {
-    "ACC_merge_fft_spec": {
+    "movement_spectrum": {
         "h5_path": "acc", "channel_idx": [0], "add": True, "fs_post": 0.5, "dimensions": [32, 1],
         "preprocessing": [
             {"type": "median", "args": {"window_size": 5}},
@@ -78,7 +78,7 @@ STUDY = {
         ],
         "transformations": {"freq_mask": {}, "time_mask": {"max_rows": 4}, "image_translation": {}},
     },
-    "PPG_fft_spec": {
+    "pulse_spectrum": {
         "h5_path": "acc", "channel_idx": [0], "add": False, "fs_post": 0.5, "dimensions": [32, 1],
         "preprocessing": [
             {"type": "zscore", "args": {}},
