@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import bitmap_of, components, narrow, probably_in, text_key
+from vitalgrid.llm.common import bitmap_of, components, narrow, ordinals, probably_in, text_key
 from vitalgrid.session import settle, stage
 
 # 100 permutations give 200 values: 40 bands of 5. A pair at similarity .8 misses all bands once in 8 million.
 PERMUTATIONS = 100
 ROWS = 5
+# Members of a block where colliding classes are compared with each other.
+BLOCK = 512
 _SIGNED = np.int64
 
 
@@ -111,6 +113,90 @@ def _confirm(pairs: DataFrame, shingle: int) -> DataFrame:
     return pairs.select("u", "v", "ut", "vt").mapInArrow(run, "u binary, v binary, inter long, total long")
 
 
+def _links(table: pa.Table, shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join different classes of one pair of blocks, a spanning set of them."""
+    cls, root = table.column("cls").to_pylist(), table.column("root").to_pylist()
+    side = table.column("side").to_numpy()
+    data, bounds = hashing.utf8(table.column("text"))
+    sets = hashing.shingle_sets(data, bounds, shingle)
+    sizes = np.array([len(s) for s in sets])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(place, kind="stable")
+    holders, first = owner[order], np.concatenate(([0], np.cumsum(often)))
+    ends = np.cumsum(sizes)
+    up = {r: r for r in root}
+
+    def top(r: bytes) -> bytes:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    out = []
+    for k in range(len(sets)):
+        own = place[ends[k] - sizes[k] : ends[k]]
+        own = own[often[own] > 1]
+        many = often[own]
+        at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        inter = np.bincount(holders[at], minlength=len(sets))
+        close = 100 * inter >= percent * (sizes + sizes[k] - inter)
+        close[: k + 1] = False
+        if side.any():
+            close &= side != side[k]
+        for j in np.flatnonzero(close):
+            a, b = top(root[k]), top(root[j])
+            if a != b:
+                up[a] = b
+                out.append((cls[k], cls[j]))
+    return out
+
+
+def _within_groups(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v): links between different roots among classes that collide, directly or over others.
+
+    A group is cut into blocks of BLOCK members and every pair of its blocks is one unit of work, so neither a task
+    nor a row ever holds a whole group, and only links that join something are written.
+    """
+    edges = rest.where("low <> cls").select(F.col("low").alias("u"), F.col("cls").alias("v"))
+    groups = components(edges)
+    groups = groups.union(groups.select("root", "root")).distinct()
+    members = rest.select("cls", "root").distinct().join(
+        groups.select(F.col("node").alias("gn"), F.col("root").alias("grp")), F.col("cls") == F.col("gn")
+    ).drop("gn")
+    buckets = max(8, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = stage(ordinals(members, "grp", ["cls"], "_o", buckets).withColumn("b", F.floor(F.col("_o") / BLOCK)))
+    many = numbered.groupBy("grp").agg((F.max("b") + 1).alias("blocks"))
+    dealt = numbered.join(many, "grp").join(texts, "cls").withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    units = dealt.select(
+        F.xxhash64("grp", F.least("b", "o"), F.greatest("b", "o")).alias("unit"),
+        (F.col("b") > F.col("o")).cast("int").alias("side"), "cls", "root", "text",
+    ).repartition("unit").sortWithinPartitions("unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle_unit() -> pa.RecordBatch:
+            links = _links(pa.Table.from_batches(held).combine_chunks(), shingle, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"]
+            )
+
+        for batch in batches:
+            unit = batch.column("unit").to_numpy()
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1), len(unit)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and b > a and held[-1].column("unit")[0].as_py() != unit[a]:
+                    yield settle_unit()
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield settle_unit()
+
+    return units.mapInArrow(run, "u binary, v binary")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -123,9 +209,8 @@ def near_duplicates(
     """(id, th, n_shingles, component_id, kept) per row: classes of documents linked at ``percent`` or more.
 
     Links are 100 * |intersection| >= percent * |union| on whole sets. Equal sets are one class before any pair is
-    formed. In each bucket of a band the class with the smallest key meets every other class; what that does not join is
-    compared further inside the bucket, except where the distances to that class rule a link out (set distance is
-    a metric). ``th`` is a hash of the text that keeps repeated ids apart.
+    formed. In each bucket of a band the class that shares most buckets meets every other class; what collides and is
+    still in different classes then is compared block by block. ``th`` is a hash of the text that keeps repeated ids apart.
     """
     docs = narrow(df, id_col, text_col)
     sig = stage(signatures(docs, shingle, permutations, rows))
@@ -133,9 +218,11 @@ def near_duplicates(
         sig.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("id", "th", "n", "bands")).alias("rep"))
     )
     banded = classes.select(F.explode("rep.bands").alias("bk"), "cls", F.col("rep.n").alias("n"))
-    leaders = banded.groupBy("bk").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    buckets = stage(banded.join(leaders, "bk"))
-    limit = percent / 100.0
+    crowded = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = stage(banded.join(crowded, "bk"))
+    # The class that shares most buckets with others is the likeliest centre of its group.
+    degree = shared.groupBy("cls").agg(F.sum("many").alias("degree")).withColumnRenamed("cls", "dcls")
+    buckets = stage(shared.join(degree, F.col("cls") == F.col("dcls")).drop("dcls"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes alone allow a link, each once."""
@@ -155,33 +242,27 @@ def near_duplicates(
         left = texts.select(F.col("cls").alias("u"), F.col("text").alias("ut"))
         return stage(_confirm(pairs.join(right, "v").join(left, "u"), shingle))
 
-    star = buckets.where(F.col("cls") != F.col("lead.cls")).select(
-        F.col("lead.cls").alias("u"), F.col("cls").alias("v"), F.col("lead.n").alias("nu"), F.col("n").alias("nv")
-    )
-    tested = confirmed(sized(star))
-    links = tested.where(100 * F.col("inter") >= percent * F.col("total")).select("u", "v")
-    joined = components(links)
+    def star(rows: DataFrame) -> DataFrame:
+        """The centre of every bucket with each other member of the bucket."""
+        centre = rows.groupBy("bk").agg(F.max(F.struct("degree", "cls", "n", "root")).alias("c"))
+        return rows.join(centre, "bk").where((F.col("cls") != F.col("c.cls"))).select(
+            F.col("c.cls").alias("u"), F.col("cls").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv"),
+            F.col("c.root").alias("ru"), F.col("root").alias("rv"),
+        )
 
-    # What the leaders did not join: pairs of one bucket in different classes so far.
-    apart = tested.select(
-        F.col("u").alias("lcls"), F.col("v").alias("cls"), (1 - F.col("inter") / F.col("total")).alias("far")
-    )
-    member = (
-        buckets.where((F.col("cls") != F.col("lead.cls")) & (F.col("many") > 2))
-        .withColumn("lcls", F.col("lead.cls"))
-        .join(apart, ["lcls", "cls"], "left")
-        .join(joined.select(F.col("node").alias("cls"), F.col("root").alias("root")), "cls", "left")
-        .withColumn("root", F.coalesce("root", "cls"))
+    def linked(tested: DataFrame) -> DataFrame:
+        return tested.where(100 * F.col("inter") >= percent * F.col("total")).select("u", "v")
+
+    tested = confirmed(sized(star(buckets.withColumn("root", F.col("cls")))))
+    joined = components(linked(tested))
+    # Buckets whose members are still in different classes: what collides there is compared block by block.
+    near = joined.select(F.col("node").alias("jn"), "root")
+    member = buckets.select("bk", "cls").join(near, F.col("cls") == F.col("jn"), "left").select(
+        "bk", "cls", F.coalesce("root", "cls").alias("root")
     )
-    mixed = member.groupBy("bk").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_ = stage(member.join(mixed.select("bk"), "bk").select("bk", "cls", "n", "far", "root"))
-    a, b = open_.alias("a"), open_.alias("b")
-    more = a.join(b, F.col("a.bk") == F.col("b.bk")).where(
-        (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-        & (F.abs(F.coalesce(F.col("a.far") - F.col("b.far"), F.lit(0.0))) <= 1 - limit + 1e-9)
-    ).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
-    later = confirmed(sized(more))
-    found = later.where(100 * F.col("inter") >= percent * F.col("total")).select("u", "v")
+    mixed = member.groupBy("bk").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("cls").alias("low"))
+    rest = stage(member.join(mixed.where("r0 <> r1").select("bk", "low"), "bk").select("low", "cls", "root").distinct())
+    found = stage(_within_groups(rest, texts, shingle, percent))
     if found.head(1):
         joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
 
