@@ -4,23 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import minmax
+from vitalgrid.llm import bpe, minmax, patterns, shards, suffix_family, toxicity
+
+# Every tokenizing query reads this public vocabulary file where it is installed.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards of near equal bytes, equal texts together."""
+    found = shards.assign(_table(spark, sf_dir, "documents"), 16)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles at similarity .8."""
     found = minmax.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into sequences of 4096 tokens."""
+    found = patterns.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 4096, 1)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return found.select(
+        F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded and decoded again, as digests."""
+    path = public_tokenizers.path(TOKENIZER)
+    found = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return bpe.with_counts(found).select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes of passages of 200 bytes that stand in several places."""
+    found = suffix_family.strip_repeats(_table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["e"] - x["s"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lpt_sharding": op2_lpt_sharding,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
+    "op5_pattern_packing": op5_pattern_packing,
+    "op6_toxicity_grammar": op6_toxicity_grammar,
+    "op7_streaming_bpe": op7_streaming_bpe,
+    "op10_suffix_family": op10_suffix_family,
 }
 ORACLES: dict[str, str] = {}

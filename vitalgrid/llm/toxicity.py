@@ -239,12 +239,17 @@ def learn(
         if seen:
             yield out()
 
-    least = max(3, math.ceil(0.004 * sizes[1]))
+    # A term counts if its share of toxic rows would be a one-in-ten-million accident at the sample's rate.
+    rate = sizes[1] / (sizes[0] + sizes[1])
+    share = (F.col("pos") + 1e-9) / (F.col("pos") + F.col("neg") + 2e-9)
+    surprise = (F.col("pos") + F.col("neg")) * (
+        share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate))
+    )
     odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
     learned = (
         chosen.mapInArrow(count, "term string, neg long, pos long").groupBy("term")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).withColumn("odds", odds)
-        .where((F.col("pos") >= least) & (F.col("odds") > 3)).orderBy(F.desc("pos"), "term").limit(terms).collect()
+        .where((surprise > 16) & (F.col("odds") > 3)).orderBy(F.desc("pos"), "term").limit(terms).collect()
     )
     stems = [r["term"][:-1] for r in learned if r["term"].endswith("*")]
     words = {r["term"]: "insult" for r in learned if not r["term"].endswith("*") and r["term"].strip(".!?;\n")} | words
