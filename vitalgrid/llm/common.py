@@ -16,9 +16,25 @@ FILTER_BITS = 1 << 26
 _ROW_BITS = 32768
 
 
-def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on, as ``id`` and ``text``; every other column may have any name."""
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def narrow(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The two columns an operator works on, as ``id`` and ``text``; columns to carry along go into a struct ``row``.
+
+    Every other column may have any name, because none of them is looked at.
+    """
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    if carry:
+        columns.append(F.struct(*carry).alias("row"))
+    return df.select(*columns)
+
+
+def carried(docs: DataFrame) -> list[str]:
+    """The carried column's name in a list, or nothing."""
+    return [c for c in ("row",) if c in docs.columns]
+
+
+def ddl(docs: DataFrame, *names: str) -> str:
+    """Schema text of some columns, in order."""
+    return ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
 
 
 def text_key(text: str | Column = "text") -> Column:

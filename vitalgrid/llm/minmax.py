@@ -277,3 +277,23 @@ def near_duplicates(
         "id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
+
+
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of every class the document with the smallest id stays.
+
+    Of rows that repeat with id and text one stays. Only rows that may go are shuffled.
+    """
+    found = near_duplicates(df, id_col, text_col, shingle, percent)
+    fate = found.groupBy("id", "th").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("many"))
+    fate = stage(fate.where("many > 1 or not kept").select(F.col("id").alias("_fi"), F.col("th").alias("_ft"), "kept"))
+    fate = fate.withColumnRenamed("kept", "_fk")
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    docs = docs.withColumn("_th", text_key(F.col("row")[text_col]))
+    flagged = probably_in(docs, "_th", stage(bitmap_of(fate, "_ft")))
+    same = (F.col("_th") == F.col("_ft")) & F.col("row")[id_col].eqNullSafe(F.col("_fi"))
+    doubtful = flagged.where("_maybe").join(fate, same, "left").where("coalesce(_fk, true)")
+    once = doubtful.where("_fk is not null").dropDuplicates(["_fi", "_ft"]).select("row.*")
+    return once.union(doubtful.where("_fk is null").select("row.*")).union(flagged.where(~F.col("_maybe")).select("row.*"))

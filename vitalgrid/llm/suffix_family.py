@@ -14,7 +14,7 @@ that repeat each other; matches never cross texts. Input columns other than id a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import bitmap_of, narrow, probably_in, text_key
+from vitalgrid.llm.common import bitmap_of, carried, ddl, narrow, probably_in, text_key
 from vitalgrid.session import stage
 
 GRAM = 32
@@ -329,20 +329,21 @@ def strip_repeats(
     gram: int = GRAM,
     batches: int = BATCHES,
     whole_characters: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, th, n_bytes, spans, kept) per row: maximal removed byte runs and the bytes that stay.
+    """(id, th, carried row, n_bytes, spans, kept) per row: maximal removed byte runs and the bytes that stay.
 
     With ``whole_characters`` a run gives back bytes of characters it covers only in part, so ``kept`` is UTF-8.
     """
-    docs = narrow(df, id_col, text_col).withColumn("th", text_key())
-    marks = repeated_marks(docs, length, gram, batches)
+    docs = narrow(df, id_col, text_col, carry).withColumn("th", text_key())
+    own_columns = ["id", "th", *carried(docs)]
+    marks = repeated_marks(docs.select("id", "th", "text"), length, gram, batches)
     per_text = stage(
         marks.groupBy(F.col("id").alias("mid"), F.col("th").alias("mth"))
         .agg(F.collect_set(F.struct("s", "e")).alias("marks"))
     )
     flagged = probably_in(docs, "th", stage(bitmap_of(per_text, "mth")))
-    id_type = docs.schema["id"].dataType.simpleString()
-    shape = f"id {id_type}, th long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
+    shape = f"{ddl(docs, *own_columns)}, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,19 +378,19 @@ def strip_repeats(
                 kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("th"), pa.array(np.diff(bounds)),
+                    *(batch.column(c) for c in own_columns), pa.array(np.diff(bounds)),
                     pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                     pa.array(kept, pa.binary()),
                 ],
-                ["id", "th", "n_bytes", "spans", "kept"],
+                [*own_columns, "n_bytes", "spans", "kept"],
             )
 
     changed = flagged.where("_maybe").join(
         per_text, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left"
-    ).select("id", "th", "text", "marks").mapInArrow(strip, shape)
+    ).select(*own_columns, "text", "marks").mapInArrow(strip, shape)
     whole = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     same = flagged.where(~F.col("_maybe")).select(
-        "id", "th", F.length(whole).cast("long").alias("n_bytes"),
+        *own_columns, F.length(whole).cast("long").alias("n_bytes"),
         F.from_json(F.lit("[]"), "array<struct<s:long,e:long>>").alias("spans"), whole.alias("kept"),
     )
     return changed.union(same)

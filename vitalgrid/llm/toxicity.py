@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import narrow
+from vitalgrid.llm.common import carried, ddl, narrow
 from vitalgrid.session import stage
 
 # English seed words of the classes.
@@ -268,10 +268,12 @@ def learn(
     return Model(words, stems, fit_logistic(x, y_, weight).tolist())
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, score, asserted, aimed, denied, told) per row, from the whole text alone."""
-    docs = narrow(df, id_col, text_col)
-    id_type = docs.schema["id"].dataType.simpleString()
+def score(
+    df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, score, outcome counts, carried row) per row, from the whole text alone."""
+    docs = narrow(df, id_col, text_col, carry)
+    kept = ["id", *carried(docs)]
     counts = ("insult", "aimed", "denied", "told", "threat", "threat_aimed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +283,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             z = [float(np.dot(scorer.weights, features(f))) for f in found]
             scores = [1 / (1 + math.exp(-max(-40.0, min(40.0, v)))) for v in z]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(scores, pa.float64()), *(pa.array([f[c] for f in found], pa.int32()) for c in counts)],
-                ["id", "score", *counts],
+                [
+                    *(batch.column(c) for c in kept), pa.array(scores, pa.float64()),
+                    *(pa.array([f[c] for f in found], pa.int32()) for c in counts),
+                ],
+                [*kept, "score", *counts],
             )
 
-    return docs.mapInArrow(run, f"id {id_type}, score double, " + ", ".join(f"{c} int" for c in counts))
+    return docs.mapInArrow(run, f"{ddl(docs, *kept)}, score double, " + ", ".join(f"{c} int" for c in counts))
