@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import bpe, line_dedup, minmax, patterns, shards, suffix_family, toxicity
+from vitalgrid.llm import bpe, line_dedup, minmax, patterns, rotated_codes, shards, suffix_family, toxicity, va_file
 
 # Every tokenizing query reads this public vocabulary file where it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best integer inner products of every hundredth vector against all others."""
+    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
+    return va_file.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, vec)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest by cosine of every fiftieth vector against all others."""
+    return rotated_codes.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sixteen shards of near equal bytes, equal texts together."""
     found = shards.assign(_table(spark, sf_dir, "documents"), 16)
@@ -100,8 +122,10 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_va_file": op1_va_file,
     "op2_lpt_sharding": op2_lpt_sharding,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
+    "op4_rotated_codes": op4_rotated_codes,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_streaming_bpe": op7_streaming_bpe,
@@ -109,4 +133,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_family": op10_suffix_family,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op8_line_neighbourhood": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op8_line_neighbourhood": OP8_SQL}
