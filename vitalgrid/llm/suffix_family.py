@@ -231,12 +231,14 @@ def _compare_crowd(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 for p in range(parts):
                     pick = order[cuts[p] : cuts[p + 1]]
                     if len(pick):
+                        take = pa.array(own[pick])
+                        ends = pa.array([0, len(pick)], pa.int32())
+                        values = (
+                            pa.array(h[pick].view(np.int64)), batch.column("id").take(take),
+                            batch.column("th").take(take), pa.array(start[pick]),
+                        )
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([p], pa.int32()), pa.array([h[pick].view(np.int64)]),
-                                pa.array([batch.column("id").take(pa.array(own[pick]))]),
-                                pa.array([batch.column("th").to_numpy()[own[pick]]]), pa.array([start[pick]]),
-                            ],
+                            [pa.array([p], pa.int32()), *(pa.ListArray.from_arrays(ends, v) for v in values)],
                             ["part", "h", "ids", "ths", "at"],
                         )
 
