@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import bpe, line_dedup, minmax, patterns, rotated_codes, shards, suffix_family, toxicity, va_file
+from vitalgrid.llm import bpe, line_dedup, minmax, patterns, rotated_codes, shards, suffix_family, toxicity, va_file, warc
 
 # Every tokenizing query reads this public vocabulary file where it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -111,6 +111,21 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op9_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a web archive record and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without bytes of passages of 200 bytes that stand in several places."""
     found = suffix_family.strip_repeats(_table(spark, sf_dir, "documents"), length=200)
@@ -130,7 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_streaming_bpe": op7_streaming_bpe,
     "op8_line_neighbourhood": op8_line_neighbourhood,
+    "op9_warc_chain": op9_warc_chain,
     "op10_suffix_family": op10_suffix_family,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op8_line_neighbourhood": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op8_line_neighbourhood": OP8_SQL, "op9_warc_chain": OP9_SQL}
