@@ -63,41 +63,55 @@ def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return near.join(keys, F.col(key) == F.col("skey"), "left_semi")
 
 
+def _neighbourhood(middle: str, key: int, alone: bool) -> np.ndarray:
+    """Keys of a piece's variants: itself, or each deletion with and without its place.
+
+    Variants are hashed from prefix sums, so a piece of any length takes memory in proportion to its length.
+    """
+    data = np.frombuffer(middle.encode(), np.uint8)
+    sums = hashing.prefix(data)
+    own = np.array([key], np.int64).view(np.uint64)
+    tag = np.uint64(0xD6E8FEB86659FD93)
+    if alone:
+        return hashing.mix(hashing.mix(sums[-1:] + np.uint64(len(data)) * tag) + own)
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    wide = np.diff(np.append(start, len(data)))
+    rest = (sums[-1] - sums[start + wide]) * hashing.powers(8, inverse=True)[wide]
+    cut = hashing.mix(sums[start] + rest + (len(data) - wide).astype(np.uint64) * tag) + own
+    placed = hashing.mix(cut + (np.arange(len(start), dtype=np.uint64) + np.uint64(1)) * tag)
+    return np.concatenate([np.unique(hashing.mix(cut)), placed])
+
+
 def _variants(rows: DataFrame) -> DataFrame:
     """(vk, lh, centre): keys of the deletion neighbourhood of each row's piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            lens = [len(h) for h, _, _ in held]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([h for h, _, _ in held]).view(np.int64)),
+                    pa.array(np.repeat([lh for _, lh, _ in held], lens)),
+                    pa.array(np.repeat(np.array([c for _, _, c in held], np.int32), lens)),
+                ],
+                ["vk", "lh", "centre"],
+            )
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                keys, owner, centre = [], [], []
-                columns = [part.column(c).to_pylist() for c in ("line", "n", "t", "j", "key")]
-                for k, (line, n, t, j, key) in enumerate(zip(*columns, strict=True)):
-                    a, b = t * j // PIECES, t * (j + 1) // PIECES
-                    middle = line[a : b - (t - n)]
-                    if n < t:
-                        own, same = [(key, middle, -1)], 1
-                    else:
-                        cut = [middle[:i] + middle[i + 1 :] for i in range(len(middle))]
-                        own = [(key, v, i) for i, v in enumerate(cut)] + [(key, v, -1) for v in dict.fromkeys(cut)]
-                        same = 0
-                    keys += own
-                    owner += [k] * len(own)
-                    centre += [same] * len(own)
-                if not keys:
-                    continue
-                text = pa.array([f"{v}\n{i}" for _, v, i in keys])
-                data, bounds = hashing.utf8(text)
-                sums = hashing.prefix(data)
-                own_key = np.array([k for k, _, _ in keys], np.int64).view(np.uint64)
-                hashed = hashing.mix(hashing.windows(sums, bounds[:-1], np.diff(bounds)) + own_key)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashed.view(np.int64)), part.column("lh").take(pa.array(owner, pa.int64())),
-                        pa.array(np.array(centre, np.int32)),
-                    ],
-                    ["vk", "lh", "centre"],
-                )
+            columns = (batch.column(c) for c in ("line", "n", "t", "j", "key", "lh"))
+            for row in zip(*columns, strict=True):
+                line, n, t, j, key, lh = (x.as_py() for x in row)
+                a, b = t * j // PIECES, t * (j + 1) // PIECES
+                held.append((_neighbourhood(line[a : b - (t - n)], key, n < t), lh, int(n < t)))
+                size += len(held[-1][0])
+                if size > 200_000:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return rows.select("line", "n", "t", "j", "key", "lh").mapInArrow(run, "vk long, lh long, centre int")
 
