@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vitalgrid.llm.common import narrow
 
 # Chunks (text between blanks) whose ids a worker remembers; longer ones than CHUNK symbols are never remembered.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 CHUNK = 48
 
 
@@ -45,6 +45,9 @@ class Transducer:
         self.vocab, self.suffix = vocab, suffix
         self.ranks = {tuple(m): r for r, m in enumerate(merges)}
         self.longest = max(len(t.removesuffix(suffix)) for t in vocab)
+        #: Beginnings of tokens, and whether each is itself a token inside a word.
+        self.heads = {t[:k]: False for t in vocab for k in range(1, len(t.removesuffix(suffix)) + 1)}
+        self.heads |= {t: True for t in vocab if not (suffix and t.endswith(suffix))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         chain: dict[str, int] = {}
@@ -92,38 +95,56 @@ class Transducer:
 
         A position from which nothing goes on is on no path at all, because each prefix has one path only.
         """
-        n, suffix, longest = len(text), self.suffix, self.longest
+        n, suffix, heads = len(text), self.suffix, self.heads
         if n > self.lookahead:
             return list(self.run(text))
-        text = "".join(text)
-        own, pairs, vocab = self.own, self.pairs, self.vocab
-        tokens, starts, dead = [], [0], set()
-        at, size = 0, min(longest, n)
+        if type(text) is list:
+            text = "".join(text)
+        whole = text + suffix
+        if self.own.get(whole) or (whole in self.vocab and self.stands(whole)):
+            return [whole]
+        own, pairs = self.own, self.pairs
+        tokens: list[str] = []
+        # For every token so far: its start and the shorter ones that are left to try there.
+        choices: list[tuple[int, list[str]]] = []
+        dead: set[int] = set()
+        at, before = 0, None
         while at < n:
-            before = tokens[-1] if tokens else None
-            while size:
-                end = at + size
-                token = text[at:end] if end < n else text[at:] + suffix
-                if token in vocab and end not in dead:
+            fits = []
+            for end in range(at + 1, n + 1):
+                token = text[at:end]
+                kind = heads.get(token)
+                if kind is None:
+                    break
+                if kind and end < n:
+                    fits.append(token)
+            else:
+                token = text[at:] + suffix
+                if token in self.vocab:
+                    fits.append(token)
+            while True:
+                while fits:
+                    token = fits.pop()
                     stands = own.get(token)
-                    if stands or (stands is None and self.stands(token)):
-                        if before is None:
-                            break
+                    if not (stands or (stands is None and self.stands(token))):
+                        continue
+                    if before is not None:
                         apart = pairs.get((before, token))
-                        if apart or (apart is None and self.apart(before, token)):
-                            break
-                size -= 1
-            if size:
-                tokens.append(token)
-                starts.append(at + size)
-                at += size
-                size = min(longest, n - at)
-            else:
-                dead.add(at)
-                tokens.pop()
-                starts.pop()
-                size = at - starts[-1] - 1
-                at = starts[-1]
+                        if not (apart or (apart is None and self.apart(before, token))):
+                            continue
+                    end = at + len(token)
+                    if end not in dead:
+                        break
+                else:
+                    dead.add(at)
+                    tokens.pop()
+                    at, fits = choices.pop()
+                    before = tokens[-1] if tokens else None
+                    continue
+                break
+            tokens.append(token)
+            choices.append((at, fits))
+            at, before = end, token
         return tokens
 
     def run(self, word: Iterable[str]) -> Iterator[str]:
@@ -192,15 +213,31 @@ class Encoder:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.packed = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.memory = _Memory(self)
+        self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         # Lower case goes character by character, so a final sigma is like any other.
-        lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        out = []
-        for word in self.words.findall(lowered):
+        if text.isascii():
+            lowered = text.lower()
+            if lowered.isalpha():
+                return self._word(lowered)
+            if lowered[-1:] in (".", ",") and lowered[:-1].isalpha():
+                return self._word(lowered[:-1]) + self._word(lowered[-1])
+        else:
+            lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return b"".join(map(self._word, self.words.findall(lowered)))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the pre-tokenizer cuts them."""
+        ids = self.known.get(word)
+        if ids is None:
             symbols = word if word.isascii() and word.isprintable() else [self.alphabet[b] for b in word.encode()]
-            out.extend(map(self.packed.__getitem__, self.transducer.word(symbols)))
-        return b"".join(out)
+            ids = b"".join(map(self.packed.__getitem__, self.transducer.word(symbols)))
+            if len(word) <= CHUNK:
+                if len(self.known) >= REMEMBERED // 3:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def chunk(self, text: str) -> bytes:
         """Ids of a text, special tokens included."""
@@ -218,17 +255,20 @@ class Encoder:
 
 
 class _Memory(dict):
-    """Chunk -> ids with a bound on entries; the oldest leave first."""
+    """Chunk -> ids in two generations: when the young one is full it becomes the old one."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoder.chunk(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encoder.chunk(chunk)
         if len(chunk) <= CHUNK:
-            if len(self) >= REMEMBERED:
-                del self[next(iter(self))]
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
