@@ -194,7 +194,7 @@ def test_stream_and_word_take_the_same_path():
     assert own.lookahead >= own.longest
     for _ in range(400):
         word = "".join(rng.choice(list("aeinrstho"), rng.integers(1, 60)))
-        assert own.word(word) == list(own.run(word)) == own.merge([*word[:-1], word[-1] + own.suffix])
+        assert own.word(word) == list(own.run(word)) == own.whole(word) == own.merge([*word[:-1], word[-1] + own.suffix])
     long_ = "".join(rng.choice(list("aeinrstho"), 4 * own.lookahead))
     assert list(own.run(iter(long_)))[-1].endswith(own.suffix)
 

@@ -59,14 +59,29 @@ class Transducer:
         self.lookahead = (most + 1) * self.longest
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Merges by rank, leftmost first: the definition, used on single tokens and pairs only."""
-        while len(symbols) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 60:
+        """Merges by rank, leftmost first: the definition, on a few symbols that are all there."""
+        rank, none = self.ranks.get, 1 << 60
+        waits = [rank(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while waits:
+            least = min(waits)
+            if least == none:
                 break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            at = waits.index(least)
+            joined = symbols[at] + symbols[at + 1]
+            symbols[at : at + 2] = [joined]
+            del waits[at]
+            if at:
+                waits[at - 1] = rank((symbols[at - 1], joined), none)
+            if at < len(waits):
+                waits[at] = rank((joined, symbols[at + 1]), none)
         return symbols
 
+    def whole(self, text: str | list[str]) -> list[str]:
+        """Tokens of a short word by its definition, for callers that hold the whole word anyway."""
+        if len(text) > CHUNK:
+            return self.word(text)
+        return self.merge([*text[:-1], text[-1] + self.suffix])
+
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix):
             body = token[: -len(self.suffix)]
@@ -196,13 +211,14 @@ class Transducer:
 class Encoder:
     """A tokenizer file (word-end BPE over bytes) read as data; ``ids`` are little-endian 32-bit numbers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, stream: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(self.vocab, merges, model["end_of_word_suffix"] or "")
+        self.tokens = self.transducer.word if stream else self.transducer.whole
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
@@ -232,7 +248,7 @@ class Encoder:
         ids = self.known.get(word)
         if ids is None:
             symbols = word if word.isascii() and word.isprintable() else [self.alphabet[b] for b in word.encode()]
-            ids = b"".join(map(self.packed.__getitem__, self.transducer.word(symbols)))
+            ids = b"".join(map(self.packed.__getitem__, self.tokens(symbols)))
             if len(word) <= CHUNK:
                 if len(self.known) >= REMEMBERED // 3:
                     self.known.clear()
@@ -309,9 +325,12 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per Python worker; the file must be installed on every node."""
-    return Encoder(path)
+def encoder(path: str, stream: bool = True) -> Encoder:
+    """One per Python worker; the file must be installed on every node.
+
+    Without ``stream`` short words are merged by rank at once, which gives the same ids.
+    """
+    return Encoder(path, stream)
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

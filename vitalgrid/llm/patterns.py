@@ -193,7 +193,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str, text_c
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, stream=False)
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for k, text in enumerate(batch.column("text")):
