@@ -164,7 +164,7 @@ def predictions(spark):
 def test_losses(predictions):
     assert losses.cross_entropy(predictions).first().value == pytest.approx(0.432217, abs=1e-6)
     assert losses.focal(predictions).first().value == pytest.approx(0.133942, abs=1e-6)
-    assert losses.ohem_cross_entropy(predictions, 1.0, 2).first().value == pytest.approx(0.610861, abs=1e-6)
+    assert losses.ohem_cross_entropy(predictions, 1.0, 2, []).first().value == pytest.approx(0.610861, abs=1e-6)
     assert losses.dice(predictions).first().value == pytest.approx(0.841463, abs=1e-6)
 
 
@@ -212,11 +212,10 @@ def test_stage_order(spark):
     assert wn.stage_order(df.withColumn("m", F.lit(True)), mask="m").first().stage == -1
 
 
-def test_pairs_checks_length(spark):
-    df = spark.range(5).selectExpr("cast(id as string) item")
-    assert iv.pairs(df, "item").count() == 10
-    with pytest.raises(Exception, match="too long"):
-        iv.pairs(df, "item", max_items=3).collect()
+def test_pairs_of_declared_items(spark):
+    df = spark.range(5).selectExpr("cast(id as string) item").union(spark.range(3).selectExpr("cast(id as string)"))
+    assert iv.pairs(df, "item", list("01234")).count() == 10
+    assert [tuple(r) for r in iv.pairs(df, "item", ["3", "9", "1"]).collect()] == [("1", "3")]
 
 
 def test_assert_finite(series):

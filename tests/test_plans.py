@@ -72,7 +72,7 @@ def test_every_step_runs(axes, name):
 
 
 def test_registries_are_complete():
-    assert len(registry.LOSSES) == 17 and len(registry.METRICS) == 19 and len(registry.AUGMENTATIONS) == 11
+    assert len(registry.LOSSES) == 17 and len(registry.METRICS) == 20 and len(registry.AUGMENTATIONS) == 11
     assert set(registry.NORMALIZERS) <= set(registry.PREPROCESSING)
 
 
@@ -99,8 +99,11 @@ def test_cache_is_used_once(spark, tmp_path):
         return spark.range(3)
 
     for _ in range(2):
-        assert tables.cache_preprocessed(spark, str(tmp_path), {"a": 1}, compute).count() == 3
+        assert tables.cache_preprocessed(spark, str(tmp_path), {"a": 1}, compute, "v1").count() == 3
     assert len(calls) == 1
+    # Another input under the same specification is computed anew.
+    longer = tables.cache_preprocessed(spark, str(tmp_path), {"a": 1}, lambda: spark.range(9), ["part-1", "part-2"])
+    assert longer.count() == 9 and len(calls) == 1
 
 
 def test_filters_reach_the_scan(spark, series, tmp_path):

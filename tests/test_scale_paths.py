@@ -42,7 +42,7 @@ def test_narrowed_quantiles_heavy_ties(series):
 
 def test_salted_lookup(samples, monkeypatch):
     plain = table(normalize.zscore(samples))
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     pd.testing.assert_frame_equal(plain, table(normalize.zscore(samples))[plain.columns])
 
 
@@ -228,7 +228,7 @@ def test_grouped_loss_equals_global(spark):
     for fn in (losses.weighted, losses.effective_number_focal, losses.effective_number_cross_entropy):
         assert fn(p, group=["g"]).first().value == pytest.approx(fn(p).first().value)
     for fn in (losses.ohem_weighted, losses.ohnm_effective):
-        assert fn(p, 0.5, num_samples=60, group=["g"]).first().value == pytest.approx(fn(p, 0.5, num_samples=60).first().value)
+        assert fn(p, 0.5, 60, ["g"]).first().value == pytest.approx(fn(p, 0.5, 60, []).first().value)
 
 
 def test_group_size_is_bounded(samples):
@@ -261,3 +261,59 @@ def test_missing_samples_count_as_zero_median(series, ordered):
     x = [1.0, 2.0, 3.0, None, 5.0, 6.0, 7.0, 8.0, 9.0]
     got = ordered(rolling.rolling_median_subtract(series(a=x), 1, 3))
     assert got[1] == 0 and got[2] == 3 and got[4] == 5 and got[6] == 0
+
+
+def test_rolling_frames_are_linear_and_exact(spark):
+    """Running sums equal the frame definition, also where values are missing or constant."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(3000)
+    x[500:700] = 1.5
+    x[1000] = np.nan
+    df = spark.createDataFrame([("a", 0, k, None if np.isnan(v) else float(v)) for k, v in enumerate(x)], "record string, channel int, t long, value double")
+    got = rolling.rolling_autocorr(df, 1, 101, chunk=400).orderBy("t").toPandas().value.to_numpy(dtype=float)
+    w, s = 101, np.concatenate(([np.nan], x[:-1]))
+    for k in (150, 620, 660, 1001, 1050, 2999):
+        a, b = s[k - w + 2 : k + 1], x[k - w + 2 : k + 1]
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        if a[ok].std() == 0 or b[ok].std() == 0:
+            assert np.isnan(got[k])
+        else:
+            assert got[k] == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-9)
+    assert np.isnan(got[: w - 1]).all()
+
+
+def test_quantiles_with_infinities_agree_on_both_ways(spark):
+    rng = np.random.default_rng(5)
+    values = [float("inf")] * 40 + [float("-inf")] * 25 + rng.standard_normal(400).tolist() + [1e308, -1e308, 0.5, 0.5]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in (1.0, 2.0, 4.0)], "k string, v double")
+    probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
+    small = {r["k"]: tuple(r)[1:] for r in quantiles.group_quantiles(df, ["k"], "v", probs).collect()}
+    for bound in (2, 50):
+        large = {r["k"]: tuple(r)[1:] for r in quantiles.group_quantiles(df, ["k"], "v", probs, small_group=bound, bins=8).collect()}
+        assert large == small
+
+
+def test_suppression_ranks_missing_scores_last_on_both_ways(spark):
+    rows = [("a", 0, 1, None, 0.0, 10.0), ("a", 0, 2, 0.3, 1.0, 11.0), ("a", 0, 3, float("nan"), 2.0, 12.0), ("a", 0, 4, 0.1, 30.0, 40.0)]
+    df = spark.createDataFrame(rows, "record string, class int, id int, score double, start double, stop double")
+    keep = [sorted(r["id"] for r in iv.nms(df, 0.5, **kw).collect()) for kw in ({}, {"local_bucket": 0}, {"local_stretch": 0})]
+    assert keep == [[2, 4]] * 3
+
+
+def test_gaps_and_unsampled_records_are_padded(spark):
+    samples = spark.createDataFrame([("a", t, 1.0) for t in (0, 1, 5)], "record string, t long, value double")
+    win = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "record string, win int, start long")
+    got = sorted((r["record"], r["pos"], r["value"]) for r in wn.window_samples(samples, win, 6, 1).collect())
+    assert got == [("a", k, float(k in (0, 1, 5))) for k in range(6)] + [("b", k, 0.0) for k in range(6)]
+
+
+def test_large_window_numbers_do_not_reorder_starts(spark):
+    rows = [("a", "x", 3, 0.0, (1 << 20) + 5, 1.0), ("a", "x", 3, 1.0, 0, 2.0)]
+    df = spark.createDataFrame(rows, "record string, class string, epoch long, win_start double, win long, y_pred double")
+    assert iv.stitch_windows(df, win="win").first().y_pred == 1.0
+
+
+def test_all_batches_and_the_last_one(spark):
+    win = spark.range(25_001).selectExpr("'a' record", "cast(id as int) win")
+    assert wn.batch(win, 2).count() == 25_000
+    assert wn.batch(win, 2, drop_last=False).count() == 25_001

@@ -158,18 +158,18 @@ def select_overlap(
     return events.join(failed.select(*keys, "start", "stop").distinct(), [*keys, "start", "stop"], "left_anti")
 
 
-def pairs(df: DataFrame, item: str, keys: Sequence[str] = (), max_items: int = 10_000) -> DataFrame:
-    """Unordered pairs of the distinct items of a short list (labels, channel names).
+def pairs(df: DataFrame, item: str, declared: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Unordered pairs of those ``declared`` items (class or channel names) that occur in a key.
 
-    The list length is checked: a list beyond ``max_items`` is an error, not a
-    silent truncation.
+    The list is part of a specification, so its size is that of the
+    configuration and not of the data; nothing is gathered.
     """
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_l"))
-    too_long = F.raise_error(F.concat(F.lit("list too long to pair: "), F.size("_l").cast("string")))
-    checked = lists.withColumn("_l", F.when(F.size("_l") <= max_items, F.col("_l")).otherwise(too_long))
-    first = checked.select(*keys, "_l", F.posexplode("_l").alias("_i", "first"))
-    rest = F.slice("_l", F.col("_i") + 2, F.greatest(F.size("_l") - F.col("_i") - 1, F.lit(0)))
-    return first.select(*keys, "first", F.explode(rest).alias("second"))
+    names = sorted(set(declared))
+    keys = list(keys)
+    here = df.where(F.col(item).isin(names)).select(*keys, F.col(item).alias("first")).distinct()
+    later = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: n > F.col("first"))
+    both = here.select(*keys, "first", F.explode(later).alias("second"))
+    return both.join(here.withColumnRenamed("first", "second"), [*keys, "second"]).select(*keys, "first", "second")
 
 
 # ---- grids ---------------------------------------------------------------------------
@@ -254,12 +254,9 @@ def stitch_windows(
 ) -> DataFrame:
     """One value per epoch from overlapping windows: the earliest window wins.
 
-    Start and window number (below 2^20) form one integer, which keeps the
-    aggregation a hash aggregation. NULL values do not take part.
+    Ties between starts go to the smaller window number. NULL values do not take part.
     """
-    order = F.col(start).cast("long")
-    if win is not None:
-        order = order * F.lit(1 << 20) + F.col(win)
+    order = F.col(start) if win is None else F.struct(start, win)
     first = lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), order))
     return scores.groupBy(*keys, epoch).agg(*[first(v).alias(v) for v in values])
 
@@ -316,16 +313,16 @@ def stretches(
 
 def greedy_keep(start: Sequence[float], stop: Sequence[float], overlap: float) -> list[bool]:
     """Best-first suppression of one small stretch whose rows are listed best first."""
-    keep = [True] * len(start)
+    start, stop = np.asarray(start, float), np.asarray(stop, float)
+    keep = np.ones(len(start), dtype=bool)
     for i in range(len(start)):
-        if not keep[i]:
-            continue
-        a, b = start[i], stop[i]
-        for j in range(i + 1, len(start)):
-            inter = min(b, stop[j]) - max(a, start[j])
-            if keep[j] and inter > 0 and inter > overlap * (b - a + stop[j] - start[j] - inter):
-                keep[j] = False
-    return keep
+        if keep[i]:
+            inter = np.minimum(stop[i], stop[i + 1 :]) - np.maximum(start[i], start[i + 1 :])
+            union = stop[i] - start[i] + stop[i + 1 :] - start[i + 1 :] - inter
+            hit = inter > 0
+            hit[hit] = inter[hit] / union[hit] > overlap
+            keep[i + 1 :] &= ~hit
+    return keep.tolist()
 
 
 def nms(
@@ -430,7 +427,9 @@ def champion_rounds(events: DataFrame, overlap: float, keys: Sequence[str]) -> D
         c = c.withColumn("_at", F.explode(slots))
         return c.select(*keys, F.col("_near").alias("_level"), F.col("_at").alias("_slot"), F.col("_best").alias("_by"))
 
-    best = F.struct(-F.col("score"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), F.col("id").alias("id"))
+    # Best first: falling score, then start, stop and id; a missing score comes last.
+    score = F.when(~F.isnan(F.col("score").cast("double")), F.col("score"))
+    best = F.struct(score.isNull().alias("_none"), (-score).alias("_score"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), F.col("id").alias("id"))
     while left.limit(1).count():
         champions = left.groupBy(*cell).agg(F.min(best).alias("_best"))
         beaten = (

@@ -156,38 +156,37 @@ def effective_number_focal(df: DataFrame, beta: float = 0.99, gamma: float = 2.0
     return _mean(_weighted(_unmasked(df), group, cls, spread), pos + neg, group)
 
 
-# Fixed value: rows per batch that hard mining chooses from.
-NUM_SAMPLES = 32 * 64 * 4
+# Hard mining keeps ``rate * num_samples`` rows of each group: the rows of a batch are the caller's to state.
 
 
-def ohem_cross_entropy(df: DataFrame, rate: float, num_samples: int = NUM_SAMPLES, group: Sequence[str] = (), spread: str = "record") -> DataFrame:
+def ohem_cross_entropy(df: DataFrame, rate: float, num_samples: int, group: Sequence[str], spread: str = "record") -> DataFrame:
     return _hard(_unmasked(df), _log_pos() + _log_neg(), group, int(num_samples * rate), spread)
 
 
-def ohem_weighted(df: DataFrame, rate: float, alpha: float = 0.5, num_samples: int = NUM_SAMPLES,
-                  group: Sequence[str] = (), cls: str = "class", spread: str = "record") -> DataFrame:
+def ohem_weighted(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+                  alpha: float = 0.5, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _share_terms(alpha)
     return _hard(_weighted(_unmasked(df), group, cls, spread), pos + neg, group, int(num_samples * rate), spread)
 
 
-def ohem_effective(df: DataFrame, rate: float, beta: float = 0.99, num_samples: int = NUM_SAMPLES,
-                   group: Sequence[str] = (), cls: str = "class", spread: str = "record") -> DataFrame:
+def ohem_effective(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+                   beta: float = 0.99, cls: str = "class", spread: str = "record") -> DataFrame:
     term = _effective(beta, F.col("_pos")) * _log_pos() + _effective(beta, F.col("_neg")) * _log_neg()
     return _hard(_weighted(_unmasked(df), group, cls, spread), term, group, int(num_samples * rate), spread)
 
 
-def ohnm_cross_entropy(df: DataFrame, rate: float, num_samples: int = NUM_SAMPLES, group: Sequence[str] = (), spread: str = "record") -> DataFrame:
+def ohnm_cross_entropy(df: DataFrame, rate: float, num_samples: int, group: Sequence[str], spread: str = "record") -> DataFrame:
     return _hard_negatives(_unmasked(df), _log_pos(), _log_neg(), group, int(num_samples * rate), spread)
 
 
-def ohnm_weighted(df: DataFrame, rate: float, alpha: float = 0.5, num_samples: int = NUM_SAMPLES,
-                  group: Sequence[str] = (), cls: str = "class", spread: str = "record") -> DataFrame:
+def ohnm_weighted(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+                  alpha: float = 0.5, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _share_terms(alpha)
     return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, int(num_samples * rate), spread)
 
 
-def ohnm_effective(df: DataFrame, rate: float, beta: float = 0.99, num_samples: int = NUM_SAMPLES,
-                   group: Sequence[str] = (), cls: str = "class", spread: str = "record") -> DataFrame:
+def ohnm_effective(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+                   beta: float = 0.99, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _effective(beta, F.col("_pos")) * _log_pos(), _effective(beta, F.col("_neg")) * _log_neg()
     return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, int(num_samples * rate), spread)
 

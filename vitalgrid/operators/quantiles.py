@@ -1,6 +1,6 @@
 """Exact group quantiles (linear interpolation) that never gather a large group.
 
-Groups whose counted size is small use the built-in ``percentile``. Otherwise
+A group whose counted size is small uses the built-in ``percentile``. For the others
 the wanted order statistics are found by narrowing: an equal-width histogram
 per group (at most ``BINS`` rows each, combined map-side) tells which bin holds
 the wanted rank; only that bin is refined in the next pass, until the bins in
@@ -41,16 +41,27 @@ def group_quantiles(
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     stats = settle(
         data.groupBy(*keys).agg(
-            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.min(_finite()).alias("_flo"), F.max(_finite()).alias("_fhi"),
         )
     )
-    biggest = stats.agg(F.max("_n")).first()[0] or 0
-    if biggest <= small_group:
-        p = F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs]))
-        return data.groupBy(*keys).agg(p.alias("_p")).select(
-            *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]
-        )
-    return _narrow(data, stats, keys, probs, names, small_group, bins)
+    large = stats.where(F.col("_n") > small_group)
+    p = F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs]))
+    pick = lambda d: d.groupBy(*keys).agg(p.alias("_p")).select(
+        *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]
+    )
+    if not large.head(1):
+        return pick(data)
+    if not keys:
+        return _narrow(data, large, keys, probs, names, small_group, bins)
+    # Each group by its own size; both ways interpolate alike.
+    few = data.join(large.select(*keys), keys, "left_anti")
+    many = data.join(large.select(*keys), keys, "left_semi")
+    return pick(few).unionByName(_narrow(many, large, keys, probs, names, small_group, bins))
+
+
+def _finite():
+    return F.when(F.abs(F.col("_v")) < float("inf"), F.col("_v"))
 
 
 def _narrow(data, stats, keys, probs, names, small_group, bins):
@@ -70,7 +81,7 @@ def _narrow(data, stats, keys, probs, names, small_group, bins):
     )
     # A cell is the open search range of one rank; `_skip` rows lie below it.
     cells = stats.select(
-        *keys, "_lo", "_hi", F.lit(0).cast("long").alias("_skip"),
+        *keys, "_lo", "_hi", "_flo", "_fhi", F.lit(0).cast("long").alias("_skip"),
         F.col("_n").alias("_size"), F.explode(ranks).alias("_rank"),
     )
     found = []
@@ -85,7 +96,7 @@ def _narrow(data, stats, keys, probs, names, small_group, bins):
         largest = open_.agg(F.max("_size")).first()[0]
         if largest is None:
             break
-        ranges = open_.select(*keys, "_lo", "_hi", "_skip").distinct()
+        ranges = open_.select(*keys, "_lo", "_hi", "_flo", "_fhi", "_skip").distinct()
         inside = attach(data, ranges, keys, "_v").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         if largest <= small_group:
             by = [*keys, "_lo", "_hi"]
@@ -104,13 +115,22 @@ def _narrow(data, stats, keys, probs, names, small_group, bins):
             )
             break
         by = [*keys, "_lo", "_hi", "_skip"]
-        scale = F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) * scale), F.lit(bins - 1))
+        # Equal widths between the finite ends (halved: their distance may overflow); infinities and NaN apart.
+        width = F.col("_fhi") / 2 - F.col("_flo") / 2
+        place = F.floor((F.col("_v") / 2 - F.col("_flo") / 2) / width * F.lit(float(bins)))
+        b = (
+            F.when(F.isnan(F.col("_v").cast("double")), F.lit(bins + 1))
+            .when(F.col("_v") == float("inf"), F.lit(bins)).when(F.col("_v") == float("-inf"), F.lit(-1))
+            .when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
+        )
         upto = Window.partitionBy(*by).orderBy("_bin")
         histogram = (
             inside.withColumn("_bin", b)
             .groupBy(*by, "_bin")
-            .agg(F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+            .agg(
+                F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"),
+                F.min(_finite()).alias("_fl"), F.max(_finite()).alias("_fh"),
+            )
             .withColumn("_end", F.col("_skip") + F.sum("_c").over(upto))
             .withColumn("_beg", F.col("_end") - F.col("_c"))
         )
@@ -120,7 +140,7 @@ def _narrow(data, stats, keys, probs, names, small_group, bins):
             .where((F.col("_rank") >= F.col("_beg")) & (F.col("_rank") < F.col("_end")))
             .select(
                 *keys, F.col("_l").alias("_lo"), F.col("_h").alias("_hi"),
-                F.col("_beg").alias("_skip"), F.col("_c").alias("_size"), "_rank",
+                F.col("_fl").alias("_flo"), F.col("_fh").alias("_fhi"), F.col("_beg").alias("_skip"), F.col("_c").alias("_size"), "_rank",
             )
         )
     hits = found[0]
@@ -136,7 +156,9 @@ def _narrow(data, stats, keys, probs, names, small_group, bins):
         low = F.floor(pos)
         high = F.least(low + 1, F.col("_n") - 1)
         a, b = F.col("_at")[low], F.col("_at")[high]
-        out.append((a + (b - a) * (pos - low)).alias(n))
+        # As ``percentile`` does it, so that both ways agree to the last digit.
+        between = (low + 1 - pos) * a + (pos - low) * b
+        out.append(F.when((pos == low) | (a == b), a.cast("double")).otherwise(between).alias(n))
     return table.select(*keys, *out)
 
 

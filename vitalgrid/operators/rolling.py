@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +102,20 @@ def adaptive_soft(
         "_r", F.col(lay.value) - F.coalesce("_med", "_all")
     )
 
-    def build(d, win):
-        frame = win.rowsBetween(-h, h)
-        whole = F.count(F.lit(1)).over(frame) == w
-        std = F.when(F.count("_r").over(frame) == w, F.stddev_samp("_r").over(frame)).otherwise(F.lit(0.0))
-        return d.withColumn("_std", F.when(whole, std).otherwise(F.col("_gstd")))
+    res = res.select(*lay.keys, lay.t, F.col("_r").cast("double").alias("_r"), "_gstd")
 
-    out = over_chunks(res, lay.keys, lay.t, h, h, build, chunk)
-    return out.select(*lay.keys, lay.t, (F.col("_r") / (F.col("_std") + F.lit(1e-10))).alias(lay.value))
+    def kernel(pdf, wanted):
+        r = pdf["_r"].astype(float)
+        n = len(r)
+        # Rows with a whole frame inside the recording; a sample missing in it leaves no deviation.
+        whole = np.zeros(n, dtype=bool)
+        whole[h : n - h] = True
+        std = np.nan_to_num(r.rolling(w, center=True, min_periods=w).std().to_numpy())
+        std = np.where(whole, std, pdf["_gstd"].to_numpy(dtype=float))
+        return {lay.value: (r.to_numpy() / (std + 1e-10))[wanted]}
+
+    out = halo_map(res, lay.keys, lay.t, h, h, kernel, {lay.value: "double"}, max(chunk, 4 * w))
+    return out.withColumn(lay.value, F.nanvl(lay.value, F.lit(None).cast("double")))
 
 
 def diff(df: DataFrame, lay: Layout = DEFAULT, chunk: int = CHUNK) -> DataFrame:
@@ -124,38 +131,69 @@ def rolling_autocorr(
 ) -> DataFrame:
     """Lag-1 autocorrelation of the last ``w`` samples; NULL before the first full window."""
     w = odd_window(fs, window)
+    data = df.select(*lay.keys, lay.t, F.col(lay.value).cast("double").alias(lay.value))
 
-    def build(d, win):
-        frame = win.rowsBetween(-(w - 2), 0)
-        d = d.withColumn("_prev", F.lag(lay.value).over(win))
-        c = F.corr(lay.value, "_prev").over(frame)
-        return d.withColumn("_ac", F.when(F.col(lay.t) >= w - 1, c))
-
-    out = over_chunks(df, lay.keys, lay.t, w, 0, build, chunk)
-    return out.drop("_prev", lay.value).withColumnRenamed("_ac", lay.value)
+    def kernel(pdf, wanted):
+        y = pdf[lay.value].to_numpy(dtype=float)
+        x = np.concatenate(([np.nan], y[:-1]))
+        use = np.isfinite(x) & np.isfinite(y)
+        centre = y[np.isfinite(y)].mean() if np.isfinite(y).any() else 0.0
+        a, b = np.where(use, x - centre, 0.0), np.where(use, y - centre, 0.0)
+        first = np.maximum(np.arange(len(y)) - (w - 2), 0)[wanted]
+
+        def total(v):
+            sums = np.concatenate(([0.0], np.cumsum(v, dtype=np.longdouble)))
+            return sums[wanted + 1] - sums[first]
+
+        n = total(use.astype(float))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = total(a * a) - total(a) ** 2 / n, total(b * b) - total(b) ** 2 / n
+            c = (total(a * b) - total(a) * total(b) / n) / np.sqrt(va * vb)
+        # A frame without spread has no correlation; what is left of it is rounding.
+        flat = (va <= 1e-15 * total(a * a)) | (vb <= 1e-15 * total(b * b)) | (n < 2)
+        c = np.where(flat | (pdf[lay.t].to_numpy()[wanted] < w - 1), np.nan, c.astype(float))
+        return {lay.value: c}
+
+    out = halo_map(data, lay.keys, lay.t, w, 0, kernel, {lay.value: "double"}, max(chunk, 4 * w))
+    return out.withColumn(lay.value, F.nanvl(lay.value, F.lit(None).cast("double")))
 
 
 def lids(
     df: DataFrame, keys: Sequence[str] = ("record",), us: str = "us", enmo: str = "enmo",
-    chunk_seconds: int = 86_400, name: str = "lids",
+    chunk_seconds: int = 21_600, name: str = "lids",
 ) -> DataFrame:
     """Inactivity index: 10-minute rolling sum of ENMO above .02, inverted, 30-minute mean.
 
     Both frames are time ranges ``(t - span, t]`` on integer microseconds, taken
-    in one pass over time chunks with a 40-minute halo.
+    from running sums in one pass over time chunks with a 40-minute halo, so the
+    cost does not depend on the rows in a frame.
     """
     second = 1_000_000
-    above = F.when(F.col(enmo) < 0.02, F.lit(0.0)).otherwise(F.col(enmo) - F.lit(0.02))
+    rest = [c for c in df.columns if c not in (*keys, us)]
 
-    def build(d, w):
-        total = F.sum("_s").over(w.rangeBetween(-(600 * second - 1), 0))
-        d = d.withColumn("_u", F.lit(100.0) / (total + F.lit(1.0)))
-        return d.withColumn(name, F.avg("_u").over(w.rangeBetween(-(1800 * second - 1), 0)))
-
-    out = over_chunks(
-        df.withColumn("_s", above), keys, us, 2400 * second, 0, build, chunk_seconds * second
-    )
-    return out.drop("_s", "_u")
+    def kernel(pdf, wanted):
+        at = pdf[us].to_numpy()
+        upto = np.searchsorted(at, at, side="right")
+
+        def frame(v, span):
+            """(sum, count) of the present values in (t - span, t]."""
+            there = np.isfinite(v)
+            begin = np.searchsorted(at, at - span, side="right")
+            sums = np.concatenate(([0.0], np.cumsum(np.where(there, v, 0.0), dtype=np.longdouble)))
+            many = np.concatenate(([0], np.cumsum(there)))
+            return (sums[upto] - sums[begin]).astype(float), many[upto] - many[begin]
+
+        x = pdf[enmo].to_numpy(dtype=float)
+        total, n = frame(np.where(x < 0.02, 0.0, x - 0.02), 600 * second)
+        index = np.where(n > 0, 100.0 / (total + 1.0), np.nan)
+        total, n = frame(index, 1800 * second)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(n > 0, total / n, np.nan)
+        return {**{c: pdf[c].to_numpy()[wanted] for c in rest}, name: mean[wanted]}
+
+    types = {c: df.schema[c].dataType.simpleString() for c in rest}
+    out = halo_map(df, keys, us, 2400 * second, 0, kernel, {**types, name: "double"}, chunk_seconds * second)
+    return out.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
 
 
 def _steps(time_diff: float, interval: float) -> int:

@@ -135,7 +135,7 @@ def log_filterbank(
         return np.log(np.where(energy == 0, EPS, energy) + EPS)
 
     return frame_map(
-        truncate_record(df, fs, t=lay.t), lay.keys, lay.t, lay.value, window + 1, window - noverlap, kernel,
+        df, lay.keys, lay.t, lay.value, window + 1, window - noverlap, kernel,
         offset=-(window // 2) - 1, need=0,
     )
 
@@ -161,7 +161,7 @@ def mfcc(
         return out
 
     return frame_map(
-        truncate_record(df, fs, t=lay.t), lay.keys, lay.t, lay.value, window + 1, window - noverlap, kernel,
+        df, lay.keys, lay.t, lay.value, window + 1, window - noverlap, kernel,
         offset=-(window // 2) - 1, need=0,
     )
 
@@ -394,15 +394,15 @@ def highpass(
 
 def tv_denoise(
     df: DataFrame, lmbd: float = 2.0, iterations: int = 200, lay: Layout = DEFAULT, chunk: int = CHUNK,
-    channel: str | None = "channel",
+    channel: int | None = None, channel_col: str = "channel",
 ) -> DataFrame:
-    """Total-variation denoising of the first channel.
+    """Total-variation denoising of every channel, or of one.
 
     One iteration moves information by one sample, so a halo of ``iterations``
     samples makes chunks exact. Near-silent recordings pass unchanged.
     """
     alpha, bound = 4.0, lmbd / 2
-    data = df if channel is None else df.where(F.col(channel) == 0)
+    data = df if channel is None else df.where(F.col(channel_col) == channel)
     data = data.select(*lay.keys, lay.t, F.col(lay.value).cast("double").alias(lay.value))
     stats = data.groupBy(*lay.keys).agg(F.stddev_pop(lay.value).alias("_s"), F.avg(lay.value).alias("_m"))
     quiet = (F.col("_s") > 0.009) & (F.col("_s") < 0.011) & (F.col("_m") < 1e-4)

@@ -39,10 +39,11 @@ def window_samples(
     samples: DataFrame, windows: DataFrame, window: int, fs: float, record: str = "record",
     features: Sequence[str] = (), t: str = "t", value: str = "value",
 ) -> DataFrame:
-    """Samples of each window at positions ``0..W*fs-1``; short windows are zero-padded.
+    """Samples of each window at positions ``0..W*fs-1``; a position without a sample is zero.
 
     A sample meets only the windows listed for its time bucket; padding rows are
-    generated for the missing positions alone.
+    generated for the missing positions alone: gaps, ends, and windows of records
+    without any sample (for every feature combination there is).
     """
     rows_ = int(window * fs)
     w = windows.withColumn("_a", F.floor(F.col("start") * F.lit(fs)).cast("long"))
@@ -55,12 +56,22 @@ def window_samples(
     got = inside.select(
         record, "win", *features, (F.col(t) - F.col("_a")).cast("long").alias("pos"), F.col(value).cast("double").alias(value)
     )
-    sizes = samples.groupBy(record, *features).agg((F.max(t) + 1).alias("_n"))
-    short = w.join(sizes, record).where(F.col("_a") + rows_ > F.col("_n"))
-    missing = F.sequence(F.greatest(F.col("_n") - F.col("_a"), F.lit(0)), F.lit(rows_ - 1).cast("long"))
-    pad = short.select(
-        record, "win", *features, F.explode(missing).alias("pos"), F.lit(0.0).alias(value)
-    )
+    features = list(features)
+    slot = [record, "win", *features]
+    own = samples.select(record, *features).distinct()
+    every = windows.select(record, "win")
+    slots = every.join(own, record)
+    bare = every.join(own.select(record).distinct(), record, "left_anti")
+    if features:
+        # The combinations are those of channel and feature names, a handful.
+        names = own.select(*features).distinct().agg(F.collect_list(F.struct(*features)).alias("_f"))
+        named = bare.withColumn("_k", F.lit(1)).join(names.withColumn("_k", F.lit(1)), "_k")
+        bare = named.select(record, "win", F.explode("_f").alias("_f")).select(record, "win", *[F.col(f"_f.{c}").alias(c) for c in features])
+    slots = slots.select(*slot).unionByName(bare.select(*slot))
+    filled = got.groupBy(*slot).agg(F.count_distinct("pos").alias("_n"))
+    short = slots.join(filled, slot, "left").where(F.coalesce("_n", F.lit(0)) < rows_).select(*slot)
+    wanted = short.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows_ - 1).cast("long"))))
+    pad = wanted.join(got.select(*slot, "pos"), [*slot, "pos"], "left_anti").withColumn(value, F.lit(0.0))
     return got.unionByName(pad)
 
 
@@ -224,14 +235,16 @@ def split_records(
 
 
 def batch(
-    windows: DataFrame, batch_size: int, max_batches: int | None = 10_000, record: str = "record"
+    windows: DataFrame, batch_size: int, max_batches: int | None = None, record: str = "record", drop_last: bool = True
 ) -> DataFrame:
-    """Consecutive windows as ``(batch_id, slot)``; an incomplete last batch is dropped.
+    """Consecutive windows as ``(batch_id, slot)``.
 
-    Records follow each other by the hash of their id, windows by number.
+    Records follow each other by the hash of their id, windows by number. All windows are dealt out unless
+    ``max_batches`` asks for fewer; ``drop_last`` leaves out an incomplete last batch.
     """
     pos = _hash_order(windows, F.md5(F.col(record).cast("string")), [record, "win"], "_p")
-    full = windows.count() // batch_size
+    n = windows.count()
+    full = n // batch_size if drop_last else -(-n // batch_size)
     full = full if max_batches is None else min(full, max_batches)
     return (
         pos.withColumn("batch_id", floor_div(F.col("_p"), batch_size))

@@ -122,7 +122,7 @@ def _(v):
 @query("jn11_pairs", "first:s second:s", "",
        "SELECT a.l AS first, b.l AS second FROM (SELECT DISTINCT event_type AS l FROM events) a JOIN (SELECT DISTINCT event_type AS l FROM events) b ON a.l < b.l")
 def _(v):
-    return iv.pairs(v.intervals, "label")
+    return iv.pairs(v.intervals, "label", ["view", "click", "purchase", "error", "signup"])
 
 
 @query("jn12_event_intervals", "record:i label:s start:i stop:i", "iv", "SELECT record, label, start, start + duration AS stop FROM iv")

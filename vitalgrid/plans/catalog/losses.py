@@ -48,12 +48,12 @@ def _(v):
 _loss("ls4_focal", mean(FOCAL), ls.focal)
 _loss("ls5_focal_weighted", mean(f"((1 - p1) ** 2 * {SHARE_POS} + p0 ** 2 * {SHARE_NEG})"), ls.focal_weighted)
 _loss("ls6_effective_number_focal", mean(f"((1 - p1) ** 2 * {EFF_POS} + p0 ** 2 * {EFF_NEG})"), ls.effective_number_focal)
-_loss("ls7_ohem_cross_entropy", hard(CE), lambda d: ls.ohem_cross_entropy(d, 0.5, 2 * TOP))
-_loss("ls8_ohem_weighted", hard(f"{SHARE_POS} + {SHARE_NEG}"), lambda d: ls.ohem_weighted(d, 0.5, num_samples=2 * TOP))
-_loss("ls9_ohem_effective", hard(f"{EFF_POS} + {EFF_NEG}"), lambda d: ls.ohem_effective(d, 0.5, num_samples=2 * TOP))
-_loss("ls10_ohnm_cross_entropy", hard_negative("ln(p1)", "ln(1 - p0)"), lambda d: ls.ohnm_cross_entropy(d, 0.5, 2 * TOP))
-_loss("ls11_ohnm_weighted", hard_negative(SHARE_POS, SHARE_NEG), lambda d: ls.ohnm_weighted(d, 0.5, num_samples=2 * TOP))
-_loss("ls12_ohnm_effective", hard_negative(EFF_POS, EFF_NEG), lambda d: ls.ohnm_effective(d, 0.5, num_samples=2 * TOP))
+_loss("ls7_ohem_cross_entropy", hard(CE), lambda d: ls.ohem_cross_entropy(d, 0.5, 2 * TOP, []))
+_loss("ls8_ohem_weighted", hard(f"{SHARE_POS} + {SHARE_NEG}"), lambda d: ls.ohem_weighted(d, 0.5, 2 * TOP, []))
+_loss("ls9_ohem_effective", hard(f"{EFF_POS} + {EFF_NEG}"), lambda d: ls.ohem_effective(d, 0.5, 2 * TOP, []))
+_loss("ls10_ohnm_cross_entropy", hard_negative("ln(p1)", "ln(1 - p0)"), lambda d: ls.ohnm_cross_entropy(d, 0.5, 2 * TOP, []))
+_loss("ls11_ohnm_weighted", hard_negative(SHARE_POS, SHARE_NEG), lambda d: ls.ohnm_weighted(d, 0.5, 2 * TOP, []))
+_loss("ls12_ohnm_effective", hard_negative(EFF_POS, EFF_NEG), lambda d: ls.ohnm_effective(d, 0.5, 2 * TOP, []))
 
 
 @query("ls7_ohem_by_group", "grp:i value:d", "pred", extra=BASE | {

@@ -100,8 +100,8 @@ def _(v):
     root = scratch(v.spark, "cache")
     spec = {"divide": 2, "source": v.folder}
     make = lambda: v.sig.select("record", "t", (F.col("value") / 2).alias("value"))
-    tables.cache_preprocessed(v.spark, root, spec, make)
-    return tables.cache_preprocessed(v.spark, root, spec, make)
+    tables.cache_preprocessed(v.spark, root, spec, make, v.folder)
+    return tables.cache_preprocessed(v.spark, root, spec, make, v.folder)
 
 
 @query("ex13_assert_finite", "record:s rows:i bad:i", "sig",

@@ -31,7 +31,7 @@ def _(v):
 
 @query("sa3_batch", WIN + " batch_id:i slot:i", "win", extra={
     "o": "SELECT *, row_number() OVER (ORDER BY md5(record::VARCHAR), record, win) - 1 AS p, count(*) OVER () AS n FROM win"},
-    sql="SELECT record, win, start, max_index, p // 7 AS batch_id, p % 7 AS slot FROM o WHERE p // 7 < least(n // 7, 10000)")
+    sql="SELECT record, win, start, max_index, p // 7 AS batch_id, p % 7 AS slot FROM o WHERE p // 7 < n // 7")
 def _(v):
     return wn.batch(_windows(v), 7)
 

@@ -273,6 +273,7 @@ METRICS: dict[str, Callable[..., DataFrame]] = {
     "cohens_kappa1": metrics.cohens_kappa_sweep,
     "optimized_f1": metrics.optimized_f1,
     "optimized_f12": metrics.optimized_f12,
+    "absolute_error": lambda targets, outputs, **a: metrics.event_metric("absolute_error", targets, outputs, **a),
     "accuracy_semantic_input": metrics.accuracy_semantic,
     "precision_semantic_input": metrics.precision_semantic,
     "recall_semantic_input": metrics.recall_semantic,

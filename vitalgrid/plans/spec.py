@@ -206,7 +206,8 @@ def epoch_series(scores: DataFrame, labels: DataFrame, resolution: float) -> Dat
 
     ``scores`` and ``labels`` hold the same windows: ``record, win, win_start,
     class, cell`` plus a value. Both sides go into one aggregation, where the
-    earliest window wins, instead of a join followed by one.
+    earliest window wins, instead of a join followed by one. An epoch that one
+    side lacks, or a hole in 0..last, is an error.
     """
     none = F.lit(None).cast("double")
     key = ["record", "win", "win_start", "class", "cell"]
@@ -215,7 +216,21 @@ def epoch_series(scores: DataFrame, labels: DataFrame, resolution: float) -> Dat
     )
     timed = both.withColumn("epoch", F.floor(F.col("win_start") / F.lit(resolution)).cast("long") + F.col("cell"))
     out = iv.stitch_windows(timed, ("record", "class"), "epoch", "win_start", "win", ("y_true", "y_pred"))
-    return out.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    return assert_complete(out, ("record", "class"), "epoch", ("y_true", "y_pred"))
+
+
+def assert_complete(series: DataFrame, keys, epoch: str, values) -> DataFrame:
+    """Fail unless every key has each epoch from 0 to its last one with all values; returns the stored series."""
+    series = stage(series)
+    bad = series.groupBy(*keys).agg(
+        F.min(epoch).alias("_lo"), F.max(epoch).alias("_hi"), F.count_distinct(epoch).alias("_n"),
+        *[F.count_if(F.col(v).isNull()).alias(f"_{v}") for v in values],
+    ).where(
+        " or ".join(["_lo <> 0", "_n <> _hi + 1", *[f"_{v} > 0" for v in values]])
+    ).head(1)
+    if bad:
+        raise ValueError(f"incomplete epoch series: {bad[0].asDict()}")
+    return series
 
 
 def agreement(series: DataFrame, classes: Sequence[str]) -> DataFrame:

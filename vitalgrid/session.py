@@ -2,8 +2,7 @@
 
 ``settle`` cuts lineage by writing a (small) intermediate to the reliable
 checkpoint folder; ``attach`` joins such a table back to the big side, by
-broadcast when its measured row count allows it and by a salted shuffle join
-otherwise.
+broadcast when its measured size allows it and by a shuffle join otherwise.
 """
 
 from __future__ import annotations
@@ -14,11 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest lookup (rows) that is broadcast after its rows have been counted.
-BROADCAST_ROWS = 100_000
-# Ways a hot key is split when the lookup is too large to broadcast.
-SALTS = 64
+# Largest lookup (estimated bytes) that is broadcast after its rows have been counted.
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(app: str = "vitalgrid", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -71,6 +69,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _row_bytes(schema: T.StructType) -> int:
+    """Upper estimate of a row's size; strings and nested values count as 64 bytes."""
+    return 16 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) else 64 for f in schema)
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,
@@ -81,17 +84,16 @@ def attach(
 ) -> DataFrame:
     """Join a per-group ``lookup`` back to ``df``.
 
-    The lookup is settled and counted first. Small: broadcast, so ``df`` is not
-    shuffled. Large: both sides are salted on ``spread`` (a column of ``df``
-    that varies inside a group), so no group lands in one task.
+    The lookup is settled and counted first. Of few bytes: broadcast, so ``df``
+    is not shuffled. Larger: one shuffle join with a row per key on the lookup's
+    side, where adaptive execution splits the partition of a hot key of ``df``;
+    no row of either side is repeated. ``spread`` names what varies inside a group.
     """
     keys = list(keys)
     lookup = lookup if settled else settle(lookup)
-    if lookup.count() <= BROADCAST_ROWS:
+    if lookup.count() * _row_bytes(lookup.schema) <= BROADCAST_BYTES:
         return df.join(F.broadcast(lookup), keys, how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return df.join(lookup, keys, how)
 
 
 def with_stats(

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,16 +148,22 @@ def spec_key(spec) -> str:
     return hashlib.sha256(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()[:24]
 
 
-def cache_preprocessed(spark: SparkSession, root: str, spec, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Result of ``compute`` stored under the hash of its specification.
+def cache_preprocessed(
+    spark: SparkSession, root: str, spec, compute: Callable[[], DataFrame], version: str | Sequence[str]
+) -> DataFrame:
+    """Result of ``compute`` stored under the hash of its specification and its input.
 
-    Only a finished write (its success marker present) counts as a hit.
+    ``version`` names the input: a version the caller keeps, or the list of its
+    files. Another input is another entry. Only a finished write (the table that
+    is written after it present) counts as a hit.
     """
-    path = f"{root.rstrip('/')}/{spec_key(spec)}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{root.rstrip('/')}/{spec_key([spec, version])}"
+    try:
+        spark.read.parquet(f"{path}/done").head(1)
+    except AnalysisException:
+        compute().write.mode("overwrite").parquet(f"{path}/data")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/data")
 
 
 # ---- checks ------------------------------------------------------------------------------
