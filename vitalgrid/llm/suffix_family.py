@@ -254,15 +254,45 @@ def _compare_crowd(rows: DataFrame, length: int, parts: int) -> DataFrame:
         hit = np.zeros(len(h), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        take = pa.array(np.flatnonzero(hit))
-        at = flat["at"].take(take).to_numpy()
+        found = np.flatnonzero(hit)
+        text = flat["ths"].to_numpy()[found].view(np.uint64) % np.uint64(parts)
+        order = np.argsort(text, kind="stable")
+        cuts = np.searchsorted(text[order], np.arange(parts + 1, dtype=np.uint64))
+        for p in range(parts):
+            take = pa.array(found[order[cuts[p] : cuts[p + 1]]])
+            if len(take):
+                ends = pa.array([0, len(take)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p], pa.int32()), *(pa.ListArray.from_arrays(ends, flat[c].take(take)) for c in _TEXT)],
+                    ["part", *_TEXT],
+                )
+
+    def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        flat = {c: pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in _TEXT}
+        at, th = flat["at"].to_numpy(), flat["ths"].to_numpy()
+        own = flat["ids"].dictionary_encode().indices.fill_null(-1).to_numpy()
+        order = np.lexsort((at, own, th))
+        at, th, own = at[order], th[order], own[order]
+        cut = (np.diff(th) != 0) | (np.diff(own) != 0) | (np.diff(at) > length)
+        first = np.flatnonzero(np.concatenate(([True], cut)))
+        last = np.append(first[1:] - 1, len(at) - 1)
         yield pa.RecordBatch.from_arrays(
-            [flat["ids"].take(take), flat["ths"].take(take), pa.array(at), pa.array(at + length)],
+            [flat["ids"].take(pa.array(order[first])), pa.array(th[first]), pa.array(at[first]), pa.array(at[last] + length)],
             ["id", "th", "s", "e"],
         )
 
-    blocks = rows.mapInArrow(deal, f"part int, h array<long>, ids array<{id_type}>, ths array<long>, at array<long>")
-    return blocks.repartition(parts, "part").mapInArrow(meet, f"id {id_type}, th long, s long, e long")
+    packed = f"ids array<{id_type}>, ths array<long>, at array<long>"
+    blocks = rows.mapInArrow(deal, f"part int, h array<long>, {packed}")
+    # Repeated windows go back to their texts and leave as runs.
+    hits = blocks.repartition(parts, "part").mapInArrow(meet, f"part int, {packed}")
+    return hits.repartition(parts, "part").mapInArrow(join_runs, f"id {id_type}, th long, s long, e long")
+
+
+_TEXT = ("ids", "ths", "at")
 
 
 def repeated_marks(docs: DataFrame, length: int, gram: int, batches: int) -> DataFrame:
