@@ -42,7 +42,7 @@ def _(v):
     return iv.relative_start(*_sides(v), bucket=BUCKET)
 
 
-LABELS = "record:i win:i win_start:i class:s cell:i y_true:i"
+LABELS = "record:i win:i win_start:i class:s cells:i ones:i place:i"
 
 
 def _windows(v):
@@ -50,12 +50,17 @@ def _windows(v):
 
 
 @query("jn4_window_event_labels", LABELS, "labels4",
-       "SELECT w.record, w.win, w.start AS win_start, c.class, g.cell, CASE WHEN h.cell IS NULL THEN 0 ELSE 1 END AS y_true FROM win w CROSS JOIN (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS class) c CROSS JOIN range(0, 144) g(cell) LEFT JOIN (SELECT DISTINCT record, win, label, unnest(range(first, last)) AS cell FROM hits WHERE kind = 'event') h ON h.record = w.record AND h.win = w.win AND h.label = c.class AND h.cell = g.cell WHERE h.cell IS NOT NULL")
+       "SELECT w.record, w.win, w.start AS win_start, c.class, count(*) AS cells, count(h.cell) AS ones, coalesce(sum(h.cell), 0)::BIGINT AS place FROM win w CROSS JOIN (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS class) c CROSS JOIN range(0, 144) g(cell) LEFT JOIN (SELECT DISTINCT record, win, label, unnest(range(first, last)) AS cell FROM hits WHERE kind = 'event') h ON h.record = w.record AND h.win = w.win AND h.label = c.class AND h.cell = g.cell GROUP BY 1, 2, 3, 4")
 def _(v):
-    # The unmasked grid; only set cells are reported (zeros are the rest of the calendar).
+    # The whole unmasked grid, a row per window and class: cells, set cells, and the sum of their places.
     from vitalgrid.plans.views import CLASSES, SHARE
 
-    return wn.window_labels(_windows(v), v.intervals, CLASSES, WINDOW, RESOLUTION, SHARE, use_mask=False).where("y_true <> 0")
+    return wn.window_labels(_windows(v), v.intervals, CLASSES, WINDOW, RESOLUTION, SHARE, use_mask=False).groupBy(
+        "record", "win", "win_start", "class"
+    ).agg(
+        F.count("*").alias("cells"), F.count_if(F.col("y_true") == 1).alias("ones"),
+        F.sum(F.col("cell") * F.col("y_true")).alias("place"),
+    )
 
 
 @query("jn5_mask_labels", "record:i class:s ones:i zeros:i masked:i", "labels4",
@@ -151,18 +156,18 @@ def _(v):
 
 
 DAYS = {
-    "day": "SELECT record, (start % 86400) / 86400.0::DOUBLE AS a, least((start % 86400 + duration) / 86400.0::DOUBLE, 1.0) AS b FROM iv WHERE label = 'view'",
+    "day": "SELECT record, (start % 86400) / 86400.0::DOUBLE AS a, least((start % 86400 + duration) / 86400.0::DOUBLE, 1.0) AS b FROM iv",
 }
 
 
 def _spans(so):
     return f"""SELECT record, CAST(CASE WHEN a * 96 - floor(a * 96) <= {1 - so} THEN floor(a * 96) ELSE round_even(a * 96, 0) END AS BIGINT) AS first,
-  least(CAST(CASE WHEN b * 96 - floor(b * 96) >= {so} THEN floor(b * 96) + 1 ELSE round_even(b * 96, 0) END AS BIGINT), 96) AS last FROM day WHERE (b - a) * 96 > {so} AND a < 1 AND b <= 1"""
+  least(CAST(CASE WHEN b * 96 - floor(b * 96) >= {so} THEN floor(b * 96) + 1 ELSE round_even(b * 96, 0) END AS BIGINT), 96) AS last FROM day WHERE b * 96 - a * 96 > {so} AND a < 1 AND b <= 1"""
 
 
 def _day(v):
     a = F.pmod("start", F.lit(86_400))
-    return v.intervals.where("label = 'view'").select(
+    return v.intervals.select(
         "record", (a / F.lit(86_400.0)).alias("start"), F.least((a + F.col("duration")) / F.lit(86_400.0), F.lit(1.0)).alias("stop")
     )
 

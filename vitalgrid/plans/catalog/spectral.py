@@ -174,6 +174,14 @@ def _(v):
     return sp.highpass(v.sig, 32, 1)
 
 
-@query("sp13_tv_denoise", "record:s t:i value:d")
+# Two hundred rounds of the dual variable left of each sample (zero at both ends), then the signal it leaves.
+TV_ROUND = """SELECT k + 1, record, t, y, CASE WHEN t = 0 THEN 0 ELSE greatest(-1, least(1, f + (x - before) / 4)) END FROM (
+  SELECT *, lag(x) OVER (PARTITION BY record ORDER BY t) AS before FROM (
+    SELECT *, y + coalesce(lead(f) OVER (PARTITION BY record ORDER BY t), 0) - f AS x FROM tv)) WHERE k < 199"""
+
+
+@query("sp13_tv_denoise", "record:s t:i value:d", "sig",
+       "SELECT record, t, y + coalesce(lead(f) OVER (PARTITION BY record ORDER BY t), 0) - f AS value FROM (SELECT * FROM tv WHERE k = 199)",
+       {"tv": "/*rec*/ SELECT 0 AS k, record, t, value AS y, 0.0::DOUBLE AS f FROM sig UNION ALL " + TV_ROUND})
 def _(v):
     return sp.tv_denoise(v.sig)

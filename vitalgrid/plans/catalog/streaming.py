@@ -42,8 +42,8 @@ def _(v):
     return v.spark.read.parquet(path)
 
 
-@query("st2_stream_label", "record:i win:i class:s cell:i y_true:i", "labels4",
-       "SELECT record, win, class, cell, y_true FROM labels4 WHERE y_true <> 0")
+@query("st2_stream_label", "record:i win:i class:s cells:i ones:i masked:i place:i", "labels4",
+       "SELECT record, win, class, count(*) AS cells, count(*) FILTER (WHERE y_true = 1) AS ones, count(*) FILTER (WHERE y_true = -1) AS masked, sum(cell * y_true)::BIGINT AS place FROM labels4 GROUP BY 1, 2, 3")
 def _(v):
     source, ckpt, out = (scratch(v.spark, n) for n in ("windows", "label-state", "labels"))
     windows = wn.window_index(v.extents, WINDOW, OVERLAP)
@@ -52,7 +52,11 @@ def _(v):
 
     def sink(labels: DataFrame, batch_id: int) -> None:
         # One folder per batch id: a replayed batch overwrites itself.
-        labels.where("y_true <> 0").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counted = labels.groupBy("record", "win", "class").agg(
+            F.count("*").alias("cells"), F.count_if(F.col("y_true") == 1).alias("ones"),
+            F.count_if(F.col("y_true") == -1).alias("masked"), F.sum(F.col("cell") * F.col("y_true")).alias("place"),
+        )
+        counted.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     st.stream_label(stream, v.intervals, CLASSES, WINDOW, RESOLUTION, ckpt, sink, SHARE)
     return v.spark.read.parquet(out)
