@@ -39,7 +39,7 @@ def usable(rows, zero):
 def test_exact_search_equals_brute_force(spark, table, monkeypatch, block):
     monkeypatch.setattr(vectors.query_blocks, "__defaults__", (block,))
     rows, frame = table
-    vec = F.transform("embedding", lambda x: F.floor(x * 1024).cast("double"))
+    vec = va_file.floored(F.col("embedding"), 1024)
     found = va_file.top_k(frame, F.col("vec_id") % 10 == 0, 7, vec).collect()
     own = {i: np.floor(1024 * v).astype(np.int64) for i, v in usable(rows, True).items()}
     got = {}
@@ -93,7 +93,7 @@ def test_estimates_are_unbiased_and_bounded():
 
 def test_few_or_no_vectors(spark):
     shape = "vec_id long, embedding array<double>"
-    vec = F.transform("embedding", lambda x: F.floor(x * 1024).cast("double"))
+    vec = va_file.floored(F.col("embedding"), 1024)
     none = spark.createDataFrame([], shape)
     assert va_file.top_k(none, F.col("vec_id") % 2 == 0, 3, vec).count() == 0
     assert rotated_codes.nearest(none, F.col("vec_id") % 2 == 0, 3).count() == 0

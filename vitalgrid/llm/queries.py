@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best integer inner products of every hundredth vector against all others."""
-    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
+    vec = va_file.floored(F.col("embedding"), 1024)
     return va_file.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, vec)
 
 

@@ -30,6 +30,15 @@ CELLS = 256
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
+def floored(vec: Column, scale: int) -> Column:
+    """Each component times ``scale``, rounded down, as a double; what is not finite stays so, and large doubles are whole."""
+    def one(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**62, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vec, one)
+
+
 def grid(found: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(least, cell width) per dimension over all vectors: one row per task and dimension reaches the aggregate."""
 
