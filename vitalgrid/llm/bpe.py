@@ -228,6 +228,8 @@ class Encoder:
         names = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.packed = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
+        # Encoding alone holds its two generations next to a decoder's worker, so it remembers half as much.
+        self.remembered = REMEMBERED // 2 if stream else REMEMBERED
         self.memory = _Memory(self)
         self.known: dict[str, bytes] = {}
 
@@ -250,7 +252,7 @@ class Encoder:
             symbols = word if word.isascii() and word.isprintable() else [self.alphabet[b] for b in word.encode()]
             ids = b"".join(map(self.packed.__getitem__, self.tokens(symbols)))
             if len(word) <= CHUNK:
-                if len(self.known) >= REMEMBERED // 3:
+                if len(self.known) >= self.remembered // 3:
                     self.known.clear()
                 self.known[word] = ids
         return ids
@@ -282,7 +284,7 @@ class _Memory(dict):
         if ids is None:
             ids = self.encoder.chunk(chunk)
         if len(chunk) <= CHUNK:
-            if len(self) >= REMEMBERED // 2:
+            if len(self) >= self.encoder.remembered // 2:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = ids
