@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier line equals up to one edit."""
-    found = line_dedup.drop_repeated_lines(docs, carry=[c for c in docs.columns if c != "text"])
+    """Texts without lines that an earlier line equals, long ones up to one edit."""
+    found = line_dedup.drop_repeated_lines(docs, carry=[c for c in docs.columns if c != "text"], exact_chars=1)
     return _documents(found, docs.columns, F.col("text"))
 
 

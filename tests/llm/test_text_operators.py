@@ -166,6 +166,21 @@ def test_lines_within_one_edit_of_an_earlier_one_go(spark, documents, prose):
     assert len(gone) > 10
 
 
+def test_every_repeated_line_goes_and_blank_ones_stay(spark):
+    rows = [
+        (1, "Les.\n\nOne\n \t\nthis is a longer line of text\nitem 12\nitem 13"),
+        (2, "Les.\nLes.\n\n \t\nthis is a longer line of test\nOne more\r\n\r"), (3, "One"), (4, ""), (5, None), (6, "\r\nLes. "),
+        (7, "x\n" * 3000 + "y"),
+    ]
+    want = {
+        1: (rows[0][1], 0), 2: ("\n \t\nOne more\r\n\r", 3), 3: ("", 1), 4: ("", 0), 5: (None, 0), 6: ("\r\nLes. ", 0),
+        7: ("x\ny", 2999),
+    }
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.drop_repeated_lines(table, exact_chars=1)
+    assert {r["id"]: (r["text"], r["n_removed"]) for r in found.collect()} == want
+
+
 def test_one_edit():
     assert line_dedup.one_edit("abc", "abd") and line_dedup.one_edit("abc", "ab") and line_dedup.one_edit("bc", "abc")
     assert not line_dedup.one_edit("abc", "abc") and not line_dedup.one_edit("abc", "acb") and not line_dedup.one_edit("a", "abc")

@@ -10,9 +10,11 @@ place of substitution are all one edit apart, lines around an inserted character
 is verified on the texts.
 
 Defined results: lines are parts between line feeds; the earliest line (least id, then place) of equal lines stays,
-unless a still earlier one is within one edit. Lines shorter than ``min_chars`` always stay. A null text stays null
-and has no lines; rows that repeat with id and text count as one document and keep the same lines. A null id comes
-before every other. Other columns of the input are not looked at.
+unless a still earlier one is within one edit. Lines shorter than ``min_chars`` are not compared up to an edit. Equal
+lines are found from ``exact_chars`` characters (``min_chars`` where it is not given); lines that are shorter still, and
+below ``min_chars`` lines of nothing but blanks, always stay. A null text stays null and has no lines; rows that repeat
+with id and text count as one document and keep the same lines. A null id comes before every other. Other columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from vitalgrid.llm import hashing
 from vitalgrid.llm.common import bitmap_of, carried, narrow, probably_in, text_key
 from vitalgrid.session import stage
 
-# Shorter lines are never duplicates: one edit changes too much of them.
+# Shorter lines are never near duplicates: one edit changes too much of them.
 MIN_CHARS = 20
 PIECES = 8
+# A line has to hold something else to be repeated rather than part of the layout.
+NOT_BLANK = r"[^ \t\x0B\f\r]"
 
 
 def _outside(pieces: int) -> Column:
@@ -174,20 +178,21 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near: bool = True,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), exact_chars: int | None = None,
 ) -> DataFrame:
     """(id, th, text, n_lines, n_removed, carried row): the text without lines that an earlier one (nearly) equals."""
+    least = min_chars if exact_chars is None else exact_chars
     docs = narrow(df, id_col, text_col, carry).withColumn("th", text_key())
     own = ["id", "th", *carried(docs)]
     lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
-        F.char_length("line") >= min_chars
+        (F.char_length("line") >= least) & ((F.char_length("line") >= min_chars) | F.col("line").rlike(NOT_BLANK))
     )
     lines = lines.select(
         F.struct("id", "pos", "th").alias("place"), "line", F.char_length("line").alias("n"), F.md5("line").alias("h")
     ).withColumn("lh", F.conv(F.substring("h", 1, 15), 16, 10).cast("long"))
     firsts = lines.groupBy("lh", "h").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("many"))
     again = stage(firsts.where("many > 1").select("lh", "h", "first"))
-    close = near_lines(lines) if near else again.select("lh").limit(0)
+    close = near_lines(lines.where(F.col("n") >= min_chars)) if near else again.select("lh").limit(0)
     keys = stage(
         again.select("lh", "h", "first", F.lit(False).alias("gone"))
         .unionByName(close.select("lh", F.lit(True).alias("gone")), allowMissingColumns=True)
@@ -208,9 +213,12 @@ def drop_repeated_lines(
     changed = flagged.where("_maybe").join(
         per_text, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left"
     )
-    kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n"
-    )
+    # Positions that stay as a set difference, lines bound once: linear where most of very many lines go.
+    stay = F.array_except(F.sequence(F.lit(0), (n_lines - 1).cast("int")), F.col("removed"))
+    kept = F.transform(
+        F.array(F.split("text", "\n")),
+        lambda parts: F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"),
+    )[0]
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
     changed = changed.select(
         *own, kept.alias("text"), n_lines.alias("n_lines"),
