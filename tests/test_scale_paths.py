@@ -317,3 +317,21 @@ def test_all_batches_and_the_last_one(spark):
     win = spark.range(25_001).selectExpr("'a' record", "cast(id as int) win")
     assert wn.batch(win, 2).count() == 25_000
     assert wn.batch(win, 2, drop_last=False).count() == 25_001
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_hard_mining_keeps_a_share_of_all_rows(spark, rate):
+    rng = np.random.default_rng(4)
+    rows = [(int(r), 0, "c", float(rng.integers(-1, 2)), float(rng.integers(1, 9) / 10), int(r % 3)) for r in range(401)]
+    table = spark.createDataFrame(rows, "record long, epoch long, class string, y_true double, y_pred double, g int")
+    clip = lambda p: min(max(p, 1e-7), 1 - 1e-7)
+    for group in ([], ["g"]):
+        every, mined = losses.ohem_cross_entropy(table, rate, None, group), losses.ohnm_cross_entropy(table, rate, None, group)
+        for found, negatives in ((every, False), (mined, True)):
+            for r in found.collect():
+                own = [x for x in rows if x[3] >= 0 and (not group or x[5] == r.g)]
+                pos = [np.log(clip(x[4] if x[3] == 1 else 1)) for x in own]
+                neg = [np.log(1 - clip(x[4] if x[3] == 0 else 0)) for x in own]
+                hard = sorted(neg if negatives else [a + b for a, b in zip(pos, neg, strict=True)])[: int(len(own) * rate)]
+                kept = hard + (pos if negatives else [])
+                assert r.value == pytest.approx(-(sum(kept) + 1e-7) / (len(kept) + 1), rel=1e-9)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.model import KAPPA
 from vitalgrid.operators.intervals import hard_top_k
+from vitalgrid.operators.quantiles import group_quantiles
 from vitalgrid.session import attach
 
 
@@ -79,17 +80,39 @@ def _mean(df: DataFrame, term: Column, group: Sequence[str]) -> DataFrame:
     return df.groupBy(*group).agg(_masked_mean(F.sum(term), F.count("*")).alias("value"))
 
 
-def _hard(df: DataFrame, term: Column, group, k, spread) -> DataFrame:
-    top = hard_top_k(df.withColumn("_loss", term), "_loss", k, group, spread)
-    return top.groupBy(*group).agg(_masked_mean(F.sum("_loss"), F.count("*")).alias("value"))
+def _hardest(df: DataFrame, term: Column, group, rate, num_samples, spread) -> DataFrame:
+    """Sum (_s) and number (_n) of the smallest terms of each group.
+
+    A share of the counted rows is summed below the quantile of that share, which lies within one row of the last
+    one kept: no group is ranked in one task, whatever the share's size.
+    """
+    group = list(group)
+    rows = df.withColumn("_loss", term)
+    if num_samples is not None:
+        top = hard_top_k(rows, "_loss", int(num_samples * rate), group, spread)
+        return top.groupBy(*group).agg(F.sum("_loss").alias("_s"), F.count("*").alias("_n"))
+    cut = group_quantiles(rows, group, "_loss", [rate], ["_cut"])
+    rows = attach(rows, cut, group, spread) if group else rows.crossJoin(F.broadcast(cut))
+    below = F.when(F.col("_loss") < F.col("_cut"), F.col("_loss"))
+    sums = rows.groupBy(*group).agg(
+        F.floor(F.count("_loss") * F.lit(float(rate))).alias("_n"), F.count(below).alias("_less"),
+        F.sum(below).alias("_below"), F.max(below).alias("_last"), F.max("_cut").alias("_cut"),
+    )
+    edge = F.when(F.col("_less") < F.col("_n"), F.col("_cut")).when(F.col("_less") > F.col("_n"), F.col("_last"))
+    total = F.coalesce("_below", F.lit(0.0)) + F.coalesce((F.col("_n") - F.col("_less")) * edge, F.lit(0.0))
+    return sums.select(*group, total.alias("_s"), "_n")
+
+
+def _hard(df: DataFrame, term: Column, group, rate, num_samples, spread) -> DataFrame:
+    top = _hardest(df, term, group, rate, num_samples, spread)
+    return top.select(*group, _masked_mean(F.col("_s"), F.col("_n")).alias("value"))
 
 
-def _hard_negatives(df: DataFrame, pos: Column, neg: Column, group, k, spread) -> DataFrame:
+def _hard_negatives(df: DataFrame, pos: Column, neg: Column, group, rate, num_samples, spread) -> DataFrame:
     rows = df.withColumn("_pos_term", pos).withColumn("_neg_term", neg)
-    top = hard_top_k(rows, "_neg_term", k, group, spread)
     parts = (
         rows.groupBy(*group).agg(F.sum("_pos_term").alias("_s"), F.count("*").alias("_n"))
-        .unionByName(top.groupBy(*group).agg(F.sum("_neg_term").alias("_s"), F.count("*").alias("_n")))
+        .unionByName(_hardest(rows, F.col("_neg_term"), group, rate, num_samples, spread))
     )
     return parts.groupBy(*group).agg(_masked_mean(F.sum("_s"), F.sum("_n")).alias("value"))
 
@@ -156,39 +179,40 @@ def effective_number_focal(df: DataFrame, beta: float = 0.99, gamma: float = 2.0
     return _mean(_weighted(_unmasked(df), group, cls, spread), pos + neg, group)
 
 
-# Hard mining keeps ``rate * num_samples`` rows of each group: the rows of a batch are the caller's to state.
+# Hard mining keeps ``rate * num_samples`` rows of each group: the rows of a batch are the caller's to state. None
+# stands for all unmasked rows of the group, as counted.
 
 
-def ohem_cross_entropy(df: DataFrame, rate: float, num_samples: int, group: Sequence[str], spread: str = "record") -> DataFrame:
-    return _hard(_unmasked(df), _log_pos() + _log_neg(), group, int(num_samples * rate), spread)
+def ohem_cross_entropy(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str], spread: str = "record") -> DataFrame:
+    return _hard(_unmasked(df), _log_pos() + _log_neg(), group, rate, num_samples, spread)
 
 
-def ohem_weighted(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+def ohem_weighted(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str],
                   alpha: float = 0.5, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _share_terms(alpha)
-    return _hard(_weighted(_unmasked(df), group, cls, spread), pos + neg, group, int(num_samples * rate), spread)
+    return _hard(_weighted(_unmasked(df), group, cls, spread), pos + neg, group, rate, num_samples, spread)
 
 
-def ohem_effective(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+def ohem_effective(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str],
                    beta: float = 0.99, cls: str = "class", spread: str = "record") -> DataFrame:
     term = _effective(beta, F.col("_pos")) * _log_pos() + _effective(beta, F.col("_neg")) * _log_neg()
-    return _hard(_weighted(_unmasked(df), group, cls, spread), term, group, int(num_samples * rate), spread)
+    return _hard(_weighted(_unmasked(df), group, cls, spread), term, group, rate, num_samples, spread)
 
 
-def ohnm_cross_entropy(df: DataFrame, rate: float, num_samples: int, group: Sequence[str], spread: str = "record") -> DataFrame:
-    return _hard_negatives(_unmasked(df), _log_pos(), _log_neg(), group, int(num_samples * rate), spread)
+def ohnm_cross_entropy(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str], spread: str = "record") -> DataFrame:
+    return _hard_negatives(_unmasked(df), _log_pos(), _log_neg(), group, rate, num_samples, spread)
 
 
-def ohnm_weighted(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+def ohnm_weighted(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str],
                   alpha: float = 0.5, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _share_terms(alpha)
-    return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, int(num_samples * rate), spread)
+    return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, rate, num_samples, spread)
 
 
-def ohnm_effective(df: DataFrame, rate: float, num_samples: int, group: Sequence[str],
+def ohnm_effective(df: DataFrame, rate: float, num_samples: int | None, group: Sequence[str],
                    beta: float = 0.99, cls: str = "class", spread: str = "record") -> DataFrame:
     pos, neg = _effective(beta, F.col("_pos")) * _log_pos(), _effective(beta, F.col("_neg")) * _log_neg()
-    return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, int(num_samples * rate), spread)
+    return _hard_negatives(_weighted(_unmasked(df), group, cls, spread), pos, neg, group, rate, num_samples, spread)
 
 
 # ---- categorical: one row per (row keys, class) ------------------------------------------------

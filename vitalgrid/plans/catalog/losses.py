@@ -56,6 +56,17 @@ _loss("ls11_ohnm_weighted", hard_negative(SHARE_POS, SHARE_NEG), lambda d: ls.oh
 _loss("ls12_ohnm_effective", hard_negative(EFF_POS, EFF_NEG), lambda d: ls.ohnm_effective(d, 0.5, 2 * TOP, []))
 
 
+# The hardest half of all unmasked rows, however many the table has.
+HALF = "(SELECT count(*) // 2 FROM w)"
+_half = lambda sql: sql.replace(f"LIMIT {TOP}", f"LIMIT {HALF}")
+_loss("ls7_ohem_cross_entropy_half", _half(hard(CE)), lambda d: ls.ohem_cross_entropy(d, 0.5, None, []))
+_loss("ls8_ohem_weighted_half", _half(hard(f"{SHARE_POS} + {SHARE_NEG}")), lambda d: ls.ohem_weighted(d, 0.5, None, []))
+_loss("ls9_ohem_effective_half", _half(hard(f"{EFF_POS} + {EFF_NEG}")), lambda d: ls.ohem_effective(d, 0.5, None, []))
+_loss("ls10_ohnm_cross_entropy_half", _half(hard_negative("ln(p1)", "ln(1 - p0)")), lambda d: ls.ohnm_cross_entropy(d, 0.5, None, []))
+_loss("ls11_ohnm_weighted_half", _half(hard_negative(SHARE_POS, SHARE_NEG)), lambda d: ls.ohnm_weighted(d, 0.5, None, []))
+_loss("ls12_ohnm_effective_half", _half(hard_negative(EFF_POS, EFF_NEG)), lambda d: ls.ohnm_effective(d, 0.5, None, []))
+
+
 @query("ls7_ohem_by_group", "grp:i value:d", "pred", extra=BASE | {
     "r": f"SELECT record % 3 AS grp, {CE} AS l, row_number() OVER (PARTITION BY record % 3 ORDER BY {CE}) AS rn FROM q"},
     sql=f"SELECT grp, -(sum(l) + {K}) / (count(*) + 1) AS value FROM r WHERE rn <= 50 GROUP BY 1")
