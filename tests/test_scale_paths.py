@@ -335,3 +335,14 @@ def test_hard_mining_keeps_a_share_of_all_rows(spark, rate):
                 hard = sorted(neg if negatives else [a + b for a, b in zip(pos, neg, strict=True)])[: int(len(own) * rate)]
                 kept = hard + (pos if negatives else [])
                 assert r.value == pytest.approx(-(sum(kept) + 1e-7) / (len(kept) + 1), rel=1e-9)
+
+
+def test_stage_order_reads_all_eight_bins(spark):
+    from types import SimpleNamespace
+
+    from vitalgrid.plans.catalog import load
+
+    rows = [(t, 0, b, 0.2 if b == t else 0.1) for t in range(8) for b in range(8)] + [(8, 0, b, 0.4 if b == 7 else 0.1) for b in range(8)]
+    cells = spark.createDataFrame(rows, "win long, t long, bin long, value double")
+    found = load()["ex16_stage_order_eight_bins"].build(SimpleNamespace(cells=cells)).collect()
+    assert {r.win: r.stage for r in found} == dict(enumerate([3, 1, 0, 2, 3, 1, 0, 2, -1]))
