@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import bpe, line_dedup, minmax, patterns, rotated_codes, shards, suffix_family, toxicity, va_file, warc
+from vitalgrid.llm import (
+    bpe,
+    edit_embedding,
+    lexical,
+    line_dedup,
+    minmax,
+    patterns,
+    resampling,
+    rotated_codes,
+    shards,
+    suffix_family,
+    toxicity,
+    va_file,
+    warc,
+)
 
 # Every tokenizing query reads this public vocabulary file where it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -167,6 +181,77 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of all for every benchmark item."""
+    found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+held AS (SELECT r, doc_id, len(words)::HUGEINT AS n, words FROM d WHERE len(words) > 0),
+total AS (SELECT count(*)::HUGEINT AS big_n, sum(n)::HUGEINT AS big_l FROM held),
+asked AS (SELECT item_id, term, count(*)::HUGEINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, doc_id, n, term, count(*)::HUGEINT AS tf FROM (SELECT r, doc_id, n, unnest(words) AS term FROM held)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w
+    FROM tf, total GROUP BY term, big_n),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))
+    ::BIGINT AS score FROM asked JOIN w USING (term) JOIN tf USING (term), total GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+    ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of twenty words or more, drawn towards the benchmark's words."""
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = resampling.resample(docs, target, percent=10, buckets=10000, longest=1, least_words=20, seed="2024:")
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE octet(b, k, c) AS (SELECT b::UINTEGER, 0, b::UINTEGER FROM range(256) t(b)
+    UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END
+    FROM octet WHERE k < 8),
+rule AS (SELECT list(c ORDER BY b) AS r FROM octet WHERE k = 8),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+listed AS (SELECT side, id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM texts),
+used AS (SELECT side, r, word, count(*) AS times FROM (SELECT side, r, unnest(words) AS word FROM listed) GROUP BY ALL),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(range(octet_length(encode(word))),
+    lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::BIGINT, 2))::UINTEGER)),
+    lambda a, x: xor(a >> 8, r[(xor(a, x) & 255) + 1])), 4294967295::UINTEGER) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM used), rule),
+counted AS (SELECT bucket, coalesce(sum(times) FILTER (side = 'd'), 0) AS s, coalesce(sum(times) FILTER (side = 'b'), 0) AS t
+    FROM used JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
+weighed AS (SELECT r, sum(times * gain)::BIGINT AS total FROM used JOIN hashed USING (word) JOIN gain USING (bucket)
+    WHERE side = 'd' GROUP BY r),
+scored AS (SELECT id, len(words)::BIGINT AS n, coalesce(floor(total / len(words))::BIGINT, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+    FROM listed LEFT JOIN weighed USING (r) WHERE side = 'd'),
+fit AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY weight + noise DESC, id) AS place,
+    count(*) FILTER (n >= 20) OVER () AS fit FROM scored)
+SELECT id AS doc_id, n AS n_features, weight, weight + noise AS score,
+    CASE WHEN n >= 20 AND place <= 10 * fit // 100 THEN place END::BIGINT AS rank FROM fit
+"""
+
+
+def op13_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, their likenesses, and the first verified copy."""
+    docs = _table(spark, sf_dir, "documents")
+    found = edit_embedding.fingerprinted(docs)
+    return edit_embedding.near_copies(found, docs, edits=32).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+        "near_next", "copy_of",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op2_lpt_sharding": op2_lpt_sharding,
@@ -179,9 +264,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_neighbourhood_every_line": op8_line_neighbourhood_every_line,
     "op9_warc_chain": op9_warc_chain,
     "op10_suffix_family": op10_suffix_family,
+    "op11_geometric_blocks": op11_geometric_blocks,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_edit_embedding": op13_edit_embedding,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_va_file": OP1_SQL, "op8_line_neighbourhood": OP8_SQL,
     "op8_line_neighbourhood_every_line": OP8_EVERY_LINE_SQL, "op9_warc_chain": OP9_SQL,
+    "op11_geometric_blocks": OP11_SQL, "op12_importance_resampling": OP12_SQL,
 }
