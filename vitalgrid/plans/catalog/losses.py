@@ -15,7 +15,7 @@ FOCAL = "((1 - p1) ** 2 * ln(p1) + p0 ** 2 * ln(1 - p0))"
 SHARE_POS, SHARE_NEG = "((1 - pw) ** 0.5 * ln(p1))", "(pw ** 0.5 * ln(1 - p0))"
 EFF = lambda c: f"((1 - 0.99::DOUBLE) / (1 - pow(0.99, {c})))"
 EFF_POS, EFF_NEG = f"({EFF('pos')} * ln(p1))", f"({EFF('neg')} * ln(1 - p0))"
-TOP = 150
+HALF = "(SELECT count(*) // 2 FROM w)"
 
 
 def mean(term, src="w"):
@@ -23,11 +23,11 @@ def mean(term, src="w"):
 
 
 def hard(term):
-    return f"SELECT -(sum(l) + {K}) / (count(*) + 1) AS value FROM (SELECT {term} AS l FROM w ORDER BY 1 LIMIT {TOP})"
+    return f"SELECT -(sum(l) + {K}) / (count(*) + 1) AS value FROM (SELECT {term} AS l FROM w ORDER BY 1 LIMIT {HALF})"
 
 
 def hard_negative(pos, neg):
-    return f"SELECT -(sum(l) + {K}) / (count(*) + 1) AS value FROM (SELECT {pos} AS l FROM w UNION ALL SELECT l FROM (SELECT {neg} AS l FROM w ORDER BY 1 LIMIT {TOP}))"
+    return f"SELECT -(sum(l) + {K}) / (count(*) + 1) AS value FROM (SELECT {pos} AS l FROM w UNION ALL SELECT l FROM (SELECT {neg} AS l FROM w ORDER BY 1 LIMIT {HALF}))"
 
 
 def _loss(name, sql, fn):
@@ -48,23 +48,14 @@ def _(v):
 _loss("ls4_focal", mean(FOCAL), ls.focal)
 _loss("ls5_focal_weighted", mean(f"((1 - p1) ** 2 * {SHARE_POS} + p0 ** 2 * {SHARE_NEG})"), ls.focal_weighted)
 _loss("ls6_effective_number_focal", mean(f"((1 - p1) ** 2 * {EFF_POS} + p0 ** 2 * {EFF_NEG})"), ls.effective_number_focal)
-_loss("ls7_ohem_cross_entropy", hard(CE), lambda d: ls.ohem_cross_entropy(d, 0.5, 2 * TOP, []))
-_loss("ls8_ohem_weighted", hard(f"{SHARE_POS} + {SHARE_NEG}"), lambda d: ls.ohem_weighted(d, 0.5, 2 * TOP, []))
-_loss("ls9_ohem_effective", hard(f"{EFF_POS} + {EFF_NEG}"), lambda d: ls.ohem_effective(d, 0.5, 2 * TOP, []))
-_loss("ls10_ohnm_cross_entropy", hard_negative("ln(p1)", "ln(1 - p0)"), lambda d: ls.ohnm_cross_entropy(d, 0.5, 2 * TOP, []))
-_loss("ls11_ohnm_weighted", hard_negative(SHARE_POS, SHARE_NEG), lambda d: ls.ohnm_weighted(d, 0.5, 2 * TOP, []))
-_loss("ls12_ohnm_effective", hard_negative(EFF_POS, EFF_NEG), lambda d: ls.ohnm_effective(d, 0.5, 2 * TOP, []))
-
-
-# The hardest half of all unmasked rows, however many the table has.
-HALF = "(SELECT count(*) // 2 FROM w)"
-_half = lambda sql: sql.replace(f"LIMIT {TOP}", f"LIMIT {HALF}")
-_loss("ls7_ohem_cross_entropy_half", _half(hard(CE)), lambda d: ls.ohem_cross_entropy(d, 0.5, None, []))
-_loss("ls8_ohem_weighted_half", _half(hard(f"{SHARE_POS} + {SHARE_NEG}")), lambda d: ls.ohem_weighted(d, 0.5, None, []))
-_loss("ls9_ohem_effective_half", _half(hard(f"{EFF_POS} + {EFF_NEG}")), lambda d: ls.ohem_effective(d, 0.5, None, []))
-_loss("ls10_ohnm_cross_entropy_half", _half(hard_negative("ln(p1)", "ln(1 - p0)")), lambda d: ls.ohnm_cross_entropy(d, 0.5, None, []))
-_loss("ls11_ohnm_weighted_half", _half(hard_negative(SHARE_POS, SHARE_NEG)), lambda d: ls.ohnm_weighted(d, 0.5, None, []))
-_loss("ls12_ohnm_effective_half", _half(hard_negative(EFF_POS, EFF_NEG)), lambda d: ls.ohnm_effective(d, 0.5, None, []))
+# The hardest half of all unmasked rows, however many the table has; each query is registered under two names.
+for _end in ("", "_half"):
+    _loss(f"ls7_ohem_cross_entropy{_end}", hard(CE), lambda d: ls.ohem_cross_entropy(d, 0.5, None, []))
+    _loss(f"ls8_ohem_weighted{_end}", hard(f"{SHARE_POS} + {SHARE_NEG}"), lambda d: ls.ohem_weighted(d, 0.5, None, []))
+    _loss(f"ls9_ohem_effective{_end}", hard(f"{EFF_POS} + {EFF_NEG}"), lambda d: ls.ohem_effective(d, 0.5, None, []))
+    _loss(f"ls10_ohnm_cross_entropy{_end}", hard_negative("ln(p1)", "ln(1 - p0)"), lambda d: ls.ohnm_cross_entropy(d, 0.5, None, []))
+    _loss(f"ls11_ohnm_weighted{_end}", hard_negative(SHARE_POS, SHARE_NEG), lambda d: ls.ohnm_weighted(d, 0.5, None, []))
+    _loss(f"ls12_ohnm_effective{_end}", hard_negative(EFF_POS, EFF_NEG), lambda d: ls.ohnm_effective(d, 0.5, None, []))
 
 
 @query("ls7_ohem_by_group", "grp:i value:d", "pred", extra=BASE | {

@@ -63,18 +63,12 @@ def _(v):
     return wn.any_event(w, v.intervals, WINDOW)
 
 
-@query("ex16_stage_order", "win:i t:i stage:i", "cells", """SELECT win, t, CASE WHEN max(CASE WHEN bin = 4 THEN value END) > 0.2 THEN -1 ELSE arg_max(code, (value, -code)) END AS stage FROM (
-  SELECT win, t, bin, value, CASE bin WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS code FROM cells WHERE bin < 4
-  UNION ALL SELECT win, t, bin, value, NULL FROM cells WHERE bin = 4) GROUP BY 1, 2""")
-def _(v):
-    names = F.element_at(F.array(*[F.lit(c) for c in ("wake", "light", "deep", "rem")]), F.col("bin").cast("int") + 1)
-    flag = v.cells.where("bin = 4").select("win", "t", (F.col("value") > 0.2).alias("m"))
-    e = v.cells.where("bin < 4").withColumn("class", names).join(flag, ["win", "t"])
-    return wn.stage_order(e, ["win", "t"], "value", "class", "m")
+EX16_SQL = """SELECT win, t, CASE WHEN max(value) > 0.3 THEN -1 ELSE arg_max(code, (value, -code)) END AS stage FROM (
+  SELECT win, t, value, CASE bin % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS code FROM cells) GROUP BY 1, 2"""
 
 
-@query("ex16_stage_order_eight_bins", "win:i t:i stage:i", "cells", """SELECT win, t, CASE WHEN max(value) > 0.3 THEN -1 ELSE arg_max(code, (value, -code)) END AS stage FROM (
-  SELECT win, t, value, CASE bin % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS code FROM cells) GROUP BY 1, 2""")
+@query("ex16_stage_order_eight_bins", "win:i t:i stage:i", "cells", EX16_SQL)
+@query("ex16_stage_order", "win:i t:i stage:i", "cells", EX16_SQL)
 def _(v):
     # Two bins a class; a cell above the bound masks its row.
     names = F.element_at(F.array(*[F.lit(c) for c in ("wake", "light", "deep", "rem")]), F.pmod("bin", F.lit(4)).cast("int") + 1)
