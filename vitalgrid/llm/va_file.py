@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Every dimension is cut into equal cells between its least and largest value and a vector is approximated by its cell
-numbers, one byte each. A scan of the cells bounds every score from both sides; only vectors whose upper bound reaches
+Every dimension is cut into cells of near equal shares of the values, with widening cells towards its least and largest
+value, and a vector is approximated by its cell numbers, one byte each. A scan of the cells bounds every score from both sides; only vectors whose upper bound reaches
 the k-th best lower bound of all are candidates, and their exact vectors are read in order of the bound until the
 k-th result is certain.
 
@@ -27,6 +27,8 @@ from vitalgrid.llm.common import bitmap_of, probably_in
 from vitalgrid.session import stage
 
 CELLS = 256
+# Cells on each side of the inner ones, for what lies beyond all but half a hundredth of the values.
+OUTER = 32
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -39,34 +41,51 @@ def floored(vec: Column, scale: int) -> Column:
     return F.transform(vec, one)
 
 
-def grid(found: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least, cell width) per dimension over all vectors: one row per task and dimension reaches the aggregate."""
+def grid(found: DataFrame, dims: int) -> np.ndarray:
+    """(dims, CELLS + 1) borders of the cells of every dimension.
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full(dims, np.inf), np.full(dims, -np.inf)
-        for batch in batches:
-            if batch.num_rows:
-                rows = vectors.matrix(batch.column("vec"), dims)
-                low, high = np.minimum(low, rows.min(axis=0)), np.maximum(high, rows.max(axis=0))
-        if (low <= high).all():
-            yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array(low), pa.array(high)], ["d", "low", "high"])
-
-    rows = found.select("vec").mapInArrow(ends, "d int, low double, high double").groupBy("d").agg(
-        F.min("low").alias("low"), F.max("high").alias("high")
-    ).orderBy("d").collect()  # one row per dimension
-    low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
-    return low, high / CELLS - low / CELLS
-
-
-def approximate(found: DataFrame, low: np.ndarray, step: np.ndarray) -> DataFrame:
+    Inner cells hold near equal shares of the values; on both sides cells that widen geometrically lead to the least
+    and the largest value, so a few extreme values widen no other value's cell by much. One aggregate with a fixed
+    number of quantiles per dimension.
+    """
+    inner = CELLS - 2 * OUTER
+    shares = [0.0, *np.linspace(0.005, 0.995, inner + 1).tolist(), 1.0]
+    values = found.select(F.posexplode("vec").alias("d", "x"))
+    rows = values.groupBy("d").agg(
+        F.percentile_approx("x", shares, 20 * CELLS).alias("at"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.count(F.lit(1)).alias("n"),
+    ).collect()  # one row per dimension
+    total = found.count()
+    out = np.zeros((dims, CELLS + 1))
+    for r in rows:
+        # Shorter vectors count as filled with zeros, so zero is a value of their dimensions too.
+        zero = [0.0] if r["n"] < total else []
+        low, high = min([r["low"], *zero]), max([r["high"], *zero])
+        middle = np.sort(np.array(r["at"][1:-1]))
+        width = max((middle[-1] - middle[0]) / inner, abs(middle).max() * 1e-9, 1e-300)
+        out[r["d"]] = np.concatenate((
+            (middle[0] - _widening(middle[0] - low, width))[::-1], middle, middle[-1] + _widening(high - middle[-1], width)
+        ))
+        out[r["d"], 0], out[r["d"], -1] = low, high
+    return np.maximum.accumulate(out, axis=1)
+
+
+def _widening(reach: float, first: float) -> np.ndarray:
+    """OUTER distances up to ``reach``, the first about ``first`` and each a fixed multiple of the one before."""
+    if reach <= first:
+        return np.linspace(0, max(reach, 0), OUTER + 1)[1:]
+    return np.exp(np.linspace(np.log(first), np.log(reach), OUTER))
+
+
+def approximate(found: DataFrame, borders: np.ndarray) -> DataFrame:
     """(cid, cells): the approximation file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors.matrix(batch.column("vec"), len(low))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cells = np.where(step > 0, np.floor((rows - low) / step), 0)
-            cells = np.clip(cells, 0, CELLS - 1).astype(np.uint8)
+            rows = vectors.matrix(batch.column("vec"), len(borders))
+            cells = np.zeros(rows.shape, np.uint8)
+            for d, own in enumerate(borders):
+                cells[:, d] = np.clip(np.searchsorted(own, rows[:, d], side="right") - 1, 0, CELLS - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cid"), pa.array([c.tobytes() for c in cells], pa.binary())], ["cid", "cells"]
             )
@@ -74,42 +93,43 @@ def approximate(found: DataFrame, low: np.ndarray, step: np.ndarray) -> DataFram
     return found.select("cid", "vec").mapInArrow(run, "cid long, cells binary")
 
 
-def _bounds(cells: DataFrame, queries: np.ndarray, low: np.ndarray, step: np.ndarray, keep: int) -> DataFrame:
+def _bounds(cells: DataFrame, queries: np.ndarray, borders: np.ndarray, keep: int) -> DataFrame:
     """(q, cid, lb, ub) of classes that the bounds of their task can't rule out."""
-    dims = len(low)
-    # Rounding of the sums and of cell borders is far below this.
-    slack = 1e-9 * (np.abs(queries) @ (np.abs(low) + CELLS * step)) + 1e-6
-    under = np.minimum(queries, 0) @ step - slack
-    over = np.maximum(queries, 0) @ step + slack
+    dims = len(borders)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    length = np.sqrt((queries**2).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(queries), keep), -np.inf)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def pruned() -> tuple[np.ndarray, ...]:
-            q, cid, score = (np.concatenate(x) for x in zip(*held, strict=True))
-            use = score + over[q] >= best[q, 0]
-            return q[use], cid[use], score[use]
+        def out() -> pa.RecordBatch:
+            q, cid, lb, ub = (np.concatenate(x) for x in zip(*held, strict=True))
+            use = ub >= best[q, 0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(q[use].astype(np.int32)), pa.array(cid[use]), pa.array(lb[use]), pa.array(ub[use])],
+                ["q", "cid", "lb", "ub"],
+            )
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 raw = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(part.num_rows, dims)
-                score = queries @ (low + raw * step).T
-                best = np.sort(np.concatenate([best, score + under[:, None]], axis=1), axis=1)[:, -keep:]
-                q, x = np.nonzero(score + over[:, None] >= best[:, :1])
-                held.append((q, part.column("cid").to_numpy()[x], score[q, x]))
+                low, high = borders[np.arange(dims), raw], borders[np.arange(dims), raw + np.intp(1)]
+                # Rounding of the sums is far below this share of the largest sum a vector of the cell can have.
+                slack = 1e-12 * np.outer(length, np.sqrt((np.maximum(np.abs(low), np.abs(high)) ** 2).sum(axis=1))) + 1e-6
+                lb = up @ low.T + down @ high.T - slack
+                ub = up @ high.T + down @ low.T + slack
+                best = np.sort(np.concatenate([best, lb], axis=1), axis=1)[:, -keep:]
+                q, x = np.nonzero(ub >= best[:, :1])
+                held.append((q, part.column("cid").to_numpy()[x], lb[q, x], ub[q, x]))
                 size += len(q)
-                if size > 2_000_000:
-                    held = [pruned()]
-                    size = len(held[0][0])
+                if size > 1_000_000:
+                    yield out()
+                    held, size = [], 0
         if held:
-            q, cid, score = pruned()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q.astype(np.int32)), pa.array(cid), pa.array(score + under[q]), pa.array(score + over[q])],
-                ["q", "cid", "lb", "ub"],
-            )
+            yield out()
 
     return cells.mapInArrow(run, "q int, cid long, lb double, ub double")
 
@@ -131,31 +151,25 @@ def _read(pairs: DataFrame, queries: np.ndarray, keep: int) -> DataFrame:
     arrow_type = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = vectors.Best(len(queries), keep)
-        longs: dict[tuple, int] = {}
+        best = vectors.Best(len(queries), keep, _LEAST)
         for batch in batches:
             q, ub = batch.column("q").to_numpy(), batch.column("ub").to_numpy()
             use = np.flatnonzero(ub >= best.bar[q])  # what lies below is certain not to enter
             if len(use):
                 rows = vectors.matrix(batch.column("vec"), dims)
-                score = exact_scores(queries[q[use]], rows[use])
                 ids = batch.column("ids").to_pylist()
-                own = [ids[k] for k in use]
-                for a, s, i in zip(q[use], score, own, strict=True):
-                    longs[int(a), float(s), str(i)] = int(s)
-                best.take(q[use], score.astype(np.float64), own)
+                best.take(q[use], exact_scores(queries[q[use]], rows[use]), [ids[k] for k in use])
         q, score, ids = best.out()
         if q:
-            exact = [longs[a, s, str(i)] for a, s, i in zip(q, score, ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q, pa.int32()), pa.array(exact, pa.int64()), pa.array(ids, arrow_type)], ["q", "score", "ids"]
+                [pa.array(q, pa.int32()), pa.array(score, pa.int64()), pa.array(ids, arrow_type)], ["q", "score", "ids"]
             )
 
     return pairs.select("q", "ub", "vec", "ids").mapInArrow(run, f"q int, score long, ids {id_type.simpleString()}")
 
 
-def _block(found: DataFrame, cells: DataFrame, queries: np.ndarray, low: np.ndarray, step: np.ndarray, keep: int) -> DataFrame:
-    bounds = stage(_bounds(cells, queries, low, step, keep))
+def _block(found: DataFrame, cells: DataFrame, queries: np.ndarray, borders: np.ndarray, keep: int) -> DataFrame:
+    bounds = stage(_bounds(cells, queries, borders, keep))
     first = Window.partitionBy("q").orderBy(F.desc("lb"))
     top = bounds.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
     bar = top.groupBy("q").agg(F.min("lb").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") == keep)
@@ -174,14 +188,12 @@ def top_k(df: DataFrame, is_query: Column, k: int, vec: Column, id_col: str = "v
     """
     found = vectors.classes(vectors.usable(df, id_col, vec), k + 1)
     dims = vectors.width(found)
-    low, step = grid(found, dims)
-    if len(low) < dims or not len(low):
-        low, step = np.zeros(dims), np.zeros(dims)
-    cells = stage(approximate(found, low, step))
+    borders = grid(found, dims)
+    cells = stage(approximate(found, borders))
     queries = vectors.usable(df.where(is_query), id_col, vec).distinct()
     out = None
     for ids, block in vectors.query_blocks(queries, dims):
-        part = vectors.ranked(_block(found, cells, block, low, step, k + 1), ids, k)
+        part = vectors.ranked(_block(found, cells, block, borders, k + 1), ids, k)
         out = part if out is None else out.union(part)
     if out is None:
         out = vectors.ranked(_read(found.select(F.lit(0).alias("q"), F.lit(0.0).alias("ub"), "vec", "ids").limit(0), np.zeros((1, dims)), k + 1), [], k)

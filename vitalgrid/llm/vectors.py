@@ -101,29 +101,31 @@ def id_order(ids: list) -> np.ndarray:
 
 
 class Best:
-    """Running best classes of each query of a block over the batches of a task."""
+    """Running best classes of each query of a block over the batches of a task; scores stay of the kind given."""
 
-    def __init__(self, queries: int, keep: int) -> None:
+    def __init__(self, queries: int, keep: int, least: float | int = -np.inf) -> None:
         self.keep = keep
         #: The score that a further vector must reach, per query.
-        self.bar = np.full(queries, -np.inf)
+        self.bar = np.full(queries, least)
         self.rows: list[list[tuple]] = [[] for _ in range(queries)]
 
     def take(self, q: np.ndarray, score: np.ndarray, ids: list[list]) -> None:
         """Offer pairs of a query and a class with the class's ids, smallest first."""
         low = id_order([own[0] for own in ids])
-        order = np.lexsort((low, -score, q))
+        # Whole numbers fall without overflow as their complements.
+        falling = ~score if score.dtype.kind == "i" else -score
+        order = np.lexsort((low, falling, q))
         place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
         for k in order[place < self.keep]:
             first = ids[k][0]
-            self.rows[q[k]].append((-float(score[k]), first is not None, first, ids[k]))
+            self.rows[q[k]].append((-score[k].item(), first is not None, first, ids[k]))
         for k in np.unique(q):
             own = sorted(self.rows[k], key=lambda x: x[:3])[: self.keep]
             self.rows[k] = own
             if len(own) == self.keep:
                 self.bar[k] = -own[-1][0]
 
-    def out(self) -> tuple[list[int], list[float], list[list]]:
+    def out(self) -> tuple[list[int], list, list[list]]:
         """(query, score, ids) of all that is held."""
         held = [(k, -x[0], x[3]) for k, own in enumerate(self.rows) for x in own]
         return [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]
