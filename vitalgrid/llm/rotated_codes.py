@@ -35,9 +35,17 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: no square vanishes or overflows."""
+    power = np.frexp(np.abs(rows).max(axis=1, initial=0))[1]
+    # In two halves, because the power itself may be beyond the range of a double.
+    return np.ldexp(np.ldexp(rows, -(power // 2)[:, None]), -(power - power // 2)[:, None])
+
+
 def encode(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(packed sign bits, correction) of non-zero vectors."""
     size = turn.shape[0]
+    rows = scaled(rows)
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     turned = unit @ turn[: rows.shape[1]]
     bits = turned > 0
@@ -73,6 +81,7 @@ def index(found: DataFrame, dims: int) -> DataFrame:
 def _search(coded: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
     """(q, score, ids): every task's best classes for each query of a block."""
     dims = queries.shape[1]
+    queries = scaled(queries)
     length = np.sqrt((queries**2).sum(axis=1))
     turned = (queries / length[:, None]) @ rotation(dims)[:dims]
     id_type = coded.schema["ids"].dataType.simpleString()
@@ -92,7 +101,7 @@ def _search(coded: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
                 q, x = np.nonzero(near + error >= bar[:, None])
                 if not len(q):
                     continue
-                rows = vectors.matrix(part.column("vec"), dims)
+                rows = scaled(vectors.matrix(part.column("vec"), dims))
                 norm = np.sqrt((rows**2).sum(axis=1))
                 score = np.concatenate(
                     [
