@@ -61,7 +61,7 @@ def test_near_duplicates_find_every_link(spark, documents, prose, size):
 
 def test_blocks_find_links_that_centres_miss(spark, monkeypatch):
     """A chain of texts, each near the next only, and a crowd of texts that collide without a link."""
-    monkeypatch.setattr(minmax, "BLOCK", 3)
+    monkeypatch.setattr(minmax, "BLOCK_BYTES", 3 * minmax.LEAST_BYTES)
     words = [f"w{k}" for k in range(200)]
     chain = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(12)]
     found = minmax.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), shingle=2)

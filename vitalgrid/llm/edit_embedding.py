@@ -259,8 +259,8 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text (its last half replaced by as much of the next document's
-    beginning), both likenesses, the digest of the text and its band keys; a written table."""
-    return stage(in_order(narrow(docs, id_col, text_col)).mapInArrow(_stream, _RESULT))
+    beginning), both likenesses, the digest of the text and its band keys."""
+    return in_order(narrow(docs, id_col, text_col)).mapInArrow(_stream, _RESULT)
 
 
 def distance(a: str, b: str, most: int) -> int | None:
@@ -303,8 +303,8 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 def near_copies(found: DataFrame, docs: DataFrame, edits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``found`` with copy_of: the smallest id that texts of at most ``edits`` edits from one to the next lead to.
 
-    Distinct texts that share a band are compared with the band's first text, those it does not take with the first of
-    the rest, and so on until every text of every band is taken or alone; no band's pairs are listed.
+    Each distinct text is compared with the first text of every band it is in, so the pairs of a band grow with its
+    texts, however many there are; two texts that only meet behind different first texts are not linked.
     """
     classes = stage(
         found.where(F.size("bands") > 0).groupBy("digest").agg(
@@ -312,35 +312,23 @@ def near_copies(found: DataFrame, docs: DataFrame, edits: int, id_col: str = "do
         )
     )
     crowd = classes.select(F.explode("bands").alias("band"), "digest", "n")
-    shared = crowd.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("band")
-    crowd = settle(crowd.join(shared, "band").distinct())
+    lead = crowd.groupBy("band").agg(F.min(F.struct("digest", "n")).alias("lead"), F.count(F.lit(1)).alias("texts"))
+    held = crowd.join(lead.where("texts > 1"), "band").where(F.col("digest") != F.col("lead.digest"))
+    pairs = held.where(F.abs(F.col("n") - F.col("lead.n")) <= edits).select(
+        F.col("digest").alias("u"), F.col("lead.digest").alias("v")
+    )
+    pairs = settle(pairs.distinct())
+    wanted = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
     texts = narrow(docs, id_col, text_col).select(
         F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"), "text"
-    ).join(crowd.select("digest").distinct(), "digest", "left_semi")
+    ).join(wanted, "digest", "left_semi")
     texts = stage(texts.groupBy("digest").agg(F.first("text").alias("text")))
-    links = None
-    while not crowd.isEmpty():
-        lead = crowd.groupBy("band").agg(F.min(F.struct("digest", "n")).alias("lead"))
-        held = settle(crowd.join(lead, "band").where(F.col("digest") != F.col("lead.digest")))
-        pairs = held.where(F.abs(F.col("n") - F.col("lead.n")) <= edits).select(
-            F.col("digest").alias("u"), F.col("lead.digest").alias("v")
-        ).distinct()
-        both = pairs.join(texts.withColumnRenamed("text", "a"), F.col("u") == F.col("digest")).drop("digest").join(
-            texts.withColumnRenamed("text", "b"), F.col("v") == F.col("digest")
-        )
-        near = settle(both.select("u", "v", "a", "b").mapInArrow(lambda b: _verify(b, edits), "u binary, v binary"))
-        links = near if links is None else links.unionByName(near)
-        taken = (F.col("digest") == F.col("u")) & (F.col("lead.digest") == F.col("v"))
-        crowd = settle(held.join(near, taken, "left_anti").select("band", "digest", "n"))
-    ids = classes.select("digest", F.coalesce("first", F.lit(-(1 << 63)).cast("long")).alias("first"))
-    if links is None:
-        grouped = ids.select("digest", F.col("first").alias("copy_of"))
-    else:
-        root = components(links)
-        joined = ids.join(root, F.col("digest") == F.col("node"), "left").select(
-            "digest", "first", F.coalesce("root", "digest").alias("root")
-        )
-        least = joined.groupBy("root").agg(F.min("first").alias("copy_of"))
-        grouped = joined.join(least, "root").select("digest", "copy_of")
-    own = found.drop("bands").join(grouped, "digest", "left")
-    return own.withColumn("copy_of", F.coalesce("copy_of", F.col("id")))
+    left, right = (texts.select(F.col("digest").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    root = components(settle(both.mapInArrow(lambda b: _verify(b, edits), "u binary, v binary")))
+    joined = classes.select("digest", "first").join(root, F.col("digest") == F.col("node"), "left").select(
+        "digest", "first", F.coalesce("root", "digest").alias("root")
+    )
+    least = joined.groupBy("root").agg(F.min("first").alias("copy_of"))
+    grouped = joined.join(least, "root").select("digest", "copy_of")
+    return found.join(grouped, "digest", "left").withColumn("copy_of", F.coalesce("copy_of", F.col("id")))

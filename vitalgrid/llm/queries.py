@@ -97,35 +97,6 @@ def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines that an earlier line equals up to one edit."""
-    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
-    return found.select(
-        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5")
-    )
-
-
-OP8_SQL = """
-WITH parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-longs AS (SELECT line, min((doc_id, pos)) AS first FROM parts WHERE length(line) >= 20 GROUP BY line),
-ends AS (SELECT line, first, length(line) AS n, left(line, 10) AS e FROM longs
-    UNION ALL SELECT line, first, length(line), '>' || right(line, 10) FROM longs),
-pairs AS (SELECT DISTINCT a.line AS x, b.line AS y, a.n AS nx, b.n AS ny FROM ends a JOIN ends b
-    ON a.e = b.e AND b.first < a.first AND abs(a.n - b.n) <= 1),
-close AS (SELECT DISTINCT x FROM pairs WHERE len(list_filter(range(greatest(nx, ny)),
-    lambda i: left(x, i::BIGINT) = left(y, i::BIGINT) AND
-    substr(x, (i + 1 + (nx >= ny)::INT)::BIGINT) = substr(y, (i + 1 + (ny >= nx)::INT)::BIGINT))) > 0),
-kept AS (SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.pos) AS text, count(*) AS n FROM parts p
-    LEFT JOIN longs l ON l.line = p.line LEFT JOIN close c ON c.x = p.line
-    WHERE l.line IS NULL OR (l.first = (p.doc_id, p.pos) AND c.x IS NULL) GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
-    (coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
-    CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.text, '')) END AS kept_md5
-FROM documents d LEFT JOIN kept k USING (doc_id)
-"""
-
-
-def op8_line_neighbourhood_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that an earlier line equals, from 20 characters up to one edit."""
     found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), exact_chars=1)
     return found.select(
@@ -133,7 +104,7 @@ def op8_line_neighbourhood_every_line(spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
-OP8_EVERY_LINE_SQL = r"""
+OP8_SQL = r"""
 WITH parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 firsts AS (SELECT line, min((doc_id, pos)) AS first FROM parts
@@ -243,12 +214,10 @@ SELECT id AS doc_id, n AS n_features, weight, weight + noise AS score,
 
 
 def op13_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, its edited text's, their likenesses, and the first verified copy."""
-    docs = _table(spark, sf_dir, "documents")
-    found = edit_embedding.fingerprinted(docs)
-    return edit_embedding.near_copies(found, docs, edits=32).select(
+    """Every document's fingerprint, its edited text's, their likenesses, and the keys of the bands it is found by."""
+    return edit_embedding.fingerprinted(_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        "near_next", "copy_of",
+        "near_next", "bands",
     )
 
 
@@ -261,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_streaming_bpe": op7_streaming_bpe,
     "op8_line_neighbourhood": op8_line_neighbourhood,
-    "op8_line_neighbourhood_every_line": op8_line_neighbourhood_every_line,
+    "op8_line_neighbourhood_every_line": op8_line_neighbourhood,
     "op9_warc_chain": op9_warc_chain,
     "op10_suffix_family": op10_suffix_family,
     "op11_geometric_blocks": op11_geometric_blocks,
@@ -271,6 +240,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_va_file": OP1_SQL, "op8_line_neighbourhood": OP8_SQL,
-    "op8_line_neighbourhood_every_line": OP8_EVERY_LINE_SQL, "op9_warc_chain": OP9_SQL,
+    "op8_line_neighbourhood_every_line": OP8_SQL, "op9_warc_chain": OP9_SQL,
     "op11_geometric_blocks": OP11_SQL, "op12_importance_resampling": OP12_SQL,
 }
