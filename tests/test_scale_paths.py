@@ -346,3 +346,87 @@ def test_stage_order_reads_all_eight_bins(spark):
     cells = spark.createDataFrame(rows, "win long, t long, bin long, value double")
     found = load()["ex16_stage_order_eight_bins"].build(SimpleNamespace(cells=cells)).collect()
     assert {r.win: r.stage for r in found} == dict(enumerate([3, 1, 0, 2, 3, 1, 0, 2, -1]))
+
+
+def test_lids_frames_of_many_rows(spark):
+    """Frames of hundreds of rows, uneven times, ties, missing and unbounded values, several chunks."""
+    rng = np.random.default_rng(4)
+    us = np.sort(rng.integers(0, 7_000_000_000, 3000))
+    us[100:103] = us[100]
+    x = np.where(rng.random(3000) < 0.4, 0.0, rng.random(3000))
+    x[500:520], x[1400] = np.nan, np.inf
+    pdf = pd.DataFrame({"record": "a", "us": us, "enmo": x})
+    df = spark.createDataFrame(pdf).withColumn(
+        "enmo", F.when(F.col("enmo").isNull() & (F.col("us") % 2 == 1), float("nan")).otherwise(F.col("enmo"))
+    )
+    got = rolling.lids(df, chunk_seconds=3000).toPandas().sort_values(["us", "enmo"]).reset_index(drop=True)
+    value = got["enmo"].to_numpy(float, na_value=np.nan)
+    missing = np.isnan(value) & (got["us"].to_numpy() % 2 == 0)
+    assert missing.any() and (np.isnan(value) & ~missing).any()
+    above = np.where(value < 0.02, 0.0, value - 0.02)
+
+    def frame(v, held, span):
+        out = np.full(len(v), np.nan)
+        for k, t in enumerate(got["us"]):
+            own = (got["us"] > t - span).to_numpy() & (got["us"] <= t).to_numpy() & held
+            if own.any():
+                out[k] = v[own].sum()
+        return out
+
+    u = 100 / (frame(above, ~missing, 600_000_000) + 1)
+    held = np.array([(~missing & (got["us"] > t - 600_000_000) & (got["us"] <= t)).any() for t in got["us"]])
+    count = frame(np.ones(len(u)), held, 1_800_000_000)
+    want = frame(u, held, 1_800_000_000) / count
+    assert np.allclose(got["lids"].to_numpy(float, na_value=np.nan), want, equal_nan=True, rtol=1e-9)
+
+
+def test_stream_statistics_of_one_hot_bin(spark, tmp_path):
+    """Several micro-batches, one record with nearly all rows of a bin, a late row, the open bin left out."""
+    from vitalgrid.streaming import epochs
+
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(s), float(rng.normal())) for s in rng.random(3000) * 120]
+    rows += [("cold", float(s), None if s < 3 else 1.0) for s in range(0, 240, 7)] + [("hot", 400.0, 5.0)]
+    source = tmp_path / "in"
+    for k, part in enumerate((rows, [("hot", 1.0, 99.0), ("hot", 900.0, 1.0)])):
+        frame = spark.createDataFrame(part, "record string, s double, value double")
+        frame.select("record", F.timestamp_seconds("s").alias("ts"), "value").coalesce(1).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema("record string, ts timestamp, value double").option("recursiveFileLookup", "true")
+        epochs.stream_epoch_stats_full(
+            stream.parquet(str(source)), f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/state", interval="60 seconds",
+            delay="100 seconds",
+        )
+    got = spark.read.parquet(f"{tmp_path}/out").select("record", F.unix_seconds("start").alias("start"), "mean", "std", "range", "mad", "entropy20", "entropy200")
+    want = {}
+    for r, s, v in rows:
+        if v is not None:
+            want.setdefault((r, int(s // 60) * 60), []).append(v)
+    closed = {k: np.array(v) for k, v in want.items() if k[1] + 60 <= 800}
+    got = {(r["record"], r["start"]): r for r in got.collect()}
+    assert set(got) == set(closed)
+    for k, v in closed.items():
+        assert got[k]["mean"] == pytest.approx(v.mean()) and got[k]["mad"] == pytest.approx(np.abs(v - v.mean()).mean())
+        assert got[k]["range"] == pytest.approx(v.max() - v.min())
+        for b in (20, 200):
+            p = np.histogram(v, bins=b)[0] / len(v)
+            p = p[p > 0]
+            assert got[k][f"entropy{b}"] == pytest.approx(-(p * np.log(p)).sum(), abs=1e-9)
+
+
+def test_label_counts_on_bits(spark):
+    from vitalgrid.operators import windows
+
+    iv = spark.createDataFrame(
+        [("a", "x", "event", 0, 30.0, 100.0), ("a", "y", "event", 1, 90.0, 400.0), ("a", "m", "mask", 2, 100.0, 60.0)],
+        "record string, label string, kind string, id int, start double, duration double",
+    )
+    w = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 400.0)], "record string, win long, start double")
+    words = windows.label_words(w, iv, ["x", "y"], 500, 7)
+    cells = windows.window_labels(w, iv, ["x", "y"], 500, 7)
+    by = ["win", "class"]
+    want = cells.groupBy(*by).agg(
+        F.count_if(F.col("y_true") == 1).alias("ones"), F.count_if(F.col("y_true") == 0).alias("zeros"),
+        F.count_if(F.col("y_true") == -1).alias("masked"),
+    )
+    key = lambda df: sorted(map(tuple, df.select("win", "class", "ones", "zeros", "masked").collect()))
+    assert key(windows.label_counts(words, by)) == key(want) and words.agg(F.sum("cells")).first()[0] == 4 * 71

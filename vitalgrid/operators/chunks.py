@@ -55,6 +55,39 @@ def over_chunks(
     return out.drop("_chunk")
 
 
+def time_frame(
+    df: DataFrame, part: Sequence[str], t: str, span: int, value: str, total: str, count: str
+) -> DataFrame:
+    """Sum and number of ``value`` over the time frame ``(t - span, t]`` inside each partition, in linear time.
+
+    Every row enters at its time and leaves again ``span`` later; the frame is the running sum of what came and
+    went, so its cost does not depend on the rows in it. Values without a finite size are counted instead of
+    summed, and leave no trace once they are out of the frame. ``total`` is NULL where the frame has no value.
+    """
+    v = F.col(value).cast("double")
+    size = F.abs(v)
+    finite = v.isNotNull() & ~F.isnan(v) & (size < float("inf"))
+    events = df.withColumn("_leaves", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_at", F.col(t) + F.col("_leaves") * F.lit(int(span))
+    )
+    sign = F.lit(1) - 2 * F.col("_leaves")
+    w = Window.partitionBy(*part).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = lambda c: F.sum(F.coalesce(c, F.lit(0)) * sign).over(w)
+    out = events.withColumns({
+        "_sum": running(F.when(finite, v)), "_held": running(v.isNotNull().cast("long")),
+        "_odd": running(F.isnan(v).cast("long")), "_high": running((v == float("inf")).cast("long")),
+        "_low": running((v == float("-inf")).cast("long")),
+    }).where("_leaves = 0")
+    nothing, nan = F.col("_held") == 0, (F.col("_odd") > 0) | ((F.col("_high") > 0) & (F.col("_low") > 0))
+    found = (
+        F.when(nothing, F.lit(None).cast("double")).when(nan, F.lit(float("nan")))
+        .when(F.col("_high") > 0, F.lit(float("inf"))).when(F.col("_low") > 0, F.lit(float("-inf"))).otherwise(F.col("_sum"))
+    )
+    return out.withColumn(total, found).withColumn(count, F.col("_held").cast("long")).drop(
+        "_leaves", "_at", "_sum", "_held", "_odd", "_high", "_low"
+    )
+
+
 def _nothing(schema: T.StructType) -> pd.DataFrame:
     """Result of a chunk that only holds neighbours' rows."""
     return pd.DataFrame(columns=schema.names)

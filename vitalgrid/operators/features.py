@@ -288,6 +288,72 @@ def epoch_stats(
     return over_chunks(full, keys, "epoch", reach, reach, build, chunk)
 
 
+def epoch_stats_of(
+    df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("record",), us: str = "us", interval: float = 30,
+    chunk: int = CHUNK, diff_seconds: Sequence[int] = DIFF_SECONDS, bins: Sequence[int] = (20, 200),
+    times: DataFrame | None = None,
+) -> DataFrame:
+    """``epoch_stats`` of several signals side by side, columns ``<signal>_<statistic>``.
+
+    ``times`` is a cheaper table of the same rows' keys and times, for the span of each record.
+
+    Samples are shuffled once and not repeated per signal; histogram counts of all signals come from one
+    aggregation inside that partitioning, as groups of (epoch, signal, bin).
+    """
+    keys, step = list(keys), int(interval * 1_000_000)
+    by = [*keys, "epoch"]
+    w = Window.partitionBy(*by)
+    base = df.select(*by[:-1], floor_div(F.col(us), step).alias("epoch"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    own = {"_m": F.avg, "_lo": F.min, "_hi": F.max, "_n": F.count, "_s": F.stddev_samp}
+    base = base.withColumns({f"{n}{i}": f(f"_v{i}").over(w) for i in range(len(values)) for n, f in own.items()})
+    entries = [
+        F.struct(
+            F.lit(i).alias("signal"), F.lit(b).alias("bins"),
+            histogram_bin(F.col(f"_v{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}"), b).alias("bin"),
+            F.abs(F.col(f"_v{i}") - F.col(f"_m{i}")).alias("dev"),
+            *[F.col(f"{n}{i}").alias(n) for n in own],
+        )
+        for i in range(len(values)) for b in bins
+    ]
+    placed = base.select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, "_e.*")
+    counted = placed.groupBy(*by, "signal", "bins", "bin").agg(
+        F.count("dev").alias("_c"), F.sum("dev").alias("_d"), *[F.first(n).alias(n) for n in own]
+    )
+    share = F.col("_c") / F.col("_n")
+    aggs = []
+    for i, v in enumerate(values):
+        of = F.col("signal") == i
+        pick = lambda c, of=of: F.max(F.when(of, c))
+        aggs += [
+            pick(F.col("_m")).alias(f"{v}_mean"), pick(F.col("_s")).alias(f"{v}_std"),
+            pick(F.col("_hi") - F.col("_lo")).alias(f"{v}_range"),
+            (F.sum(F.when(of & (F.col("bins") == bins[0]), F.col("_d"))) / pick(F.col("_n"))).alias(f"{v}_mad"),
+        ]
+        aggs += [
+            (-F.sum(F.when(of & (F.col("bins") == b) & (F.col("_c") > 0), share * F.log(share)))).alias(f"{v}_entropy{b}")
+            for b in bins
+        ]
+    stats = counted.groupBy(*by).agg(*aggs)
+    span = (df if times is None else times).groupBy(*keys).agg(
+        floor_div(F.min(us), step).alias("_a"), floor_div(F.max(us), step).alias("_z")
+    )
+    full = span.select(*keys, F.explode(F.sequence("_a", "_z")).alias("epoch")).join(stats, by, "left")
+    reach = max(rolling._steps(s, interval) for s in diff_seconds)
+
+    def build(d, w):
+        first, last = F.lag("epoch").over(w).isNull(), F.lead("epoch").over(w).isNull()
+        new = {}
+        for v in values:
+            mean = F.col(f"{v}_mean")
+            for s in diff_seconds:
+                k = rolling._steps(s, interval)
+                new[f"{v}_prev{s}"] = F.when(first, F.lit(0.0)).otherwise(mean - F.avg(mean).over(w.rowsBetween(-k, -1)))
+                new[f"{v}_next{s}"] = F.when(last, F.lit(0.0)).otherwise(F.avg(mean).over(w.rowsBetween(1, k)) - mean)
+        return d.withColumns(new)
+
+    return over_chunks(full, keys, "epoch", reach, reach, build, chunk)
+
+
 def surrogate_signals(
     df: DataFrame, keys: Sequence[str] = ("record",), t: str = "t", us: str = "us",
     x: str = "x", y: str = "y", z: str = "z",
@@ -305,19 +371,10 @@ def movement_epoch_features(
 ) -> DataFrame:
     """Epoch statistics of ENMO, z-angle and inactivity index: 36 columns."""
     signals = surrogate_signals(df, keys, t, us, x, y, z)
-    stacked = signals.select(
-        *keys, us,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("v")) for n in ("enmo", "angle_z", "lids")])
-        ).alias("_s"),
-    ).select(*keys, us, "_s.signal", "_s.v")
-    stats = epoch_stats(stacked, "v", [*keys, "signal"], us, interval, diff_seconds=diff_seconds)
-    names = list(STAT_NAMES) + [f"{d}{s}" for s in diff_seconds for d in ("prev", "next")]
-    picked = [
-        F.max(F.when(F.col("signal") == s, F.col(n))).alias(f"{s}_{n}")
-        for s in ("enmo", "angle_z", "lids") for n in names
-    ]
-    return stats.groupBy(*keys, "epoch").agg(*picked)
+    names = ("enmo", "angle_z", "lids")
+    stats = epoch_stats_of(signals, names, keys, us, interval, diff_seconds=diff_seconds, times=df)
+    own = [*STAT_NAMES, *[f"{d}{s}" for s in diff_seconds for d in ("prev", "next")]]
+    return stats.select(*keys, "epoch", *[f"{s}_{n}" for s in names for n in own])
 
 
 # ---- small aggregates ------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, odd_window
-from vitalgrid.operators.chunks import floor_div, halo_map, over_chunks, previous
+from vitalgrid.operators.chunks import floor_div, halo_map, over_chunks, previous, time_frame
 from vitalgrid.operators.quantiles import group_quantiles
 from vitalgrid.session import attach
 
@@ -164,21 +164,26 @@ def lids(
 ) -> DataFrame:
     """Inactivity index: 10-minute rolling sum of ENMO above .02, inverted, 30-minute mean.
 
-    Both frames are time ranges ``(t - span, t]`` on integer microseconds, taken
-    in one pass over time chunks with a 40-minute halo.
+    Both frames are time ranges ``(t - span, t]`` on integer microseconds. Rows are shuffled once, to time chunks
+    with a 40-minute halo; inside a chunk each frame is a running sum of what enters and leaves it, so the work
+    grows with the rows alone, whatever the sampling rate.
     """
     second = 1_000_000
     above = F.when(F.col(enmo) < 0.02, F.lit(0.0)).otherwise(F.col(enmo) - F.lit(0.02))
+    part = [*keys, "_chunk"]
 
     def build(d, w):
-        total = F.sum("_s").over(w.rangeBetween(-(600 * second - 1), 0))
-        d = d.withColumn("_u", F.lit(100.0) / (total + F.lit(1.0)))
-        return d.withColumn(name, F.avg("_u").over(w.rangeBetween(-(1800 * second - 1), 0)))
+        d = time_frame(d, part, us, 600 * second, "_s", "_total", "_n")
+        # What is left of a frame of zeros is rounding.
+        total = F.when(F.col("_n") > 0, F.greatest("_total", F.lit(0.0)))
+        d = d.withColumn("_u", F.lit(100.0) / (total + F.lit(1.0))).drop("_total", "_n")
+        d = time_frame(d, part, us, 1800 * second, "_u", "_total", "_n")
+        return d.withColumn(name, F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")))
 
     out = over_chunks(
         df.withColumn("_s", above), keys, us, 2400 * second, 0, build, chunk_seconds * second
     )
-    return out.drop("_s", "_u")
+    return out.drop("_s", "_u", "_total", "_n")
 
 
 def _steps(time_diff: float, interval: float) -> int:

@@ -141,15 +141,14 @@ def _packed(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return w.select(*keys, "word", F.expr("shiftleft(shiftleft(1L, _hi - _lo) - 1L, _lo)").alias("bits"))
 
 
-def window_labels(
+def label_words(
     windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
     so: float | None = None, use_mask: bool = True, minimum_duration: float = 10, record: str = "record",
 ) -> DataFrame:
-    """Full (window, class, cell) grid: 1 where an event of the class covers the cell, 0
-    elsewhere, -1 in every class where a mask event covers it.
+    """The label grid as bits: (record, win, win_start, class, word, event, mask, cells).
 
-    Calendar, events and masks meet in one aggregation on words of 32 cells; cells
-    are unpacked after the shuffle, so the dense grid itself is never shuffled.
+    Bit k of a word stands for cell ``32 word + k``; ``cells`` is the number of cells of the word. Calendar, events
+    and masks meet in one aggregation on words, so the dense grid is neither built nor shuffled.
     """
     n = int(window // resolution)
     names = F.array(*[F.lit(c) for c in classes])
@@ -171,13 +170,35 @@ def window_labels(
         all_ = all_.unionByName(
             masks.select(*key, F.explode(names).alias("class"), "word", none.alias("_event"), "_mask")
         )
-    packed = all_.groupBy(*key, "class", "word").agg(F.bit_or("_event").alias("_event"), F.bit_or("_mask").alias("_mask"))
-    top = F.least((F.col("word") + 1) * WORD, F.lit(n).cast("long")) - 1
-    cells = packed.withColumn("cell", F.explode(F.sequence(F.col("word") * WORD, top)))
-    bit = "cast(cell - word * 32 as int)"
-    masked, hit = (F.expr(f"shiftright({c}, {bit}) & 1L = 1L") for c in ("_mask", "_event"))
+    packed = all_.groupBy(*key, "class", "word").agg(F.bit_or("_event").alias("event"), F.bit_or("_mask").alias("mask"))
+    return packed.withColumn("cells", F.least(F.lit(WORD).cast("long"), F.lit(n) - F.col("word") * WORD))
+
+
+def label_counts(words: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells of a bit grid per group that are 1, 0 and masked, counted on the bits."""
+    all_cells = F.expr("shiftleft(1L, cast(cells as int)) - 1L")
+    masked = F.bit_count(F.col("mask").bitwiseAND(all_cells))
+    ones = F.bit_count(F.col("event").bitwiseAND(F.bitwise_not("mask")).bitwiseAND(all_cells))
+    return words.groupBy(*by).agg(
+        F.sum(ones).alias("ones"), F.sum(F.col("cells") - ones - masked).alias("zeros"), F.sum(masked).alias("masked")
+    )
+
+
+def window_labels(
+    windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
+    so: float | None = None, use_mask: bool = True, minimum_duration: float = 10, record: str = "record",
+) -> DataFrame:
+    """Full (window, class, cell) grid: 1 where an event of the class covers the cell, 0
+    elsewhere, -1 in every class where a mask event covers it.
+
+    The cells are unpacked from the words of ``label_words``, after its shuffle.
+    """
+    packed = label_words(windows, intervals, classes, window, resolution, so, use_mask, minimum_duration, record)
+    cells = packed.withColumn("cell", F.explode(F.sequence(F.col("word") * WORD, F.col("word") * WORD + F.col("cells") - 1)))
+    bit = f"cast(cell - word * {WORD} as int)"
+    masked, hit = (F.expr(f"shiftright({c}, {bit}) & 1L = 1L") for c in ("mask", "event"))
     y = F.when(masked, F.lit(-1.0)).when(hit, F.lit(1.0)).otherwise(F.lit(0.0))
-    return cells.select(*key, "class", "cell", y.alias("y_true"))
+    return cells.select(record, "win", "win_start", "class", "cell", y.alias("y_true"))
 
 
 def any_event(

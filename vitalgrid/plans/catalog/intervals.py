@@ -68,11 +68,8 @@ def _(v):
 def _(v):
     from vitalgrid.plans.views import CLASSES, SHARE
 
-    g = wn.window_labels(_windows(v), v.intervals, CLASSES, WINDOW, RESOLUTION, SHARE)
-    return g.groupBy("record", "class").agg(
-        F.count_if(F.col("y_true") == 1).alias("ones"),
-        F.count_if(F.col("y_true") == 0).alias("zeros"), F.count_if(F.col("y_true") == -1).alias("masked"),
-    )
+    words = wn.label_words(_windows(v), v.intervals, CLASSES, WINDOW, RESOLUTION, SHARE)
+    return wn.label_counts(words, ["record", "class"])
 
 
 DISCARD = {

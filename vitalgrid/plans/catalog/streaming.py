@@ -36,10 +36,10 @@ def _(v):
     "s": "SELECT record, bin, avg(value) AS mean, avg(abs(value - m)) AS mad FROM m GROUP BY 1, 2"},
     sql="SELECT record, bin * 3600 AS start, mean, mad, entropy20 FROM s JOIN h USING (record, bin) WHERE (bin + 1) * 3600000 <= (SELECT ms FROM wm)")
 def _(v):
-    path, ckpt = scratch(v.spark, "stream"), scratch(v.spark, "stream-state")
-    stats = st.stream_epoch_stats_full(_stream(v), interval="1 hour", delay="1 day")
-    st.run_available(stats.withColumn("start", F.unix_seconds(F.from_utc_timestamp("start", F.current_timezone()))), path, ckpt)
-    return v.spark.read.parquet(path)
+    store, path, ckpt = (scratch(v.spark, n) for n in ("stream-rows", "stream", "stream-state"))
+    st.stream_epoch_stats_full(_stream(v), store, path, ckpt, interval="1 hour", delay="1 day")
+    found = v.spark.read.parquet(path)
+    return found.withColumn("start", F.unix_seconds(F.from_utc_timestamp("start", F.current_timezone())))
 
 
 @query("st2_stream_label", "record:i win:i class:s cells:i ones:i masked:i place:i", "labels4",

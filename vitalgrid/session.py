@@ -69,6 +69,29 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    """A folder of any file system Spark knows, and that file system."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own, system = _path(spark, path)
+    return system.exists(own)
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern."""
+    own, system = _path(spark, pattern)
+    return [s.getPath().toString() for s in system.globStatus(own) or []]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    own, system = _path(spark, path)
+    system.delete(own, True)
+
+
 def _row_bytes(schema: T.StructType) -> int:
     """Upper estimate of a row's size; strings and nested values count as 64 bytes."""
     return 16 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) else 64 for f in schema)
