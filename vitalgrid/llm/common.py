@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +20,32 @@ FILTER_BITS = 1 << 26
 _ROW_BITS = 32768
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same function over batches, after which its Python worker gives unused memory back: workers outlive tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows for what is executed inside: tables whose rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """The two columns an operator works on, as ``id`` and ``text``; columns to carry along go into a struct ``row``.
 
@@ -42,21 +72,26 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(text)
 
 
-def ordinals(df: DataFrame, group: str, order: Sequence[str | Column], name: str, buckets: int) -> DataFrame:
+def ordinals(
+    df: DataFrame, group: str, order: Sequence[str | Column], name: str, buckets: int, weight: str | None = None
+) -> DataFrame:
     """Gapless numbers from 0 within each ``group`` without gathering a group in one task.
 
     Rows are dealt to hash buckets of their order columns; a row's number is its rank inside (group, bucket)
     plus the rows of the group in earlier buckets. The offsets table has groups x buckets rows at most and is
-    aggregated before it is joined.
+    aggregated before it is joined. With ``weight`` it is the sum of that column over the rows before a row.
     """
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = dealt.groupBy(group, "_b").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         F.col(group).alias("_g"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")
     )
     within = Window.partitionBy(group, "_b").orderBy(*order)
-    ranked = dealt.withColumn("_r", F.row_number().over(within) - 1)
+    earlier = F.row_number().over(within) - 1
+    if weight:
+        earlier = F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("_r", earlier)
     joined = ranked.join(starts, (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_c")))
     return joined.withColumn(name, F.col("_s") + F.col("_r")).drop("_b", "_g", "_c", "_s", "_r")
 

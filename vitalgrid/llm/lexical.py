@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitalgrid.llm import terms
-from vitalgrid.llm.common import narrow
+from vitalgrid.llm.common import narrow, released, rows_per_batch
 from vitalgrid.session import BROADCAST_BYTES, settle, stage
 
 # Documents of a block, about (a shorter list has none); documents of a shard, and its documents x terms, at most.
-BLOCK = 96
-SHARD_ROWS = 2048
-SHARD_CELLS = 1 << 24
+BLOCK = 48
+SHARD_ROWS = 512
+SHARD_CELLS = 1 << 22
 # Distinct terms of the queries that are searched for together, about.
 QUERY_TERMS = 8192
 # One shard in so many is searched first, for the scores to start from.
@@ -83,7 +83,12 @@ def forward(docs: DataFrame, query_terms: DataFrame | None = None) -> DataFrame:
         wanted = np.zeros(FILTER_BITS // 8, np.uint8)  # the rows below are one for each of its bytes at most
         for part in octets.toArrow().to_batches():
             wanted[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return stage(docs.select("id", "text").mapInArrow(lambda b: _counts(b, wanted), _FORWARD).where("n > 0"))
+    return stage(docs.select("id", "text").mapInArrow(released(lambda b: _counts(b, wanted)), _FORWARD).where("n > 0"))
+
+
+def _narrow(width: int) -> type:
+    """The smallest kind of number that counts the terms of a shard."""
+    return np.uint16 if width <= 1 << 16 else np.int32
 
 
 def _block_up(ids: pa.Array, n: np.ndarray, own: pa.ListArray, tfs: pa.ListArray, documents: int, all_terms: int) -> list:
@@ -125,9 +130,9 @@ def _block_up(ids: pa.Array, n: np.ndarray, own: pa.ListArray, tfs: pa.ListArray
     flat = lambda x, kind: (np.concatenate(x) if x else np.zeros(0)).astype(kind).tobytes()
     return [(
         zlib.crc32(repr(ids.slice(0, 8).to_pylist()).encode()) % SEED == 0, ids.to_pylist(), coded.dictionary.to_pylist(),
-        rows.astype(np.int64).tobytes(), coords.astype(np.int32).tobytes(), scores.astype(np.int32).tobytes(),
+        rows.astype(np.int64).tobytes(), coords.astype(_narrow(width)).tobytes(), scores.astype(np.int32).tobytes(),
         docs.astype(np.int32).tobytes(), ends.astype(np.int64).tobytes(), flat([np.array(blocks).ravel()], np.int32),
-        lists.tobytes(), sums.astype(np.int64).tobytes(), flat(where, np.int32), flat(most, np.uint8),
+        lists.tobytes(), sums.astype(np.int64).tobytes(), flat(where, _narrow(width)), flat(most, np.uint8),
     )]
 
 
@@ -158,7 +163,7 @@ def _shards(batches: Iterator[pa.RecordBatch], documents: int, all_terms: int) -
 def index(found: DataFrame, documents: int, all_terms: int) -> DataFrame:
     """Shards of blocked posting lists of a forward table, written; nothing is shuffled."""
     held = found.where(F.size("terms") > 0).select("id", "n", "terms", "tfs")
-    return stage(held.mapInArrow(lambda b: _shards(b, documents, all_terms), _INDEX))
+    return stage(held.mapInArrow(released(lambda b: _shards(b, documents, all_terms)), _INDEX))
 
 
 class _Shard:
@@ -166,6 +171,7 @@ class _Shard:
 
     def __init__(self, row: dict) -> None:
         kinds = {"sum_scores": np.uint8} | dict.fromkeys(("rows", "ends", "lists", "sums"), np.int64)
+        kinds |= dict.fromkeys(("coords", "sum_coords"), _narrow(len(row["terms"])))
         self.ids, self.number = row["ids"], {t: k for k, t in enumerate(row["terms"])}
         for column in _INDEX.split(", ")[3:]:
             name = column.split()[0]
@@ -249,7 +255,7 @@ def _hits(shards: DataFrame, items: DataFrame, blocks: int, k: int) -> DataFrame
     packed = F.broadcast(packed) if size <= BROADCAST_BYTES else packed
     columns = [*[f.split()[0] for f in _INDEX.split(", ")], "items"]
     joined = dealt.join(packed, "block").select(*columns)
-    found = joined.mapInArrow(lambda b: _search(b, k), "item long, id long, score long")
+    found = joined.mapInArrow(released(lambda b: _search(b, k)), "item long, id long, score long")
     ranked = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
@@ -265,7 +271,7 @@ def search(
     """
     spark = documents.sparkSession
     asked = narrow(queries, query_col, query_text_col).distinct()
-    asked = settle(asked.mapInArrow(lambda b: _counts(b, None), _FORWARD).where("n > 0"))
+    asked = settle(asked.mapInArrow(released(lambda b: _counts(b, None)), _FORWARD).where("n > 0"))
     # A number for every query: ids may repeat with another text.
     key = F.xxhash64("id", F.col("terms"), F.col("tfs"))
     asked = asked.withColumn("item", key).dropDuplicates(["item"])
@@ -291,7 +297,8 @@ def search(
             F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"),
         )
     )
-    first = _hits(shards.where("seed"), items.withColumn("least", F.lit(0).cast("long")), blocks, k)
-    least = settle(first.where(F.col("rank") == k).select("item", F.col("score").alias("least")))
-    best = _hits(shards, items.join(least, "item", "left"), blocks, k)
+    with rows_per_batch(spark, 4):
+        first = _hits(shards.where("seed"), items.withColumn("least", F.lit(0).cast("long")), blocks, k)
+        least = settle(first.where(F.col("rank") == k).select("item", F.col("score").alias("least")))
+        best = stage(_hits(shards, items.join(least, "item", "left"), blocks, k))
     return best.join(items.select("item", "query"), "item").select("query", "rank", "id", "score")

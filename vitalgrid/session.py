@@ -56,16 +56,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+# Writer options for tables whose rows are large (a megabyte, say): pages and row groups are closed by size after
+# every row instead of after the first hundred.
+LARGE_ROWS = {
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20),
+}
+
+
+def stage(df: DataFrame, **options: str) -> DataFrame:
     """Write a large intermediate once as Parquet in the shared folder and go on from there.
 
     For tables that the next step reads several times: columns stay prunable and
-    a lost executor costs a re-read, not a recomputation.
+    a lost executor costs a re-read, not a recomputation. ``options`` go to the writer.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
