@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from vitalgrid.llm import terms
 from vitalgrid.llm.common import narrow, released, rows_per_batch
-from vitalgrid.session import BROADCAST_BYTES, settle, stage
+from vitalgrid.session import BROADCAST_BYTES, LARGE_ROWS, settle, stage
 
 # Documents of a block, about (a shorter list has none); documents of a shard, and its documents x terms, at most.
 BLOCK = 48
@@ -163,7 +163,7 @@ def _shards(batches: Iterator[pa.RecordBatch], documents: int, all_terms: int) -
 def index(found: DataFrame, documents: int, all_terms: int) -> DataFrame:
     """Shards of blocked posting lists of a forward table, written; nothing is shuffled."""
     held = found.where(F.size("terms") > 0).select("id", "n", "terms", "tfs")
-    return stage(held.mapInArrow(released(lambda b: _shards(b, documents, all_terms)), _INDEX))
+    return stage(held.mapInArrow(released(lambda b: _shards(b, documents, all_terms)), _INDEX), **LARGE_ROWS)
 
 
 class _Shard:
