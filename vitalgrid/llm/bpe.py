@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import narrow
+from vitalgrid.llm.common import narrow, released
 
 # Chunks (text between blanks) whose ids a worker remembers; longer ones than CHUNK symbols are never remembered.
 REMEMBERED = 1_200_000
@@ -233,6 +233,12 @@ class Encoder:
         self.memory = _Memory(self)
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what is remembered of a task's texts: the worker lives on, its memory should not."""
+        self.memory.clear()
+        self.memory.old = {}
+        self.known.clear()
+
     def _plain(self, text: str) -> bytes:
         # Lower case goes character by character, so a final sigma is like any other.
         if text.isascii():
@@ -347,8 +353,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(at, 256)
                 ids = [own.encode(t.as_py() or "") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+        own.forget()
 
-    return docs.mapInArrow(run, f"id {id_type}, ids binary")
+    return docs.mapInArrow(released(run), f"id {id_type}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -370,7 +377,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     [part.column("id"), part.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "text"]
                 )
 
-    return rows.mapInArrow(run, f"id {id_type}, ids binary, text string")
+    return rows.mapInArrow(released(run), f"id {id_type}, ids binary, text string")
 
 
 def with_counts(encoded: DataFrame) -> DataFrame:

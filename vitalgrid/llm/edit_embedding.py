@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import components, narrow
+from vitalgrid.llm.common import components, narrow, released
 from vitalgrid.session import settle, stage
 
 # Sampled steps of a fingerprint.
@@ -260,7 +260,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text (its last half replaced by as much of the next document's
     beginning), both likenesses, the digest of the text and its band keys."""
-    return in_order(narrow(docs, id_col, text_col)).mapInArrow(_stream, _RESULT)
+    return in_order(narrow(docs, id_col, text_col)).mapInArrow(released(_stream), _RESULT)
 
 
 def distance(a: str, b: str, most: int) -> int | None:
@@ -325,7 +325,7 @@ def near_copies(found: DataFrame, docs: DataFrame, edits: int, id_col: str = "do
     texts = stage(texts.groupBy("digest").agg(F.first("text").alias("text")))
     left, right = (texts.select(F.col("digest").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    root = components(settle(both.mapInArrow(lambda b: _verify(b, edits), "u binary, v binary")))
+    root = components(settle(both.mapInArrow(released(lambda b: _verify(b, edits)), "u binary, v binary")))
     joined = classes.select("digest", "first").join(root, F.col("digest") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "digest").alias("root")
     )

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Bytes hashed at a time: bounds the working arrays to a few dozen MB whatever the batch.
-BLOCK = 1 << 21
+# Bytes hashed at a time: bounds the working arrays to about a dozen MB whatever the batch.
+BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)

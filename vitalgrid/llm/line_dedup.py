@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import bitmap_of, carried, narrow, probably_in, text_key
+from vitalgrid.llm.common import bitmap_of, carried, narrow, probably_in, released, text_key
 from vitalgrid.session import stage
 
 # Shorter lines are never near duplicates: one edit changes too much of them.
@@ -117,7 +117,7 @@ def _variants(rows: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return rows.select("line", "n", "t", "j", "key", "lh").mapInArrow(run, "vk long, lh long, centre int")
+    return rows.select("line", "n", "t", "j", "key", "lh").mapInArrow(released(run), "vk long, lh long, centre int")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -138,7 +138,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             near = [one_edit(x.as_py(), y.as_py()) for x, y in zip(batch.column("lx"), batch.column("ly"), strict=True)]
             yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y"])
 
-    return pairs.select("x", "y", "lx", "ly").mapInArrow(run, "x long, y long")
+    return pairs.select("x", "y", "lx", "ly").mapInArrow(released(run), "x long, y long")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:

@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import bitmap_of, components, narrow, ordinals, probably_in, text_key
+from vitalgrid.llm.common import bitmap_of, components, narrow, ordinals, probably_in, released, text_key
 from vitalgrid.session import settle, stage
 
 # 100 permutations give 200 values: 40 bands of 5. A pair at similarity .8 misses all bands once in 8 million.
 PERMUTATIONS = 100
 ROWS = 5
-# Members of a block where colliding classes are compared with each other.
-BLOCK = 512
+# Bytes of text in a block where colliding classes are compared with each other (a text counts as LEAST_BYTES or more).
+BLOCK_BYTES = 1 << 21
+LEAST_BYTES = 1 << 12
 _SIGNED = np.int64
 
 
@@ -82,7 +83,7 @@ def signatures(docs: DataFrame, shingle: int, permutations: int, rows: int) -> D
                 )
 
     keyed = docs.withColumn("th", text_key())
-    return keyed.mapInArrow(run, f"id {id_type}, th long, n long, cls binary, bands array<long>")
+    return keyed.mapInArrow(released(run), f"id {id_type}, th long, n long, cls binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, shingle: int) -> DataFrame:
@@ -110,7 +111,7 @@ def _confirm(pairs: DataFrame, shingle: int) -> DataFrame:
                 [batch.column("u"), batch.column("v"), pa.array(inter), pa.array(total)], ["u", "v", "inter", "total"]
             )
 
-    return pairs.select("u", "v", "ut", "vt").mapInArrow(run, "u binary, v binary, inter long, total long")
+    return pairs.select("u", "v", "ut", "vt").mapInArrow(released(run), "u binary, v binary, inter long, total long")
 
 
 def _links(table: pa.Table, shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
@@ -155,8 +156,8 @@ def _links(table: pa.Table, shingle: int, percent: int) -> list[tuple[bytes, byt
 def _within_groups(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): links between different roots among classes that collide, directly or over others.
 
-    A group is cut into blocks of BLOCK members and every pair of its blocks is one unit of work, so neither a task
-    nor a row ever holds a whole group, and only links that join something are written.
+    A group is cut into blocks of about BLOCK_BYTES of text and every pair of its blocks is one unit of work, so neither
+    a task nor a row ever holds a whole group or many long texts, and only links that join something are written.
     """
     edges = rest.where("low <> cls").select(F.col("low").alias("u"), F.col("cls").alias("v"))
     groups = components(edges)
@@ -165,7 +166,10 @@ def _within_groups(rest: DataFrame, texts: DataFrame, shingle: int, percent: int
         groups.select(F.col("node").alias("gn"), F.col("root").alias("grp")), F.col("cls") == F.col("gn")
     ).drop("gn")
     buckets = max(8, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    numbered = stage(ordinals(members, "grp", ["cls"], "_o", buckets).withColumn("b", F.floor(F.col("_o") / BLOCK)))
+    length = texts.select(F.col("cls").alias("tc"), F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES)).cast("long").alias("w"))
+    members = members.join(length, F.col("cls") == F.col("tc")).drop("tc")
+    numbered = ordinals(members, "grp", ["cls"], "_o", buckets, weight="w").drop("w")
+    numbered = stage(numbered.withColumn("b", F.floor(F.col("_o") / BLOCK_BYTES)))
     many = numbered.groupBy("grp").agg((F.max("b") + 1).alias("blocks"))
     dealt = numbered.join(many, "grp").join(texts, "cls").withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
     units = dealt.select(
@@ -194,7 +198,7 @@ def _within_groups(rest: DataFrame, texts: DataFrame, shingle: int, percent: int
         if held:
             yield settle_unit()
 
-    return units.mapInArrow(run, "u binary, v binary")
+    return units.mapInArrow(released(run), "u binary, v binary")
 
 
 def near_duplicates(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.bpe import encoder
-from vitalgrid.llm.common import narrow, ordinals
+from vitalgrid.llm.common import narrow, ordinals, released
 from vitalgrid.session import stage
 
 # Length classes per sequence, and documents in an enumerated pattern.
@@ -210,8 +210,9 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str, text_c
                 ],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        own.forget()
 
-    return docs.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(released(run), f"id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces_: DataFrame, size: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import hashing
-from vitalgrid.llm.common import bitmap_of, carried, ddl, narrow, probably_in, text_key
+from vitalgrid.llm.common import bitmap_of, carried, ddl, narrow, probably_in, released, text_key
 from vitalgrid.session import stage
 
 GRAM = 32
@@ -99,7 +99,7 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     ["id", "th", "key", "ctx", "start", "many"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, th long, key long, ctx long, start long, many long")
+    return docs.mapInArrow(released(run), f"id {id_type}, th long, key long, ctx long, start long, many long")
 
 
 class SuffixFamily:
@@ -212,7 +212,7 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
             yield settle_keys(pa.Table.from_batches(held))
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"id {id_type}, th long, s long, e long")
+    return dealt.mapInArrow(released(run), f"id {id_type}, th long, s long, e long")
 
 
 def _compare_crowd(rows: DataFrame, length: int, parts: int) -> DataFrame:
@@ -286,10 +286,10 @@ def _compare_crowd(rows: DataFrame, length: int, parts: int) -> DataFrame:
         )
 
     packed = f"ids array<{id_type}>, ths array<long>, at array<long>"
-    blocks = rows.mapInArrow(deal, f"part int, h array<long>, {packed}")
+    blocks = rows.mapInArrow(released(deal), f"part int, h array<long>, {packed}")
     # Repeated windows go back to their texts and leave as runs.
-    hits = blocks.repartition(parts, "part").mapInArrow(meet, f"part int, {packed}")
-    return hits.repartition(parts, "part").mapInArrow(join_runs, f"id {id_type}, th long, s long, e long")
+    hits = blocks.repartition(parts, "part").mapInArrow(released(meet), f"part int, {packed}")
+    return hits.repartition(parts, "part").mapInArrow(released(join_runs), f"id {id_type}, th long, s long, e long")
 
 
 _TEXT = ("ids", "ths", "at")
@@ -342,7 +342,7 @@ def repeated_marks(docs: DataFrame, length: int, gram: int, batches: int) -> Dat
 
     edges = stage(
         texts.select("id", "th", "text", "wanted")
-        .mapInArrow(cut, f"id {id_type}, th long, start long, key long, variants long, bytes binary")
+        .mapInArrow(released(cut), f"id {id_type}, th long, start long, key long, variants long, bytes binary")
     )
     few = _compare(edges.where(F.col("variants") <= CROWD), length)
     marks = marks.union(few)
@@ -419,7 +419,7 @@ def strip_repeats(
 
     changed = flagged.where("_maybe").join(
         per_text, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left"
-    ).select(*own_columns, "text", "marks").mapInArrow(strip, shape)
+    ).select(*own_columns, "text", "marks").mapInArrow(released(strip), shape)
     whole = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     same = flagged.where(~F.col("_maybe")).select(
         *own_columns, F.length(whole).cast("long").alias("n_bytes"),

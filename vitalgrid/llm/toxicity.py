@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import carried, ddl, narrow
+from vitalgrid.llm.common import carried, ddl, narrow, released
 from vitalgrid.session import stage
 
 # English seed words of the classes.
@@ -247,7 +247,7 @@ def learn(
     )
     odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
     learned = (
-        chosen.mapInArrow(count, "term string, neg long, pos long").groupBy("term")
+        chosen.mapInArrow(released(count), "term string, neg long, pos long").groupBy("term")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).withColumn("odds", odds)
         .where((surprise > 16) & (F.col("odds") > 3)).orderBy(F.desc("pos"), "term").limit(terms).collect()
     )
@@ -261,7 +261,7 @@ def learn(
             x = [scorer.features(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    found = chosen.mapInArrow(describe, "x array<double>, y int").collect()  # at most 2 * sample short rows
+    found = chosen.mapInArrow(released(describe), "x array<double>, y int").collect()  # at most 2 * sample short rows
     x, y_ = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
     weight = np.where(y_ == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     weight = weight / weight.mean()
@@ -290,4 +290,4 @@ def score(
                 [*kept, "score", *counts],
             )
 
-    return docs.mapInArrow(run, f"{ddl(docs, *kept)}, score double, " + ", ".join(f"{c} int" for c in counts))
+    return docs.mapInArrow(released(run), f"{ddl(docs, *kept)}, score double, " + ", ".join(f"{c} int" for c in counts))
