@@ -353,7 +353,6 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(at, 256)
                 ids = [own.encode(t.as_py() or "") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
-        own.forget()
 
     return docs.mapInArrow(released(run), f"id {id_type}, ids binary")
 

@@ -186,8 +186,13 @@ def _best_fit(left: np.ndarray, capacity: int, open_: dict) -> None:
         left[length] = 0
 
 
-def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every text's ids with ``end_id`` behind them, cut at ``size``."""
+def pieces(
+    df: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str, forget: bool = False
+) -> DataFrame:
+    """(id, piece, start, length, ids_crc32) of every text's ids with ``end_id`` behind them, cut at ``size``.
+
+    With ``forget`` a worker drops the words it remembers after every task: less memory for what follows, more time here.
+    """
     docs = narrow(df, id_col, text_col)
     id_type = docs.schema["id"].dataType.simpleString()
     tail = end_id.to_bytes(4, "little")
@@ -210,7 +215,8 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int, id_col: str, text_c
                 ],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
-        own.forget()
+        if forget:
+            own.forget()
 
     return docs.mapInArrow(released(run), f"id {id_type}, piece int, start long, length long, ids_crc32 long")
 
@@ -248,7 +254,8 @@ def place(pieces_: DataFrame, size: int) -> DataFrame:
 
 
 def pack(
-    df: DataFrame, path: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, path: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    forget: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every text's ids placed in sequences of ``size``."""
-    return place(stage(pieces(df, path, size, end_id, id_col, text_col)), size)
+    return place(stage(pieces(df, path, size, end_id, id_col, text_col, forget)), size)
