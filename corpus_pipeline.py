@@ -49,7 +49,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document's ids with its place in a sequence."""
-    packed = patterns.pack(docs, public_tokenizers.path(TOKENIZER), SEQUENCE, 1)
+    packed = patterns.pack(docs, public_tokenizers.path(TOKENIZER), SEQUENCE, 1, forget=True)
     return packed.withColumnRenamed("id", "doc_id")
 
 
