@@ -8,7 +8,7 @@ halo rows are dropped afterwards, so each input row yields exactly one result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -274,46 +274,93 @@ def previous(
     )
 
 
-def epoch_map(
+# Numbers of one matrix of epochs: bounds what a kernel's copies take.
+MATRIX = 1 << 20
+
+
+def epoch_blocks(
+    x: np.ndarray, origin: int, n: int, window: int, ext: int, epochs: range
+) -> Iterator[np.ndarray]:
+    """Epochs ``[eW-ext, (e+1)W+ext)`` as matrices ``(epochs, samples)``, in order.
+
+    ``x`` holds the samples from ``origin`` on. Epochs clipped by an end of the recording ``[0, n)`` come alone,
+    the others as strided views without a copy, many at a time.
+    """
+    length = window + 2 * ext
+    per = max(1, MATRIX // length)
+    whole = min(max(epochs.start, -(-ext // window)), epochs.stop)
+    clipped = max(whole, min(epochs.stop, (n - ext) // window))
+    alone = lambda e: x[max(e * window - ext, 0) - origin : min((e + 1) * window + ext, n) - origin][None]
+    yield from (alone(e) for e in range(epochs.start, whole))
+    for e in range(whole, clipped, per):
+        last = min(e + per, clipped)
+        part = x[e * window - ext - origin : last * window + ext - origin]
+        yield np.lib.stride_tricks.sliding_window_view(part, length)[::window]
+    yield from (alone(e) for e in range(clipped, epochs.stop))
+
+
+def epoch_table(
     df: DataFrame,
     keys: Sequence[str],
     t: str,
     value: str,
     window: int,
-    ext: int,
-    fn: Callable[[np.ndarray], Sequence[float]],
-    outputs: Sequence[str],
+    parts: Sequence[tuple[int, Callable[[np.ndarray], np.ndarray], Sequence[str]]],
     epochs_per_chunk: int = 256,
 ) -> DataFrame:
-    """User function per epoch ``[eW-ext, (e+1)W+ext)`` clipped to the recording.
+    """Kernels over extended epochs: every part ``(ext, kernel, outputs)`` from one shuffle of the samples.
 
-    A trailing partial epoch is dropped. One grouped-map call serves many epochs.
+    ``kernel`` maps a matrix ``(epochs, samples)`` to one ``(epochs, len(outputs))``; a sample that is NULL, NaN or
+    absent is NaN there. Epochs that lack a row of their own window (a trailing partial one, a gap) are dropped.
+    Samples are repeated only where two chunks of epochs meet, not once per epoch that reaches them.
     """
     per = int(epochs_per_chunk)
-    chunk = per * window
+    reach = max(ext for ext, _, _ in parts)
+    names = [n for _, _, outputs in parts for n in outputs]
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [T.StructField("epoch", T.LongType())]
-        + [T.StructField(n, T.DoubleType()) for n in outputs]
+        + [T.StructField(n, T.DoubleType()) for n in names]
     )
     data = df.select(*keys, t, F.col(value).cast("double").alias(value))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="mergesort")
-        x = pdf[value].to_numpy()
-        origin, n = int(pdf[t].iloc[0]), int(pdf[t].iloc[-1]) + 1
-        e0 = int(pdf["_chunk"].iloc[0]) * per
-        epochs = range(e0, min(e0 + per, n // window))
+        at = pdf[t].to_numpy()
+        origin, n = int(at.min()), int(at.max()) + 1
+        first = int(pdf["_chunk"].iloc[0]) * per
+        epochs = range(first, max(first, min(first + per, n // window)))
         if len(epochs) == 0:
             return _nothing(schema)
-        rows = [
-            np.atleast_1d(fn(x[max(e * window - ext, 0) - origin : min((e + 1) * window + ext, n) - origin]))
-            for e in epochs
-        ]
-        out = pd.DataFrame(np.array(rows, dtype=float).reshape(len(rows), len(outputs)), columns=list(outputs))
-        out.insert(0, "epoch", np.array(list(epochs), dtype=np.int64))
+        # Positions before the first sample that this chunk sees are absent.
+        origin = min(origin, max(first * window - reach, 0))
+        x, there = np.full(n - origin, np.nan), np.zeros(n - origin, bool)
+        x[at - origin], there[at - origin] = pdf[value].to_numpy(dtype=float), True
+        own = slice(first * window - origin, epochs.stop * window - origin)
+        whole = there[own].reshape(len(epochs), window).all(axis=1)
+        columns: dict[str, np.ndarray] = {}
+        for ext, kernel, outputs in parts:
+            blocks = [np.reshape(kernel(m), (len(m), len(outputs))) for m in epoch_blocks(x, origin, n, window, ext, epochs)]
+            columns |= dict(zip(outputs, np.concatenate(blocks).astype(float).T, strict=True))
+        out = pd.DataFrame({name: columns[name] for name in names})
+        out.insert(0, "epoch", np.arange(epochs.start, epochs.stop, dtype=np.int64))
         for i, k in enumerate(keys):
-            out.insert(i, k, [pdf[k].iloc[0]] * len(rows))
-        return out
+            out.insert(i, k, [pdf[k].iloc[0]] * len(out))
+        return out[whole]
+
+    return halo(data, t, reach, reach, per * window).groupBy(*keys, "_chunk").applyInPandas(run, schema)
+
 
-    return halo(data, t, ext, ext, chunk).groupBy(*keys, "_chunk").applyInPandas(run, schema)
+def epoch_map(
+    df: DataFrame,
+    keys: Sequence[str],
+    t: str,
+    value: str,
+    window: int,
+    ext: int,
+    fn: Callable[[np.ndarray], Sequence[float]],
+    outputs: Sequence[str],
+    epochs_per_chunk: int = 256,
+) -> DataFrame:
+    """User function per epoch ``[eW-ext, (e+1)W+ext)`` clipped to the recording, as ``epoch_table`` runs it."""
+    each = lambda m: np.array([np.atleast_1d(fn(row)) for row in m], dtype=float)
+    return epoch_table(df, keys, t, value, window, [(ext, each, outputs)], epochs_per_chunk)

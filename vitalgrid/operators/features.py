@@ -1,12 +1,15 @@
 """Epoch features.
 
-Time-domain features are one ``groupBy`` over exploded samples. Differences are
+Single time-domain features are one ``groupBy`` over exploded samples. Differences are
 taken once per sample (chunked ``lag``) before the explode, so the epochs need
-no window of their own and the aggregation combines map-side.
+no window of their own and the aggregation combines map-side. Feature sets, which
+mix them with spectra over several extensions, run as kernels over matrices of
+epochs in one shuffle.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import rows
 from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, next_power_of_two
 from vitalgrid.operators import rolling
-from vitalgrid.operators.chunks import epoch_map, floor_div, over_chunks
+from vitalgrid.operators.chunks import epoch_map, epoch_table, floor_div, over_chunks
 from vitalgrid.operators.normalize import axis_flip
 from vitalgrid.operators.resample import explode_epochs
 from vitalgrid.session import attach
@@ -99,22 +102,27 @@ def epoch_features(
 # ---- spectral bands -----------------------------------------------------------
 
 
-def band_power_kernel(
-    window: int, fs: float, low: float, high: float, normalize: Sequence[float] | None = None
-) -> Callable[[np.ndarray], float]:
-    """Summed log power of a band; FFT length is the next power of two of ``window``."""
+def band_power_kernel(window: int, fs: float, bands: Sequence[tuple]) -> Callable[[np.ndarray], np.ndarray]:
+    """Summed log power of bands ``(low, high[, (low, high)])`` of every row of a matrix, from one FFT.
+
+    The FFT length is the next power of two of ``window``; a longer epoch is cut to it after the taper.
+    """
     nfft = next_power_of_two(window)
     f = np.arange(nfft // 2 + 1) * fs / nfft
-    band = (f > low) & (f <= high)
-    other = None if normalize is None else (f > normalize[0]) & (f <= normalize[1])
+    inside = lambda low, high: (f > low) & (f <= high)
+    taken = [(inside(*band[:2]), inside(*band[2]) if len(band) > 2 and band[2] is not None else None) for band in bands]
 
-    def kernel(x: np.ndarray) -> float:
-        spectrum = np.fft.rfft(x * np.hanning(len(x)), n=nfft)
+    def kernel(x: np.ndarray) -> np.ndarray:
+        width = min(nfft, x.shape[1])
+        spectrum = np.fft.rfft(x[:, :width] * np.hanning(x.shape[1])[:width], n=nfft, axis=1)
         power = np.log(np.abs(spectrum) ** 2 / (fs * nfft) + 1)
-        total = power[band].sum()
-        if other is not None and power.sum() > 0:
-            total = total / (power[other].sum() + EPS)
-        return total
+        some = power.sum(axis=1) > 0
+        out = np.empty((len(x), len(taken)))
+        for k, (band, other) in enumerate(taken):
+            out[:, k] = power[:, band].sum(axis=1)
+            if other is not None:
+                out[some, k] /= power[some][:, other].sum(axis=1) + EPS
+        return out
 
     return kernel
 
@@ -123,10 +131,8 @@ def band_power(
     df: DataFrame, fs: float, window: int, ext: int, bands: dict[str, tuple], lay: Layout = DEFAULT
 ) -> DataFrame:
     """Band powers of extended epochs; ``bands`` maps name -> (low, high[, (low, high)])."""
-    kernels = [band_power_kernel(window, fs, *spec) for spec in bands.values()]
-    return epoch_map(
-        df, lay.keys, lay.t, lay.value, window, ext, lambda x: [k(x) for k in kernels], list(bands)
-    )
+    kernel = band_power_kernel(window, fs, list(bands.values()))
+    return epoch_table(df, lay.keys, lay.t, lay.value, window, [(ext, kernel, list(bands))])
 
 
 def user_feature(
@@ -137,45 +143,89 @@ def user_feature(
     return epoch_map(df, lay.keys, lay.t, lay.value, window, ext, fun, outputs)
 
 
+class _Epochs:
+    """Statistics of the rows of a matrix of epochs; missing samples (NaN) are left out where there are any."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = x
+        self.gaps = bool(np.isnan(x).any())
+
+    def step(self, order: int) -> np.ndarray:
+        return np.diff(self.x, n=order, axis=1)
+
+    def _of(self, plain: Callable, careful: Callable, a: np.ndarray) -> np.ndarray:
+        if a.shape[1] == 0:
+            return np.full(len(a), np.nan)
+        with warnings.catch_warnings():
+            # An epoch without a single value has no statistic; numpy says so for each.
+            warnings.simplefilter("ignore", RuntimeWarning)
+            return (careful if self.gaps else plain)(a, axis=1)
+
+    def mean(self, a: np.ndarray) -> np.ndarray:
+        return self._of(np.mean, np.nanmean, a)
+
+    def var(self, a: np.ndarray) -> np.ndarray:
+        return self._of(np.var, np.nanvar, a)
+
+    def range(self) -> np.ndarray:
+        return self._of(np.max, np.nanmax, self.x) - self._of(np.min, np.nanmin, self.x)
+
+    def percentiles(self, q: Sequence[float]) -> np.ndarray:
+        take = lambda f: lambda a, axis: f(a, q, axis=axis)
+        return self._of(take(np.percentile), take(np.nanpercentile), self.x)
+
+
+def signal_kernel(window: int, fs: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The eleven features of ``signal_feature_set`` of every epoch in a matrix."""
+    # Very low, low and high frequency band in Hz.
+    bands = band_power_kernel(window, fs, [(0.0033, 0.04), (0.04, 0.15), (0.15, 0.4)])
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        e = _Epochs(x)
+        plain = [e.mean(x * x), np.sqrt(e.var(x)), np.sqrt(e.var(e.step(1))), e.range(), *e.percentiles([10, 25, 75, 90])]
+        return np.column_stack([*plain, bands(x)])
+
+    return kernel
+
+
+SIGNAL_FEATURES = ("energy", "sdnn", "sdsd", "range", "q10", "q25", "q75", "q90", "vlf", "lf", "hf")
+
+
 def signal_feature_set(
     df: DataFrame, fs: int, window: int, window_ext: Sequence[int], lay: Layout = DEFAULT
 ) -> DataFrame:
-    """Eleven features per extension (seconds), suffixed with it."""
-    # Frequency bands in Hz.
-    bands = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4)}
-    out = None
-    for ext in window_ext:
-        plain = epoch_features(
-            df, window * fs, ext * fs,
-            {
-                f"energy_{ext}": energy(), f"sdnn_{ext}": sdnn(), f"sdsd_{ext}": sdsd(),
-                f"range_{ext}": value_range(), f"q10_{ext}": quantile(0.10), f"q25_{ext}": quantile(0.25),
-                f"q75_{ext}": quantile(0.75), f"q90_{ext}": quantile(0.90),
-            },
-            lay,
-        )
-        spectral = band_power(df, fs, window * fs, ext * fs, {f"{n}_{ext}": b for n, b in bands.items()}, lay)
-        both = plain.join(spectral, [*lay.keys, "epoch"])
-        out = both if out is None else out.join(both, [*lay.keys, "epoch"])
-    return out
+    """Eleven features per extension (seconds), suffixed with it: one shuffle of the samples for all extensions."""
+    kernel = signal_kernel(window * fs, fs)
+    parts = [(ext * fs, kernel, [f"{n}_{ext}" for n in SIGNAL_FEATURES]) for ext in window_ext]
+    return epoch_table(df, lay.keys, lay.t, lay.value, window * fs, parts)
 
 
 def hrv_spectral_set(df: DataFrame, fs: int, window: int, lay: Layout = DEFAULT, ext: int = 120) -> DataFrame:
-    spectral = band_power(
-        df, fs, window * fs, ext * fs,
-        {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.5), "lf_hf": (0.04, 0.15, (0.15, 0.5))}, lay,
-    )
-    plain = epoch_features(df, window * fs, 0, {"mean_energy": energy(), "hr": heart_rate()}, lay)
-    return spectral.join(plain, [*lay.keys, "epoch"])
+    """Band powers of extended epochs, energy and heart rate of plain ones, from one shuffle."""
+    bands = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.5), "lf_hf": (0.04, 0.15, (0.15, 0.5))}
+
+    def plain(x: np.ndarray) -> np.ndarray:
+        e = _Epochs(x)
+        return np.column_stack([e.mean(x * x), 60.0 / (e.mean(x) + 1e-9)])
+
+    spectral = band_power_kernel(window * fs, fs, list(bands.values()))
+    parts = [(ext * fs, spectral, list(bands)), (0, plain, ["mean_energy", "hr"])]
+    return epoch_table(df, lay.keys, lay.t, lay.value, window * fs, parts)
 
 
 def movement_feature_set(df: DataFrame, fs: int, window: int, lay: Layout = DEFAULT, ext: int = 120) -> DataFrame:
-    spectral = band_power(df, fs, window * fs, ext * fs, {"lf": (0.04, 0.5), "hf": (5, 14)}, lay)
-    plain = epoch_features(
-        df, window * fs, 0,
-        {"mean_energy": energy(), "activity": activity(), "mobility": mobility(), "complexity": complexity()}, lay,
-    )
-    return spectral.join(plain, [*lay.keys, "epoch"])
+    """Band powers of extended epochs, energy and Hjorth parameters of plain ones, from one shuffle."""
+    bands = {"lf": (0.04, 0.5), "hf": (5, 14)}
+
+    def plain(x: np.ndarray) -> np.ndarray:
+        e = _Epochs(x)
+        v0, v1, v2 = e.var(x), e.var(e.step(1)), e.var(e.step(2))
+        moves = np.sqrt(v1 / (v0 + 1e-9))
+        return np.column_stack([e.mean(x * x), v0, moves, np.sqrt(np.sqrt(v2 / (v1 + 1e-9)) / (moves + 1e-9))])
+
+    spectral = band_power_kernel(window * fs, fs, list(bands.values()))
+    parts = [(ext * fs, spectral, list(bands)), (0, plain, ["mean_energy", "activity", "mobility", "complexity"])]
+    return epoch_table(df, lay.keys, lay.t, lay.value, window * fs, parts)
 
 
 def sample_rr(df: DataFrame, fs: int, lay: Layout = DEFAULT) -> DataFrame:
