@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from vitalgrid import session
 from vitalgrid.model import layout
-from vitalgrid.operators import augment, chunks, intervals as iv, losses, normalize, quantiles, resample, rolling, spectral, windows as wn
+from vitalgrid.operators import (
+    augment, chunks, features, intervals as iv, losses, normalize, quantiles, resample, rolling, spectral, windows as wn,
+)
+from vitalgrid.plans import registry, spec
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +100,79 @@ def test_epoch_map_chunks(samples):
     assert (f(3).record == "a").sum() == 997 // 30
 
 
+def _epochs_by_hand(rows, window, ext):
+    """Extended epochs of one recording of ``{t: value}``, those whose own window is complete."""
+    n = max(rows) + 1
+    for e in range(n // window):
+        if all(t in rows for t in range(e * window, (e + 1) * window)):
+            yield e, np.array([rows.get(t, np.nan) for t in range(max(e * window - ext, 0), min((e + 1) * window + ext, n))])
+
+
+@pytest.mark.parametrize("per", [1, 4, 1000])
+def test_epoch_table_against_single_epochs(spark, per):
+    """Clipped ends, an extension wider than a chunk, missing values and a gap; two extensions in one pass."""
+    rng = np.random.default_rng(5)
+    rows = {"a": {t: float(v) for t, v in enumerate(rng.normal(size=211))}, "b": {t: float(v) for t, v in enumerate(rng.normal(size=47))}}
+    rows["a"][33] = None
+    del rows["a"][95]
+    df = spark.createDataFrame([(r, t, v) for r, x in rows.items() for t, v in x.items()], "record string, t long, value double")
+    energy = lambda m: np.nanmean(m * m, axis=1)[:, None]
+    width = lambda m: np.column_stack([np.full(len(m), m.shape[1]), np.isnan(m).sum(axis=1)])
+    got = table(chunks.epoch_table(df, ["record"], "t", "value", 10, [(0, energy, ["e0"]), (25, energy, ["e25"]), (25, width, ["n", "lost"])], per), ("record", "epoch"))
+    want = []
+    for r, x in rows.items():
+        x = {t: np.nan if v is None else v for t, v in x.items()}
+        wide = dict(_epochs_by_hand(x, 10, 25))
+        for e, own in _epochs_by_hand(x, 10, 0):
+            want.append((r, e, np.nanmean(own**2), np.nanmean(wide[e] ** 2), len(wide[e]), np.isnan(wide[e]).sum()))
+    assert list(zip(got.record, got.epoch)) == [w[:2] for w in want]
+    assert np.allclose(got[["e0", "e25", "n", "lost"]].to_numpy(), [w[2:] for w in want])
+
+
+def test_signal_features_equal_the_aggregates(samples):
+    """The matrix kernels against the plain aggregates of the same epochs."""
+    lay = layout(("record",))
+    got = table(features.signal_feature_set(samples, 2, 15, [0, 20], lay), ("record", "epoch"))
+    for ext in (0, 20):
+        want = table(features.epoch_features(samples, 30, 2 * ext, {
+            "energy": features.energy(), "sdnn": features.sdnn(), "sdsd": features.sdsd(), "range": features.value_range(),
+            "q10": features.quantile(0.1), "q75": features.quantile(0.75),
+        }, lay), ("record", "epoch"))
+        for c in ("energy", "sdnn", "sdsd", "range", "q10", "q75"):
+            assert np.allclose(got[f"{c}_{ext}"], want[c]), c
+
+
+def test_kernel_chain_equals_single_steps(samples):
+    """Median and quartiles in one pass, across chunk borders, at recording edges and on a recording below a window."""
+    lay = layout(("record",))
+    short = samples.where("t < 9").withColumn("record", F.concat("record", F.lit("-short")))
+    both = samples.unionByName(short)
+    plain = rolling.iqr_normalization_adaptive(rolling.rolling_median_subtract(both, 10, 2, lay), 10, 3, lay=lay)
+    fused = rolling.iqr_normalization_adaptive(both, 10, 3, lay=lay, chunk=130, before=[rolling.median_kernel(10, 2)])
+    pd.testing.assert_frame_equal(table(plain), table(fused)[list(plain.columns)], rtol=1e-9, atol=1e-9)
+    plain = rolling.median_filter(rolling.rolling_median_subtract(both, 10, 2, lay), 10, 3, lay)
+    fused = rolling.median_filter(both, 10, 3, lay, 130, before=[rolling.median_kernel(10, 2)])
+    pd.testing.assert_frame_equal(table(plain), table(fused)[list(plain.columns)], rtol=1e-9, atol=1e-9)
+
+
+def test_specification_adds_channels_of_frames(samples):
+    """Spectra of several channels are added bin by bin; a chain of kernels gives what its steps give."""
+    two = samples.select("record", F.lit("acc").alias("signal"), F.lit(0).alias("channel"), "t", "value")
+    two = two.unionByName(two.withColumn("channel", F.lit(1)).withColumn("value", F.col("value") * 3 + 1))
+    steps = [
+        {"type": "median", "args": {"window_size": 2}},
+        {"type": "iqr_normalization_adaptive", "args": {"median_window": 3, "iqr_window": 3}},
+        {"type": "cal_psd", "args": {"window": 40, "noverlap": 20, "nfft": 64, "f_min": 0, "f_max": 5}},
+    ]
+    got = table(spec.run_spec(two, {"s": {"h5_path": "acc", "channel_idx": [0, 1], "preprocessing": steps, "add": True}}, 10.0), ("record", "t", "feature"))
+    df, fs = two.drop("signal"), 10.0
+    for step in steps:
+        df, fs = registry.PREPROCESSING[step["type"]](df, fs, **step["args"])
+    want = table(df.select("record", F.col("frame").alias("t"), F.posexplode("x").alias("feature", "value")).groupBy("record", "t", "feature").agg(F.sum("value").alias("value")), ("record", "t", "feature"))
+    assert list(got.t) == list(want.t) and list(got.feature) == list(want.feature)
+    assert np.allclose(got.value, want.value)
+
+
 def test_ordinal_equals_row_number(samples):
     got = chunks.ordinal(samples, ["record"], F.floor(F.col("value") / 3), ["value", "t"], "pos").toPandas()
     for _, g in got.groupby("record"):

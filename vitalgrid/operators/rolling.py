@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.model import CHUNK, DEFAULT, EPS, Layout, odd_window
 from vitalgrid.operators.chunks import floor_div, halo_map, over_chunks, previous, time_frame
 from vitalgrid.operators.quantiles import group_quantiles
-from vitalgrid.session import attach
+from vitalgrid.session import attach, stage
 
 
-def _rolling(df, lay, w, kernel, outputs, chunk, reach=1):
-    """Kernel over a centred window of ``w``; chunks are kept several windows long."""
-    h = reach * (w // 2)
+# A step of a chain: samples it reaches on both sides, its window, and its function of a chunk's values.
+Link = tuple[int, int, Callable[[pd.Series], pd.Series]]
+
+
+def _rolling(df, lay, w, kernel, outputs, chunk, before: Sequence[Link] = ()):
+    """Kernel over a centred window of ``w``; chunks are kept several windows long.
+
+    The steps ``before`` run on the same chunk first. Halos add up, so a chain of steps takes one shuffle and one
+    pass; the rows near a chunk's border that a step cannot know are those the next one does not ask for.
+    """
+    h = w // 2 + sum(reach for reach, _, _ in before)
     data = df.select(*lay.keys, lay.t, F.col(lay.value).cast("double").alias(lay.value))
-    return halo_map(data, lay.keys, lay.t, h, h, kernel, outputs, max(chunk, 4 * w))
+
+    def chained(pdf, wanted):
+        for _, _, step in before:
+            pdf[lay.value] = step(pdf[lay.value])
+        return kernel(pdf, wanted)
+
+    longest = max([w, *(window for _, window, _ in before)])
+    return halo_map(data, lay.keys, lay.t, h, h, chained, outputs, max(chunk, 4 * longest))
 
 
 def _complete(y, w: int):
@@ -29,26 +45,35 @@ def _complete(y, w: int):
     return y
 
 
-def rolling_median_subtract(
-    df: DataFrame, fs: float, window_size: float, lay: Layout = DEFAULT, chunk: int = CHUNK
-) -> DataFrame:
-    """``x`` minus its centred median; edges use the first and last full window.
+def median_kernel(fs: float, window_size: float) -> Link:
+    """``rolling_median_subtract`` as a step of a chain.
 
-    The halo is two half-windows wide, so the chunk that holds a recording's edge
-    also holds the nearest full window. A recording shorter than one window uses
-    its overall median.
+    It reaches two half-windows, so the chunk that holds a recording's edge also holds the nearest full window.
     """
     w = odd_window(fs, window_size)
 
-    def kernel(pdf, wanted):
-        x = pdf[lay.value]
+    def residual(x: pd.Series) -> pd.Series:
         med = _complete(x.rolling(w, center=True).median(), w).bfill().ffill().fillna(x.median())
-        return {lay.value: (x - med).to_numpy()[wanted]}
+        return x - med
+
+    return 2 * (w // 2), w, residual
+
+
+def rolling_median_subtract(
+    df: DataFrame, fs: float, window_size: float, lay: Layout = DEFAULT, chunk: int = CHUNK,
+    before: Sequence[Link] = (),
+) -> DataFrame:
+    """``x`` minus its centred median; edges use the first and last full window.
+
+    A recording shorter than one window uses its overall median.
+    """
+    plain = lambda pdf, wanted: {lay.value: pdf[lay.value].to_numpy()[wanted]}
+    return _rolling(df, lay, 1, plain, {lay.value: "double"}, chunk, [*before, median_kernel(fs, window_size)])
 
-    return _rolling(df, lay, w, kernel, {lay.value: "double"}, chunk, reach=2)
 
+def _centred(df, lay, w, chunk, before: Sequence[Link] = (), **probs):
+    """(rows with centred quantiles, rows to take statistics of the recording from)."""
 
-def _centred(df, lay, w, chunk, **probs):
     def kernel(pdf, wanted):
         x = pdf[lay.value]
         roll = x.rolling(w, center=True)
@@ -59,17 +84,22 @@ def _centred(df, lay, w, chunk, **probs):
         return out
 
     outputs = {lay.value: "double", **{n: "double" for n in probs}}
-    got = _rolling(df, lay, w, kernel, outputs, chunk)
+    got = _rolling(df, lay, w, kernel, outputs, chunk, before)
     # Arrow may deliver missing edge values as NaN; edges are NULL from here on.
-    return got.select(*lay.keys, lay.t, lay.value, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in probs])
+    got = got.select(*lay.keys, lay.t, lay.value, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in probs])
+    if not before:
+        return got, df
+    got = stage(got)
+    return got, got
 
 
 def median_filter(
-    df: DataFrame, fs: float, window_size: float, lay: Layout = DEFAULT, chunk: int = CHUNK
+    df: DataFrame, fs: float, window_size: float, lay: Layout = DEFAULT, chunk: int = CHUNK,
+    before: Sequence[Link] = (),
 ) -> DataFrame:
     """Centred median; edges take the recording's overall median."""
-    roll = _centred(df, lay, odd_window(fs, window_size), chunk, _med=0.5)
-    overall = group_quantiles(df, lay.keys, lay.value, [0.5], ["_all"])
+    roll, whole = _centred(df, lay, odd_window(fs, window_size), chunk, before, _med=0.5)
+    overall = group_quantiles(whole, lay.keys, lay.value, [0.5], ["_all"])
     out = attach(roll, overall, lay.keys, lay.t)
     return out.select(*lay.keys, lay.t, F.coalesce("_med", "_all").alias(lay.value))
 
@@ -77,10 +107,11 @@ def median_filter(
 def iqr_normalization_adaptive(
     df: DataFrame, fs: float, iqr_window: float, median_window: float | None = None,
     lay: Layout = DEFAULT, chunk: int = CHUNK, iqr_upper: float = 0.75, iqr_lower: float = 0.25,
+    before: Sequence[Link] = (),
 ) -> DataFrame:
     """Scale by centred rolling quartiles; edges use the recording's quartiles."""
-    roll = _centred(df, lay, odd_window(fs, iqr_window), chunk, _lo=iqr_lower, _up=iqr_upper)
-    overall = group_quantiles(df, lay.keys, lay.value, [iqr_lower, iqr_upper], ["_glo", "_gup"])
+    roll, whole = _centred(df, lay, odd_window(fs, iqr_window), chunk, before, _lo=iqr_lower, _up=iqr_upper)
+    overall = group_quantiles(whole, lay.keys, lay.value, [iqr_lower, iqr_upper], ["_glo", "_gup"])
     out = attach(roll, overall, lay.keys, lay.t)
     lo, up = F.coalesce("_lo", "_glo"), F.coalesce("_up", "_gup")
     scaled = (F.col(lay.value) - lo) / (up - lo + F.lit(EPS)) * 2 - 1
@@ -89,14 +120,14 @@ def iqr_normalization_adaptive(
 
 def adaptive_soft(
     df: DataFrame, fs: float, median_window: float, std_window: float,
-    lay: Layout = DEFAULT, chunk: int = CHUNK,
+    lay: Layout = DEFAULT, chunk: int = CHUNK, before: Sequence[Link] = (),
 ) -> DataFrame:
     """Subtract the centred median, divide by the centred deviation of the residual."""
     w = odd_window(fs, std_window)
     h = w // 2
-    roll = _centred(df, lay, odd_window(fs, median_window), chunk, _med=0.5)
-    overall = group_quantiles(df, lay.keys, lay.value, [0.5], ["_all"]).join(
-        df.groupBy(*lay.keys).agg(F.stddev_pop(lay.value).alias("_gstd")), list(lay.keys)
+    roll, whole = _centred(df, lay, odd_window(fs, median_window), chunk, before, _med=0.5)
+    overall = group_quantiles(whole, lay.keys, lay.value, [0.5], ["_all"]).join(
+        whole.groupBy(*lay.keys).agg(F.stddev_pop(lay.value).alias("_gstd")), list(lay.keys)
     )
     res = attach(roll, overall, lay.keys, lay.t).withColumn(
         "_r", F.col(lay.value) - F.coalesce("_med", "_all")

@@ -211,6 +211,10 @@ MULTI_PASS_STEPS = frozenset({
     "prep_data_and_compute_surrogate_signals",
 })
 
+# Steps that only look at neighbouring samples, as links of a chain, and the steps that take such links along.
+LINKS: dict[str, Callable[..., rolling.Link]] = {"median": rolling.median_kernel}
+CHAINED = frozenset({"median", "median_filter", "adaptive_soft", "iqr_normalization_adaptive"})
+
 # Normalisers that may also run per window.
 NORMALIZER_NAMES = (
     "complete_zscore", "adaptive_soft", "zscore_log", "min_max", "soft", "median", "clip", "no_normalization",

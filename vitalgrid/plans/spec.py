@@ -18,7 +18,7 @@ from vitalgrid.functions.rows import flat_feature
 from vitalgrid.operators import features, intervals as iv, metrics, windows as wn
 from vitalgrid.model import layout
 from vitalgrid.plans.registry import (
-    AUGMENTATIONS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS, WHOLE_WINDOW_NORMALIZERS,
+    AUGMENTATIONS, CHAINED, LINKS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS, WHOLE_WINDOW_NORMALIZERS,
 )
 from vitalgrid.session import stage
 from vitalgrid.sources.tables import read_samples
@@ -64,20 +64,29 @@ def run_signal(samples: DataFrame, spec: SignalSpec, fs: float) -> tuple[DataFra
 
     A step that reads its input several times gets it from a written table when
     there is real work behind it; otherwise the work of a chain would grow with
-    the product of the passes instead of their sum.
+    the product of the passes instead of their sum. A step that only looks at
+    neighbouring samples runs inside the next one's pass where that takes it along.
 
     Returns ``record, signal, t, feature, value`` and the rate after the last step.
     """
     df = read_samples(samples, [spec.path], spec.channels).select("record", "channel", "t", "value")
-    heavy = False
-    for step in spec.preprocessing:
-        name = step["type"]
-        if heavy and name in MULTI_PASS_STEPS:
+    heavy, links = False, []
+    following = [*(step["type"] for step in spec.preprocessing[1:]), None]
+    for step, after in zip(spec.preprocessing, following, strict=True):
+        name, args = step["type"], step.get("args", {})
+        if name in LINKS and after in CHAINED:
+            links.append(LINKS[name](fs, **args))
+            continue
+        if heavy and name in MULTI_PASS_STEPS and not links:
             df, heavy = stage(df), False
-        df, fs = PREPROCESSING[name](df, fs, **step.get("args", {}))
-        heavy = heavy or name not in ROW_STEPS
+        df, fs = PREPROCESSING[name](df, fs, **args, **({"before": links} if links else {}))
+        heavy, links = heavy or name not in ROW_STEPS, []
     if "x" in df.columns:
+        if spec.add:
+            df = _added(df, len(spec.channels))
         df = df.select("record", "channel", F.col("frame").alias("t"), F.posexplode("x").alias("bin", "value"))
+        if spec.add:
+            return df.select("record", F.lit(spec.name).alias("signal"), "t", F.col("bin").cast("long").alias("feature"), "value"), fs
     else:
         df = df.withColumn("bin", F.lit(0))
     if spec.add:
@@ -91,6 +100,18 @@ def run_signal(samples: DataFrame, spec: SignalSpec, fs: float) -> tuple[DataFra
     return out.select("record", F.lit(spec.name).alias("signal"), "t", "feature", "value"), fs
 
 
+def _added(df: DataFrame, channels: int) -> DataFrame:
+    """Frames with the bins of all channels added, as arrays; a frame has one row a channel."""
+    if channels == 1:
+        return df
+    of_frame = F.array_sort(F.collect_list(F.struct("channel", "x")))
+    plus = lambda a, b: F.coalesce(a + b, a, b)
+    total = F.aggregate(
+        of_frame, F.array().cast("array<double>"), lambda sums, row: F.zip_with(sums, row["x"], plus)
+    )
+    return df.groupBy("record", "frame").agg(F.min("channel").alias("channel"), total.alias("x"))
+
+
 def run_spec(samples: DataFrame, spec: dict[str, dict], fs: dict[str, float] | float) -> DataFrame:
     """All signals of a specification as one feature table."""
     out = None
