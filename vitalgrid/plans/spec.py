@@ -71,9 +71,9 @@ def run_signal(samples: DataFrame, spec: SignalSpec, fs: float) -> tuple[DataFra
     """
     df = read_samples(samples, [spec.path], spec.channels).select("record", "channel", "t", "value")
     heavy, links = False, []
-    following = [*(step["type"] for step in spec.preprocessing[1:]), None]
-    for step, after in zip(spec.preprocessing, following, strict=True):
-        name, args = step["type"], step.get("args", {})
+    names = [step["type"] for step in spec.preprocessing]
+    for step, name, after in zip(spec.preprocessing, names, [*names[1:], None]):
+        args = step.get("args", {})
         if name in LINKS and after in CHAINED:
             links.append(LINKS[name](fs, **args))
             continue
