@@ -46,6 +46,18 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bytes_per_batch(spark: SparkSession, limit: int) -> None:
+    """Arrow batches of at most ``limit`` bytes (or one row) in this session from here on; a smaller setting stays.
+
+    Not undone: a lazy result is planned after the function that declares it has returned. Buffers on both sides of a
+    Python worker follow the batch and are pooled, so that they stay with an executor for every later stage.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = int(spark.conf.get(name).rstrip("bB"))
+    if not 0 < before <= limit:
+        spark.conf.set(name, str(limit))
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """The two columns an operator works on, as ``id`` and ``text``; columns to carry along go into a struct ``row``.
 
