@@ -31,14 +31,17 @@ def _bucketed(df: DataFrame, keys, id_, start, stop, bucket, side) -> DataFrame:
 
 def overlap_pairs(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = ("record",), bucket: float = 3600,
-    id_: str = "id", start: str = "start", stop: str = "stop",
+    id_: str = "id", start: str = "start", stop: str = "stop", skip: DataFrame | None = None,
 ) -> DataFrame:
     """Overlapping pairs with overlap length, IoU and relative start ``b - a``.
 
-    ``bucket`` should be near the usual interval length (same unit as ``start``).
+    ``bucket`` should be near the usual interval length (same unit as ``start``). Pairs
+    whose overlap begins in a bucket of ``skip`` (keys, _bucket) are left out.
     """
     keys = list(keys)
     left = _bucketed(a, keys, id_, start, stop, bucket, "a")
+    if skip is not None:
+        left = left.join(skip, [*keys, "_bucket"], "left_anti")
     right = _bucketed(b, keys, id_, start, stop, bucket, "b")
     begin = F.greatest("a_start", "b_start")
     inter = F.least("a_stop", "b_stop") - begin

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.model import KAPPA
-from vitalgrid.operators.intervals import overlap_pairs
+from vitalgrid.operators.partners import matched_spans
 from vitalgrid.session import settle
 
 
@@ -229,35 +229,21 @@ specificity_semantic = _micro(SEMANTIC_SPECIFICITY)
 # ---- events -----------------------------------------------------------------------------------
 
 
-def _matched_spans(targets, outputs, min_iou, keys, bucket):
-    """Distinct target and output spans that have a partner.
-
-    Copies of a span are collapsed first: they match or miss together, so a group
-    of copies costs one row in the join.
-    """
-    keys = list(keys)
-    span = [*keys, "start", "stop"]
-    distinct = lambda df: df.select(*span).distinct().withColumn("id", F.struct("start", "stop"))
-    met = overlap_pairs(distinct(targets), distinct(outputs), keys, bucket).where(F.col("iou") >= min_iou)
-    side = lambda s: met.select(*keys, F.col(f"{s}_start").alias("start"), F.col(f"{s}_stop").alias("stop")).distinct()
-    return side("a"), side("b")
-
-
 def true_positive_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                          keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    hit, _ = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    hit, _ = matched_spans(targets, outputs, min_iou, keys, bucket)
     return targets.join(hit, [*keys, "start", "stop"], "left_semi")
 
 
 def false_negative_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                           keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    hit, _ = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    hit, _ = matched_spans(targets, outputs, min_iou, keys, bucket)
     return targets.join(hit, [*keys, "start", "stop"], "left_anti")
 
 
 def false_positive_events(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
                           keys: Sequence[str] = ("record", "class"), bucket: float = 3600) -> DataFrame:
-    _, hit = _matched_spans(targets, outputs, min_iou, keys, bucket)
+    _, hit = matched_spans(targets, outputs, min_iou, keys, bucket)
     return outputs.join(hit, [*keys, "start", "stop"], "left_anti")
 
 
@@ -272,7 +258,7 @@ def event_counts(targets: DataFrame, outputs: DataFrame, min_iou: float = 0.5,
     span = [*keys, "start", "stop"]
     t = targets.groupBy(*span).agg(F.count("*").alias("_n"))
     o = outputs.groupBy(*span).agg(F.count("*").alias("_n"))
-    t_hit, o_hit = _matched_spans(t, o, min_iou, keys, bucket)
+    t_hit, o_hit = matched_spans(t, o, min_iou, keys, bucket)
 
     def tally(df, hits, all_name, hit_name):
         marked = df.join(hits.withColumn("_hit", F.lit(1)), span, "left")
