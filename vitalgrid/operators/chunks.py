@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.model import CHUNK
+from vitalgrid.session import settle, stage
+
+# Rows of one bucket that a task orders by itself; where a bucket holds more, buckets are split into ranges.
+CROWDED = 2_000_000
 
 
 def floor_div(c: Column, k: int | float) -> Column:
@@ -193,31 +197,54 @@ def frame_map(
     return grouped.groupBy(*keys, "_chunk").applyInPandas(run, schema)
 
 
+def _two_levels(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], **aggregates: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_bucket`` and ``_part``, and the settled table of aggregates per key, bucket and part.
+
+    ``bucket`` must be monotone in ``order``. Buckets are counted; where one is crowded, the rows are dealt to ranges of
+    (keys, bucket, order) whose bounds come from a sample, and a bucket's share of a range is a part of its own. The
+    ranges are written once, so that every later read and every retried task sees the same bounds.
+    """
+    by = [*keys, "_bucket", "_part"]
+    table = lambda rows: settle(
+        rows.groupBy(*by).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in aggregates.items()])
+    )
+    rows = df.withColumn("_bucket", bucket).withColumn("_part", F.lit(0))
+    heads = table(rows)
+    most, total = heads.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) > CROWDED:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // CROWDED))
+        ranged = rows.drop("_part").repartitionByRange(parts, *keys, "_bucket", *order)
+        rows = stage(ranged.withColumn("_part", F.spark_partition_id()))
+        heads = table(rows)
+    return rows, heads
+
+
+def _earlier(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("_bucket", "_part")
+
+
 def ordinal(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str = "t"
 ) -> DataFrame:
     """0-based dense position inside each key group without sorting a group in one task.
 
-    ``bucket`` must be monotone in ``order``. Rows are numbered per bucket and
-    shifted by the number of rows in earlier buckets, which is a prefix sum over
-    the small bucket-count table.
+    Rows are numbered per bucket (or part of a crowded one) and shifted by the
+    number of rows in earlier ones, which is a prefix sum over the small table
+    of counts.
     """
     keys = list(keys)
-    b = df.withColumn("_bucket", bucket)
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    prior = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        b.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(prior), F.lit(0)))
-        .drop("_n")
-    )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    rows, counts = _two_levels(df, keys, bucket, order)
+    by = [*keys, "_bucket", "_part"]
+    prior = _earlier(keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
+    local = Window.partitionBy(*by).orderBy(*order)
     return (
-        b.withColumn("_rn", F.row_number().over(local))
-        .join(offsets, [*keys, "_bucket"])
+        rows.withColumn("_rn", F.row_number().over(local))
+        .join(offsets, by)
         .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
-        .drop("_bucket", "_rn", "_before")
+        .drop("_bucket", "_part", "_rn", "_before")
     )
 
 
@@ -226,28 +253,20 @@ def running_max(
 ) -> DataFrame:
     """Maximum of ``value`` over all earlier rows of the group (NULL for the first).
 
-    Two levels: a prefix maximum over per-bucket maxima, then a window inside
-    each bucket.
+    Two levels: a prefix maximum over the maxima of buckets (or parts of crowded
+    ones), then a window inside each.
     """
     keys = list(keys)
-    b = df.withColumn("_bucket", bucket)
-    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        b.groupBy(*keys, "_bucket")
-        .agg(F.max(value).alias("_top"))
-        .withColumn("_head", F.max("_top").over(prior))
-        .drop("_top")
-    )
-    local = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows, tops = _two_levels(df, keys, bucket, order, _top=F.max(value))
+    by = [*keys, "_bucket", "_part"]
+    prior = _earlier(keys).rowsBetween(Window.unboundedPreceding, -1)
+    heads = tops.withColumn("_head", F.max("_top").over(prior)).drop("_top", "_n")
+    local = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        b.withColumn("_local", F.max(value).over(local))
-        .join(heads, [*keys, "_bucket"])
+        rows.withColumn("_local", F.max(value).over(local))
+        .join(heads, by)
         .withColumn(name, F.greatest("_local", "_head"))
-        .drop("_bucket", "_local", "_head")
+        .drop("_bucket", "_part", "_local", "_head")
     )
 
 
@@ -256,21 +275,16 @@ def previous(
 ) -> DataFrame:
     """Value of the preceding row of a (possibly sparse) group, two-level like ``ordinal``."""
     keys = list(keys)
-    b = df.withColumn("_bucket", bucket)
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    tails = (
-        b.groupBy(*keys, "_bucket")
-        .agg(F.max_by(value, F.struct(*order)).alias("_tail"))
-        .withColumn("_carried", F.lag("_tail").over(by_bucket))
-        .drop("_tail")
-    )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    rows, ends = _two_levels(df, keys, bucket, order, _tail=F.max_by(value, F.struct(*order)))
+    by = [*keys, "_bucket", "_part"]
+    tails = ends.withColumn("_carried", F.lag("_tail").over(_earlier(keys))).drop("_tail", "_n")
+    local = Window.partitionBy(*by).orderBy(*order)
     return (
-        b.withColumn("_local", F.lag(value).over(local))
+        rows.withColumn("_local", F.lag(value).over(local))
         .withColumn("_rn", F.row_number().over(local))
-        .join(tails, [*keys, "_bucket"])
+        .join(tails, by)
         .withColumn(name, F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_local")))
-        .drop("_bucket", "_local", "_rn", "_carried")
+        .drop("_bucket", "_part", "_local", "_rn", "_carried")
     )
 
 
