@@ -65,11 +65,8 @@ def _(v):
        "SELECT *, 1.0 / 30 AS fs FROM pred")
 def _(v):
     path = scratch(v.spark, "predictions")
-    # Records are hashed into a bounded number of folders; a folder per record
-    # suits a store of nights, not one of very many short records.
-    p = v.predictions.withColumnRenamed("record", "id").withColumn("record", F.pmod("id", F.lit(16)))
-    tables.write_predictions(p, path, 30)
-    return v.spark.read.parquet(path).drop("record").withColumnRenamed("id", "record")
+    tables.write_predictions(v.predictions, path, 30)
+    return tables.read_predictions(v.spark, path)
 
 
 @query("snk2_write_csv", "record:s t:i value:d", "sig", "SELECT record, t, value FROM sig")

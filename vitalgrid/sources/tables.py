@@ -127,11 +127,42 @@ def write_intervals(intervals: DataFrame, path: str, mode: str = "overwrite") ->
     intervals.write.mode(mode).partitionBy("kind").parquet(path)
 
 
-def write_predictions(predictions: DataFrame, path: str, resolution: float, mode: str = "overwrite") -> None:
-    """One series per class and record, with its rate ``1/resolution`` as a column."""
+# Folders that predictions are dealt to: bounds the files of a store however many records it has.
+FOLDERS = 64
+
+
+def _folder(record: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(record.cast("string")), F.lit(folders)).cast("int")
+
+
+def write_predictions(
+    predictions: DataFrame, path: str, resolution: float, mode: str = "overwrite", folders: int | None = FOLDERS
+) -> None:
+    """One series per class and record, with its rate ``1/resolution`` as a column.
+
+    Records are dealt to ``folders`` by hash, rows sorted by record inside them, so that a file's statistics tell which
+    records it holds; ``folders=None`` gives every record a folder of its own, for stores of few long nights. A long
+    record is written by several tasks.
+    """
     out = predictions.withColumn("fs", F.lit(1.0 / resolution))
-    spread = out.repartition(F.col("record"), floor_div(F.col("epoch"), 4_194_304))
-    spread.write.mode(mode).partitionBy("record").parquet(path)
+    slices = floor_div(F.col("epoch"), 4_194_304)
+    if folders is None:
+        out.repartition(F.col("record"), slices).write.mode(mode).partitionBy("record").parquet(path)
+        return
+    dealt = out.withColumn("folder", _folder(F.col("record"), folders)).repartition(F.col("folder"), slices)
+    dealt.sortWithinPartitions("folder", "record", "class", "epoch").write.mode(mode).partitionBy("folder").parquet(path)
+
+
+def read_predictions(
+    spark: SparkSession, path: str, records: Sequence | None = None, folders: int = FOLDERS
+) -> DataFrame:
+    """Predictions of a store in folders; for some records only their folders and the files that may hold them are read."""
+    rows = spark.read.parquet(path)
+    if records is not None:
+        names = list(records)
+        wanted = F.array(*[_folder(F.lit(r), folders) for r in names])
+        rows = rows.where(F.array_contains(wanted, F.col("folder")) & F.col("record").isin(names))
+    return rows.drop("folder")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
