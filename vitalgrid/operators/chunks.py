@@ -226,24 +226,24 @@ def _earlier(keys: Sequence[str]) -> WindowSpec:
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str = "t"
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str = "t", weight: str | None = None
 ) -> DataFrame:
     """0-based dense position inside each key group without sorting a group in one task.
 
     Rows are numbered per bucket (or part of a crowded one) and shifted by the
     number of rows in earlier ones, which is a prefix sum over the small table
-    of counts.
+    of counts. With ``weight`` it is the sum of that column over the earlier rows.
     """
     keys = list(keys)
-    rows, counts = _two_levels(df, keys, bucket, order)
+    rows, counts = _two_levels(df, keys, bucket, order, _w=F.sum(weight) if weight else F.count("*"))
     by = [*keys, "_bucket", "_part"]
-    prior = _earlier(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before("_w", _earlier(keys))).drop("_n", "_w")
     local = Window.partitionBy(*by).orderBy(*order)
     return (
-        rows.withColumn("_rn", F.row_number().over(local))
+        rows.withColumn("_rn", before(weight, local) if weight else F.row_number().over(local) - 1)
         .join(offsets, by)
-        .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
+        .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long"))
         .drop("_bucket", "_part", "_rn", "_before")
     )
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import seeded
-from vitalgrid.operators.chunks import floor_div, ordinal
+from vitalgrid.operators.chunks import floor_div, ordinal, running_max
 from vitalgrid.operators.intervals import cell_span
-from vitalgrid.session import attach, settle
+from vitalgrid.session import attach, settle, stage
 
 
 def window_index(extents: DataFrame, window: int, overlap: float, record: str = "record") -> DataFrame:
@@ -318,21 +318,77 @@ def balanced_sample(
     return hit.select("draw", "label", record, start.cast("long").alias("start"))
 
 
+def _taken(events: DataFrame, n: int, so: float, record: str) -> DataFrame:
+    """Per event (``_a`` to ``_b``, in cells) the first and last window start, in cells, whose grid it sets a cell of.
+
+    Starts lie on the cells, so an event covers the same cells of the calendar in every window and the starts form one
+    range. Its ends are settled by the rule of a single window, evaluated next to them.
+    """
+    first, last = cell_span(F.col("_a"), F.col("_b"), 1 << 62, so)
+    low = F.greatest(F.floor(F.col("_a") + so - n) + 1, first - n + 1)
+    high = F.least(F.ceil(F.col("_b") - so) - 1, last - 1)
+
+    def sets(j: Column) -> Column:
+        a, b = F.greatest(F.col("_a") - j, F.lit(0.0)), F.least(F.col("_b") - j, F.lit(float(n)))
+        one, end = cell_span(a, b, n, so)
+        return (b > 0) & (a < n) & (b - a > so) & (one < end)
+
+    near = lambda c, steps: F.get(F.filter(F.array(*[F.col(c) + k for k in steps]), sets), F.lit(0))
+    ends = events.withColumn("_low", low).withColumn("_high", high)
+    return ends.select(record, near("_low", (-1, 0, 1)).alias("_lo"), near("_high", (1, 0, -1)).alias("_hi")).where(
+        F.col("_lo") <= F.col("_hi")
+    )
+
+
+def free_starts(
+    windows: DataFrame, intervals: DataFrame, window: int, resolution: int, so: float | None = None,
+    minimum_duration: float = 10, record: str = "record",
+) -> DataFrame:
+    """(record, _from, _n): runs of window starts, in multiples of ``resolution``, whose label grid is empty.
+
+    Interval subtraction: every event takes a range of starts, a running maximum joins the ranges, and what lies
+    between them is free. Neither the starts nor pairs of starts and events become rows.
+    """
+    so = 7.5 / resolution if so is None else so
+    if so > 0.5:
+        raise ValueError("a border cell counts from a half of it at most")
+    n = int(window // resolution)
+    tops = windows.groupBy(record).agg(F.max("max_index").alias("_top")).where(F.col("_top") > 0)
+    size = settle(tops.select(record, (floor_div(F.col("_top") - 1, resolution) + 1).alias("_size")))
+    cells = lambda c: c / F.lit(float(resolution))
+    events = intervals.where(F.col("duration") > minimum_duration).select(
+        record, cells(F.col("start")).alias("_a"), cells(F.col("start") + F.col("duration")).alias("_b")
+    )
+    # Of ranges that begin together the longest counts; a last range of each record closes its calendar.
+    ranges = _taken(events, n, so, record).groupBy(record, F.greatest("_lo", F.lit(0)).alias("_lo")).agg(F.max("_hi").alias("_hi"))
+    ranges = stage(ranges.unionByName(size.select(record, F.col("_size").alias("_lo"), F.col("_size").alias("_hi"))))
+    seen = running_max(ranges, [record], floor_div(F.col("_lo"), max(n, 1) * 64), ["_lo", "_hi"], "_hi", "_seen")
+    begin = F.coalesce(F.col("_seen") + 1, F.lit(0)).cast("long")
+    # Ranges behind the calendar leave no gap inside it.
+    gaps = seen.join(size, record).select(record, begin.alias("_from"), (F.least("_lo", "_size") - begin).alias("_n"))
+    return stage(gaps.where(F.col("_n") > 0))
+
+
 def background_sample(
     windows: DataFrame, intervals: DataFrame, draws: int, window: int, resolution: int, seed: int,
     so: float | None = None, record: str = "record",
 ) -> DataFrame:
-    """Seeded window starts (multiples of ``resolution``) whose label grid is empty."""
-    tops = windows.groupBy(record).agg(F.max("max_index").alias("max_index"))
-    grid = tops.where(F.col("max_index") > 0).select(
-        record, F.explode(F.sequence(F.lit(0).cast("long"), F.col("max_index") - 1, F.lit(resolution).cast("long"))).alias("start")
-    ).withColumn("win", F.col("start"))
-    taken = window_hits(grid, intervals, window, resolution, so, record=record).select(record, "win").distinct()
-    free = grid.join(taken, [record, "win"], "left_anti").select(record, "start")
-    pos = settle(_hash_order(free, F.md5(F.col(record).cast("string")), [record, "start"], "_pos"))
-    n = pos.count()
-    if n == 0:
-        return pos.sparkSession.range(0).withColumnRenamed("id", "draw").join(pos.drop("_pos"), F.lit(False))
-    d = pos.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    """Seeded window starts (multiples of ``resolution``) whose label grid is empty.
+
+    A draw is a position among all free starts, records in the order of their hash; it finds its run of starts as the
+    last one that begins at or before the position.
+    """
+    free = free_starts(windows, intervals, window, resolution, so, record=record)
+    hashed = free.withColumn("_h", F.md5(F.col(record).cast("string")))
+    runs = settle(ordinal(hashed, [], F.substring("_h", 1, 3), ["_h", record, "_from"], "_pos", weight="_n").drop("_h"))
+    n = runs.agg(F.sum("_n")).first()[0]
+    d = runs.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    if not n:
+        return d.join(runs, F.lit(False)).select("draw", record, F.col("_from").alias("start"))
     pick = F.floor(seeded.uniform(seed, "background", F.col("draw")) * F.lit(n)).cast("long")
-    return d.withColumn("_pos", pick).join(pos, "_pos").select("draw", record, "start")
+    ask = d.select(pick.alias("_at"), F.lit(1).alias("_side"), "draw")
+    know = runs.select(F.col("_pos").alias("_at"), F.lit(0).alias("_side"), F.col("_pos").alias("_begins"))
+    both = ask.unionByName(know, allowMissingColumns=True)
+    found = running_max(both, [], floor_div(F.col("_at"), max(1, n // 4096)), ["_at", "_side", "draw"], "_begins", "_pos")
+    start = (F.col("_from") + F.col("_at") - F.col("_pos")) * F.lit(resolution)
+    return found.where(F.col("draw").isNotNull()).join(runs, "_pos").select("draw", record, start.cast("long").alias("start"))
