@@ -31,7 +31,7 @@ def test_two_levels_split_a_crowded_bucket(monkeypatch, rows):
     parts, heads = chunks._two_levels(df, *args)
     # 2,600 rows of one record and minute, in parts of which none holds more than a small share.
     assert heads.agg(F.max("_n")).first()[0] < 300
-    assert parts.select("_part").distinct().count() > 20
+    assert parts.select("_range").distinct().count() > 20
     by = pdf.groupby("record")
     assert got(chunks.ordinal(df, *args, "t"))["t"].tolist() == by.cumcount().tolist()
     want = by["x"].transform(lambda v: v.cummax().shift())

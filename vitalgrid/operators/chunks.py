@@ -200,29 +200,29 @@ def frame_map(
 def _two_levels(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], **aggregates: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``_bucket`` and ``_part``, and the settled table of aggregates per key, bucket and part.
+    """Rows with ``_bucket`` and ``_range``, and the settled table of aggregates per key, bucket and part.
 
     ``bucket`` must be monotone in ``order``. Buckets are counted; where one is crowded, the rows are dealt to ranges of
     (keys, bucket, order) whose bounds come from a sample, and a bucket's share of a range is a part of its own. The
     ranges are written once, so that every later read and every retried task sees the same bounds.
     """
-    by = [*keys, "_bucket", "_part"]
+    by = [*keys, "_bucket", "_range"]
     table = lambda rows: settle(
         rows.groupBy(*by).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in aggregates.items()])
     )
-    rows = df.withColumn("_bucket", bucket).withColumn("_part", F.lit(0))
+    rows = df.withColumn("_bucket", bucket).withColumn("_range", F.lit(0))
     heads = table(rows)
     most, total = heads.agg(F.max("_n"), F.sum("_n")).first()
     if (most or 0) > CROWDED:
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // CROWDED))
-        ranged = rows.drop("_part").repartitionByRange(parts, *keys, "_bucket", *order)
-        rows = stage(ranged.withColumn("_part", F.spark_partition_id()))
+        ranged = rows.drop("_range").repartitionByRange(parts, *keys, "_bucket", *order)
+        rows = stage(ranged.withColumn("_range", F.spark_partition_id()))
         heads = table(rows)
     return rows, heads
 
 
 def _earlier(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("_bucket", "_part")
+    return Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("_bucket", "_range")
 
 
 def ordinal(
@@ -236,7 +236,7 @@ def ordinal(
     """
     keys = list(keys)
     rows, counts = _two_levels(df, keys, bucket, order, _w=F.sum(weight) if weight else F.count("*"))
-    by = [*keys, "_bucket", "_part"]
+    by = [*keys, "_bucket", "_range"]
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("_before", before("_w", _earlier(keys))).drop("_n", "_w")
     local = Window.partitionBy(*by).orderBy(*order)
@@ -244,7 +244,7 @@ def ordinal(
         rows.withColumn("_rn", before(weight, local) if weight else F.row_number().over(local) - 1)
         .join(offsets, by)
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long"))
-        .drop("_bucket", "_part", "_rn", "_before")
+        .drop("_bucket", "_range", "_rn", "_before")
     )
 
 
@@ -258,7 +258,7 @@ def running_max(
     """
     keys = list(keys)
     rows, tops = _two_levels(df, keys, bucket, order, _top=F.max(value))
-    by = [*keys, "_bucket", "_part"]
+    by = [*keys, "_bucket", "_range"]
     prior = _earlier(keys).rowsBetween(Window.unboundedPreceding, -1)
     heads = tops.withColumn("_head", F.max("_top").over(prior)).drop("_top", "_n")
     local = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -266,7 +266,7 @@ def running_max(
         rows.withColumn("_local", F.max(value).over(local))
         .join(heads, by)
         .withColumn(name, F.greatest("_local", "_head"))
-        .drop("_bucket", "_part", "_local", "_head")
+        .drop("_bucket", "_range", "_local", "_head")
     )
 
 
@@ -276,7 +276,7 @@ def previous(
     """Value of the preceding row of a (possibly sparse) group, two-level like ``ordinal``."""
     keys = list(keys)
     rows, ends = _two_levels(df, keys, bucket, order, _tail=F.max_by(value, F.struct(*order)))
-    by = [*keys, "_bucket", "_part"]
+    by = [*keys, "_bucket", "_range"]
     tails = ends.withColumn("_carried", F.lag("_tail").over(_earlier(keys))).drop("_tail", "_n")
     local = Window.partitionBy(*by).orderBy(*order)
     return (
@@ -284,7 +284,7 @@ def previous(
         .withColumn("_rn", F.row_number().over(local))
         .join(tails, by)
         .withColumn(name, F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_local")))
-        .drop("_bucket", "_part", "_local", "_rn", "_carried")
+        .drop("_bucket", "_range", "_local", "_rn", "_carried")
     )
 
 
