@@ -12,12 +12,17 @@ def divide(x: Column, val: float) -> Column:
     return x / F.lit(val)
 
 
+def _edges(x: Column, zero: float, inside: Column) -> Column:
+    """``inside`` above ``zero``, minus infinity there and NaN below, where Spark's logarithms are NULL."""
+    return F.when(x == zero, F.lit(float("-inf"))).when(x < zero, F.lit(float("nan"))).otherwise(inside)
+
+
 def log(x: Column) -> Column:
-    return F.log(x)
+    return _edges(x, 0.0, F.log(x))
 
 
 def log_plus_one(x: Column) -> Column:
-    return F.log1p(x)
+    return _edges(x, -1.0, F.log1p(x))
 
 
 def clip(x: Column, lower: float, upper: float) -> Column:
