@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import rows
+from vitalgrid.operators import windows as wn
 
 
 def test_logarithms_at_and_below_their_pole(spark):
@@ -13,3 +14,9 @@ def test_logarithms_at_and_below_their_pole(spark):
     assert got[0] == (-math.inf, 0.0) and math.isnan(got[1][0]) and got[1][1] == -math.inf
     assert math.isnan(got[2][0]) and math.isnan(got[2][1]) and got[3] == (0.0, math.log(2)) and got[4] == (None, None)
     assert math.isnan(got[5][0]) and math.isnan(got[5][1])
+
+
+def test_samples_of_value_zero_are_told_from_padding(series, spark):
+    win = wn.window_index(spark.createDataFrame([("a", 3)], "record string, extent bigint"), 5, 0.5)
+    got = wn.window_samples(series(a=[0, 2, 0]), win, 5, 1, sampled="s").where("win = 0").orderBy("pos").collect()
+    assert [(r.value, r.s) for r in got] == [(0.0, True), (2.0, True), (0.0, True), (0.0, False), (0.0, False)]

@@ -37,10 +37,12 @@ def record_windows(windows: DataFrame, record_id, record: str = "record") -> Dat
 
 def window_samples(
     samples: DataFrame, windows: DataFrame, window: int, fs: float, record: str = "record",
-    features: Sequence[str] = (), t: str = "t", value: str = "value",
+    features: Sequence[str] = (), t: str = "t", value: str = "value", sampled: str | None = None,
 ) -> DataFrame:
     """Samples of each window at positions ``0..W*fs-1``; a position without a sample is zero.
 
+    ``sampled`` names a boolean column that tells samples (also those of value zero) from padding.
+
     A sample meets only the windows listed for its time bucket; padding rows are
     generated for the missing positions alone: gaps, ends, and windows of records
     without any sample (for every feature combination there is).
@@ -72,6 +74,8 @@ def window_samples(
     short = slots.join(filled, slot, "left").where(F.coalesce("_n", F.lit(0)) < rows_).select(*slot)
     wanted = short.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows_ - 1).cast("long"))))
     pad = wanted.join(got.select(*slot, "pos"), [*slot, "pos"], "left_anti").withColumn(value, F.lit(0.0))
+    if sampled is not None:
+        got, pad = got.withColumn(sampled, F.lit(True)), pad.withColumn(sampled, F.lit(False))
     return got.unionByName(pad)
 
 
