@@ -20,3 +20,17 @@ def test_samples_of_value_zero_are_told_from_padding(series, spark):
     win = wn.window_index(spark.createDataFrame([("a", 3)], "record string, extent bigint"), 5, 0.5)
     got = wn.window_samples(series(a=[0, 2, 0]), win, 5, 1, sampled="s").where("win = 0").orderBy("pos").collect()
     assert [(r.value, r.s) for r in got] == [(0.0, True), (2.0, True), (0.0, True), (0.0, False), (0.0, False)]
+
+
+def test_free_starts_follow_the_rounding_of_each_window(spark):
+    # Events of exactly the least share of a cell: whether they set one depends on the start that is subtracted.
+    events = spark.range(60).selectExpr(
+        "id % 3 AS record", "'x' AS label", "'event' AS kind", "id * 40013 + 17 AS start", "bigint(150) AS duration"
+    )
+    tops = spark.createDataFrame([(r, 2_505_600) for r in range(3)], "record long, max_index long")
+    every = tops.select("record", F.explode(F.sequence(F.lit(0), F.col("max_index") - 1, F.lit(600))).alias("start"))
+    hit = wn.window_hits(every.withColumn("win", F.col("start")), events, 86_400, 600, 0.25)
+    taken = {(r.record, r.win) for r in hit.select("record", "win").distinct().collect()}
+    runs = wn.free_starts(tops, events, 86_400, 600, 0.25).collect()
+    free = {(r.record, 600 * (r._from + k)) for r in runs for k in range(r._n)}
+    assert taken and free == {(r.record, r.start) for r in every.collect()} - taken

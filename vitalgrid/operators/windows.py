@@ -322,25 +322,42 @@ def balanced_sample(
     return hit.select("draw", "label", record, start.cast("long").alias("start"))
 
 
-def _taken(events: DataFrame, n: int, so: float, record: str) -> DataFrame:
-    """Per event (``_a`` to ``_b``, in cells) the first and last window start, in cells, whose grid it sets a cell of.
+# Shares of a cell that are nearer to each other than this may fall on either side of a bound, by rounding.
+NEAR = 1e-6
+
+
+def _taken(events: DataFrame, n: int, resolution: int, so: float, record: str) -> DataFrame:
+    """Per event (``_s`` to ``_e``, in seconds) ranges of window starts, in cells, whose grid it sets a cell of.
 
     Starts lie on the cells, so an event covers the same cells of the calendar in every window and the starts form one
-    range. Its ends are settled by the rule of a single window, evaluated next to them.
+    range. Its ends are settled by the rule of a single window, evaluated next to them. Only where a short event ends
+    within rounding of a bound may the rule differ from one window to the next: each of its ``n`` starts is judged then.
     """
+    scaled = lambda c: c / F.lit(float(resolution))
+    a, b = scaled(F.col("_s")), scaled(F.col("_e"))
     first, last = cell_span(F.col("_a"), F.col("_b"), 1 << 62, so)
     low = F.greatest(F.floor(F.col("_a") + so - n) + 1, first - n + 1)
     high = F.least(F.ceil(F.col("_b") - so) - 1, last - 1)
 
     def sets(j: Column) -> Column:
-        a, b = F.greatest(F.col("_a") - j, F.lit(0.0)), F.least(F.col("_b") - j, F.lit(float(n)))
+        # As in window_hits: seconds are subtracted before they are scaled.
+        at = j * F.lit(resolution)
+        a, b = F.greatest(scaled(F.col("_s") - at), F.lit(0.0)), F.least(scaled(F.col("_e") - at), F.lit(float(n)))
         one, end = cell_span(a, b, n, so)
-        return (b > 0) & (a < n) & (b - a > so) & (one < end)
+        return (F.col("_e") > at) & (F.col("_s") < at + n * resolution) & (b - a > so) & (one < end)
 
+    part = lambda c: F.col(c) - F.floor(c)
+    close = lambda c, bound: F.abs(c - F.lit(float(bound))) < NEAR
+    length = F.col("_b") - F.col("_a")
+    vague = (length < 2) & (close(length, so) | close(part("_a"), 1 - so) | close(part("_b"), so))
     near = lambda c, steps: F.get(F.filter(F.array(*[F.col(c) + k for k in steps]), sets), F.lit(0))
-    ends = events.withColumn("_low", low).withColumn("_high", high)
-    return ends.select(record, near("_low", (-1, 0, 1)).alias("_lo"), near("_high", (1, 0, -1)).alias("_hi")).where(
-        F.col("_lo") <= F.col("_hi")
+    one = F.array(F.struct(near("_low", (-1, 0, 1)).alias("lo"), near("_high", (1, 0, -1)).alias("hi")))
+    every = F.filter(F.sequence(F.floor("_a").cast("long") - n, F.ceil("_b").cast("long")), sets)
+    each = F.transform(every, lambda j: F.struct(j.alias("lo"), j.alias("hi")))
+    ends = events.withColumns({"_a": a, "_b": b}).withColumn("_low", low).withColumn("_high", high)
+    found = ends.select(record, F.explode(F.when(vague, each).otherwise(one)).alias("_r"))
+    return found.select(record, F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi")).where(
+        (F.col("_lo") <= F.col("_hi")) & (F.col("_hi") >= 0)
     )
 
 
@@ -359,12 +376,11 @@ def free_starts(
     n = int(window // resolution)
     tops = windows.groupBy(record).agg(F.max("max_index").alias("_top")).where(F.col("_top") > 0)
     size = settle(tops.select(record, (floor_div(F.col("_top") - 1, resolution) + 1).alias("_size")))
-    cells = lambda c: c / F.lit(float(resolution))
     events = intervals.where(F.col("duration") > minimum_duration).select(
-        record, cells(F.col("start")).alias("_a"), cells(F.col("start") + F.col("duration")).alias("_b")
+        record, F.col("start").alias("_s"), (F.col("start") + F.col("duration")).alias("_e")
     )
     # Of ranges that begin together the longest counts; a last range of each record closes its calendar.
-    ranges = _taken(events, n, so, record).groupBy(record, F.greatest("_lo", F.lit(0)).alias("_lo")).agg(F.max("_hi").alias("_hi"))
+    ranges = _taken(events, n, resolution, so, record).groupBy(record, F.greatest("_lo", F.lit(0)).alias("_lo")).agg(F.max("_hi").alias("_hi"))
     ranges = stage(ranges.unionByName(size.select(record, F.col("_size").alias("_lo"), F.col("_size").alias("_hi"))))
     seen = running_max(ranges, [record], floor_div(F.col("_lo"), max(n, 1) * 64), ["_lo", "_hi"], "_hi", "_seen")
     begin = F.coalesce(F.col("_seen") + 1, F.lit(0)).cast("long")
