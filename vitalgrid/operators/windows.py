@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import seeded
 from vitalgrid.operators.chunks import floor_div, ordinal, running_max
 from vitalgrid.operators.intervals import cell_span
-from vitalgrid.session import attach, settle, stage
+from vitalgrid.session import attach, settle, spread, stage
 
 
 def window_index(extents: DataFrame, window: int, overlap: float, record: str = "record") -> DataFrame:
     """Overlapping windows of every record plus a tail window at its end.
 
-    Record length is clipped to 30 s; the tail may repeat the last regular window.
+    Record length is clipped to 30 s; the tail may repeat the last regular window. Records are spread first: a table
+    of extents is small, what comes of it is not.
     """
     step = float(window * (1 - overlap))
     clipped = F.col("extent") - F.pmod(F.col("extent"), F.lit(30))
@@ -26,7 +27,7 @@ def window_index(extents: DataFrame, window: int, overlap: float, record: str =
         F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.floor(i * F.lit(step))),
         F.array(top),
     )
-    return extents.select(record, top.alias("max_index"), F.posexplode(starts).alias("win", "start")).select(
+    return spread(extents, record).select(record, top.alias("max_index"), F.posexplode(starts).alias("win", "start")).select(
         record, "win", F.col("start").cast("long"), "max_index"
     )
 
@@ -91,27 +92,44 @@ def attach_features(
 # ---- labels ---------------------------------------------------------------------------------
 
 
+# Windows and events are shuffled once, by record and slab; a slab is so many window lengths of window starts.
+SLAB = 8
+
+
+def _calendar(windows: DataFrame, window: int, record: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(record, win, win_start, slab) of every window."""
+    start = F.col("start")
+    return windows.select(
+        record, "win", start.alias("win_start"), floor_div(start, SLAB * window).alias("slab"), *keep
+    )
+
+
+def _events(intervals: DataFrame, window: int, minimum_duration: float, record: str) -> DataFrame:
+    """Events (``_s``, ``_e`` in absolute seconds) in each slab with window starts they may meet: above s - W, below e."""
+    e = intervals.where(F.col("duration") > minimum_duration).select(
+        record, "label", "kind", F.col("start").alias("_s"), (F.col("start") + F.col("duration")).alias("_e")
+    )
+    first, last = floor_div(F.col("_s") - window, SLAB * window), floor_div(F.col("_e"), SLAB * window)
+    return e.withColumn("slab", F.explode(F.sequence(first, last)))
+
+
+def _meet(w: DataFrame, e: DataFrame, window: int, record: str, how: str = "inner") -> DataFrame:
+    """Pairs of windows and events that overlap, each in the slab of its window."""
+    e = e.withColumnsRenamed({record: "_record", "slab": "_slab"})
+    on = (F.col(record) == F.col("_record")) & (F.col("slab") == F.col("_slab"))
+    over = (F.col("_s") < F.col("win_start") + F.lit(window)) & (F.col("_e") > F.col("win_start"))
+    return w.join(e, on & over, how).drop("_record", "_slab")
+
+
 def window_overlaps(
     windows: DataFrame, intervals: DataFrame, window: int, minimum_duration: float = 10, record: str = "record"
 ) -> DataFrame:
     """Events meeting each window (``_s``, ``_e`` in absolute seconds).
 
-    Both sides carry time buckets of one window length; a pair is judged only in
-    the bucket where its overlap begins.
+    Both sides are keyed by slab; a window lies in one, so a pair is found once. An event is tried against the windows
+    of its slab, a fixed multiple of those it can meet.
     """
-    stop_w = F.col("win_start") + F.lit(window)
-    w = windows.select(record, "win", F.col("start").alias("win_start")).withColumn(
-        "_bucket", F.explode(F.sequence(floor_div(F.col("win_start"), window), floor_div(stop_w, window)))
-    )
-    e = intervals.where(F.col("duration") > minimum_duration).select(
-        record, "label", "kind", F.col("start").alias("_s"), (F.col("start") + F.col("duration")).alias("_e")
-    )
-    e = e.withColumn("_bucket", F.explode(F.sequence(floor_div(F.col("_s"), window), floor_div(F.col("_e"), window))))
-    return (
-        w.join(e, [record, "_bucket"])
-        .where((F.col("_s") < stop_w) & (F.col("_e") > F.col("win_start")))
-        .where(F.col("_bucket") == floor_div(F.greatest("win_start", "_s"), window))
-    )
+    return _meet(_calendar(windows, window, record), _events(intervals, window, minimum_duration, record), window, record)
 
 
 def window_hits(
@@ -120,71 +138,103 @@ def window_hits(
 ) -> DataFrame:
     """Cell spans of each window set by each overlapping event (not yet exploded)."""
     so = 7.5 / resolution if so is None else so
-    n = int(window // resolution)
     met = window_overlaps(windows, intervals, window, minimum_duration, record)
+    return _spans(met, int(window // resolution), resolution, so).where("_hit").select(
+        record, "win", "win_start", "label", "kind", "first", "last"
+    )
+
+
+def _spans(met: DataFrame, n: int, resolution: float, so: float) -> DataFrame:
+    """Adds ``first`` and ``last`` (exclusive) cell an event sets in its window, and ``_hit``: whether it sets any."""
     a = F.greatest((F.col("_s") - F.col("win_start")) / F.lit(float(resolution)), F.lit(0.0))
     b = F.least((F.col("_e") - F.col("win_start")) / F.lit(float(resolution)), F.lit(float(n)))
     first, last = cell_span(F.col("_a"), F.col("_b"), n, so)
-    return (
-        met.withColumn("_a", a).withColumn("_b", b)
-        .where(F.col("_b") - F.col("_a") > so)
-        .select(record, "win", "win_start", "label", "kind", first.alias("first"), last.alias("last"))
-        .where(F.col("first") < F.col("last"))
-    )
+    spans = met.withColumns({"_a": a, "_b": b}).withColumns({"first": first, "last": last})
+    return spans.withColumn("_hit", (F.col("_b") - F.col("_a") > so) & (F.col("first") < F.col("last")))
 
 
 # Cells packed into one integer while labels are aggregated.
 WORD = 32
 
 
-def _packed(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spans ``[first, last)`` as one row per touched word with a bit per cell."""
-    w = hits.withColumn("word", F.explode(F.sequence(floor_div(F.col("first"), WORD), floor_div(F.col("last") - 1, WORD))))
-    w = w.withColumn("_lo", F.greatest(F.col("first") - F.col("word") * WORD, F.lit(0)).cast("int"))
-    w = w.withColumn("_hi", F.least(F.col("last") - F.col("word") * WORD, F.lit(WORD)).cast("int"))
-    return w.select(*keys, "word", F.expr("shiftleft(shiftleft(1L, _hi - _lo) - 1L, _lo)").alias("bits"))
+def label_bits(
+    windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
+    so: float | None = None, use_mask: bool = True, minimum_duration: float = 10, record: str = "record",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The label grid as bits, all classes in one row: (record, slab, win, win_start, *keep, word, events, mask, cells).
+
+    ``events`` has a word for each class, in their order; ``keep`` names columns of ``windows`` to carry along. Windows
+    and events are shuffled once, by record and slab: windows unfold to words behind their shuffle, meet their events
+    there and are aggregated where they are, so neither the words nor the dense grid is shuffled.
+    """
+    so = 7.5 / resolution if so is None else so
+    n = int(window // resolution)
+    last = (n - 1) // WORD
+    words = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
+    calendar = spread(_calendar(windows, window, record, keep), record, "slab")
+    units = calendar.select("*", F.explode(words).alias("word"))
+    wanted = ((F.col("kind") == "event") & F.col("label").isin(list(classes))) | (
+        (F.col("kind") == "mask") if use_mask else F.lit(False)
+    )
+    e = _events(intervals.where(wanted), window, minimum_duration, record).withColumnsRenamed({record: "_record", "slab": "_slab"})
+    # A cell of margin: which cells of a word are set is settled below.
+    at, reach = F.col("win_start") + F.col("word") * F.lit(WORD * resolution), F.lit(resolution)
+    near = (F.col("_s") <= at + F.lit(WORD * resolution) + reach) & (F.col("_e") >= at - reach)
+    over = (F.col("_s") < F.col("win_start") + F.lit(window)) & (F.col("_e") > F.col("win_start"))
+    on = (F.col(record) == F.col("_record")) & (F.col("slab") == F.col("_slab"))
+    met = _spans(units.join(e, on & over & near, "left"), n, resolution, so)
+    met = met.withColumn("_lo", F.greatest(F.col("first") - F.col("word") * WORD, F.lit(0)).cast("int"))
+    met = met.withColumn("_hi", F.least(F.col("last") - F.col("word") * WORD, F.lit(WORD)).cast("int"))
+    met = met.withColumn(
+        "_bits", F.when(F.col("_hit") & (F.col("_lo") < F.col("_hi")), F.expr("shiftleft(shiftleft(1L, _hi - _lo) - 1L, _lo)"))
+    )
+    none = F.lit(0).cast("long")
+    of = lambda here: F.bit_or(F.coalesce(F.when(here, F.col("_bits")), none))
+    event = [of((F.col("kind") == "event") & (F.col("label") == c)).alias(f"_e{i}") for i, c in enumerate(classes)]
+    packed = met.groupBy(record, "slab", "win", "win_start", *keep, "word").agg(*event, of(F.col("kind") == "mask").alias("mask"))
+    cells = F.least(F.lit(WORD).cast("long"), F.lit(n) - F.col("word") * WORD)
+    return packed.select(
+        record, "slab", "win", "win_start", *keep, "word",
+        F.array(*[F.col(f"_e{i}") for i in range(len(classes))]).alias("events"), "mask", cells.alias("cells"),
+    )
 
 
 def label_words(
     windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
     so: float | None = None, use_mask: bool = True, minimum_duration: float = 10, record: str = "record",
 ) -> DataFrame:
-    """The label grid as bits: (record, win, win_start, class, word, event, mask, cells).
+    """The label grid as bits, a row per class: (record, slab, win, win_start, class, word, event, mask, cells).
 
-    Bit k of a word stands for cell ``32 word + k``; ``cells`` is the number of cells of the word. Calendar, events
-    and masks meet in one aggregation on words, so the dense grid is neither built nor shuffled.
+    Bit k of a word stands for cell ``32 word + k``; ``cells`` is the number of cells of the word. Rows lie by record and
+    slab: with both among its keys, a grouping needs no shuffle.
     """
-    n = int(window // resolution)
-    names = F.array(*[F.lit(c) for c in classes])
-    key = [record, "win", "win_start"]
-    none = F.lit(0).cast("long")
-    hits = window_hits(windows, intervals, window, resolution, so, minimum_duration, record)
-    found = hits.where((F.col("kind") == "event") & F.col("label").isin(list(classes)))
-    events = _packed(found, [*key, F.col("label").alias("class")]).select(
-        *key, "class", "word", F.col("bits").alias("_event"), none.alias("_mask")
+    bits = label_bits(windows, intervals, classes, window, resolution, so, use_mask, minimum_duration, record)
+    each = F.array(*[F.struct(F.lit(c).alias("class"), F.get("events", F.lit(i)).alias("event")) for i, c in enumerate(classes)])
+    return bits.select(record, "slab", "win", "win_start", "word", "mask", "cells", F.explode(each).alias("_c")).select(
+        record, "slab", "win", "win_start", "_c.class", "word", "_c.event", "mask", "cells"
     )
-    words = F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // WORD).cast("long"))
-    calendar = (
-        windows.select(record, "win", F.col("start").alias("win_start"), F.explode(names).alias("class"))
-        .select("*", F.explode(words).alias("word"), none.alias("_event"), none.alias("_mask"))
+
+
+def _places(bits: Column) -> Column:
+    """Sum of the places of the set bits of a word: each binary digit of a place is counted over the word."""
+    digit = lambda k: sum(1 << p for p in range(WORD) if p >> k & 1)
+    return sum(
+        (F.bit_count(bits.bitwiseAND(F.lit(digit(k)).cast("long"))) * F.lit(1 << k) for k in range(WORD.bit_length() - 1)),
+        F.lit(0).cast("long"),
     )
-    all_ = calendar.unionByName(events)
-    if use_mask:
-        masks = _packed(hits.where(F.col("kind") == "mask"), key).groupBy(*key, "word").agg(F.bit_or("bits").alias("_mask"))
-        all_ = all_.unionByName(
-            masks.select(*key, F.explode(names).alias("class"), "word", none.alias("_event"), "_mask")
-        )
-    packed = all_.groupBy(*key, "class", "word").agg(F.bit_or("_event").alias("event"), F.bit_or("_mask").alias("mask"))
-    return packed.withColumn("cells", F.least(F.lit(WORD).cast("long"), F.lit(n) - F.col("word") * WORD))
 
 
 def label_counts(words: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cells of a bit grid per group that are 1, 0 and masked, counted on the bits."""
+    """Cells of a bit grid per group that are 1, 0 and masked, and the sum of cell number times value; counted on the bits."""
     all_cells = F.expr("shiftleft(1L, cast(cells as int)) - 1L")
-    masked = F.bit_count(F.col("mask").bitwiseAND(all_cells))
-    ones = F.bit_count(F.col("event").bitwiseAND(F.bitwise_not("mask")).bitwiseAND(all_cells))
+    off = F.col("mask").bitwiseAND(all_cells)
+    on = F.col("event").bitwiseAND(F.bitwise_not("mask")).bitwiseAND(all_cells)
+    masked, ones = F.bit_count(off), F.bit_count(on)
+    place = F.col("word") * WORD * (ones - masked) + _places(on) - _places(off)
     return words.groupBy(*by).agg(
-        F.sum(ones).alias("ones"), F.sum(F.col("cells") - ones - masked).alias("zeros"), F.sum(masked).alias("masked")
+        F.sum(ones).alias("ones"), F.sum(F.col("cells") - ones - masked).alias("zeros"), F.sum(masked).alias("masked"),
+        F.sum(place).alias("place"),
     )
 
 
@@ -208,12 +258,15 @@ def window_labels(
 def any_event(
     windows: DataFrame, intervals: DataFrame, window: int, minimum_duration: float = 10, record: str = "record"
 ) -> DataFrame:
-    """1 for windows meeting at least one event longer than the minimum, else 0."""
-    hit = (
-        window_overlaps(windows, intervals.where(F.col("kind") == "event"), window, minimum_duration, record)
-        .select(record, "win", F.lit(1).alias("y")).distinct()
-    )
-    return windows.select(record, "win").join(hit, [record, "win"], "left").fillna(0, ["y"])
+    """1 for windows meeting at least one event longer than the minimum, else 0.
+
+    Windows and events are shuffled once, by record and slab.
+    """
+    events = _events(intervals.where(F.col("kind") == "event"), window, minimum_duration, record)
+    calendar = spread(_calendar(windows, window, record), record, "slab")
+    met = _meet(calendar, events, window, record, "left")
+    hit = F.max(F.col("_s").isNotNull().cast("int"))
+    return met.groupBy(record, "slab", "win", "win_start").agg(hit.alias("y")).select(record, "win", "y")
 
 
 # Display order of the stages, deepest first.

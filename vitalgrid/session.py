@@ -77,6 +77,14 @@ def stage(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows to as many tasks as the session shuffles to, for tables whose rows unfold to many.
+
+    Adaptive execution would coalesce such a table by its own size, and one task would unfold and write all of it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _path(spark: SparkSession, path: str):
     """A folder of any file system Spark knows, and that file system."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)

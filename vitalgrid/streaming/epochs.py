@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalgrid.operators.features import histogram_bin
-from vitalgrid.operators.windows import window_labels
+from vitalgrid.operators.windows import label_words, window_labels
 from vitalgrid.session import attach, exists, listed, remove, settle
 
 # Stored samples lie in folders by the time their bins close, one for each stretch of this many milliseconds.
@@ -130,15 +130,18 @@ def run_available(out: DataFrame, path: str, checkpoint: str, mode: str = "appen
 def stream_label(
     windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: float,
     checkpoint: str, sink: Callable[[DataFrame, int], None], so: float | None = None, record: str = "record",
+    words: bool = False,
 ) -> StreamingQuery:
     """Label each micro-batch of windows against a static interval table.
 
+    ``labels`` has a row per cell or, with ``words``, the bits of ``windows.label_words``, of which counts need no cells.
     ``sink(labels, batch_id)`` must be idempotent per batch id, as a batch can be
     replayed after a failure.
     """
 
     def label(batch: DataFrame, batch_id: int) -> None:
-        sink(window_labels(batch, intervals, classes, window, resolution, so, record=record), batch_id)
+        labels = label_words if words else window_labels
+        sink(labels(batch, intervals, classes, window, resolution, so, record=record), batch_id)
 
     q = (
         windows.writeStream.foreachBatch(label).option("checkpointLocation", checkpoint)
