@@ -2,10 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from vitalgrid.functions import rows
-from vitalgrid.operators import windows as wn
+from vitalgrid.functions import rows, seeded
+from vitalgrid.operators import metrics, windows as wn
+from vitalgrid.plans import spec
 
 
 def test_logarithms_at_and_below_their_pole(spark):
@@ -34,3 +36,66 @@ def test_free_starts_follow_the_rounding_of_each_window(spark):
     runs = wn.free_starts(tops, events, 86_400, 600, 0.25).collect()
     free = {(r.record, 600 * (r._from + k)) for r in runs for k in range(r._n)}
     assert taken and free == {(r.record, r.start) for r in every.collect()} - taken
+
+
+def _grid(spark):
+    """Windows of two records over several slabs, crowded and empty; events across slabs, masks over some."""
+    extents = spark.createDataFrame([("a", 4_000), ("b", 90), ("c", 1_300)], "record string, extent bigint").distinct()
+    windows = wn.window_index(extents, 120, 0.25)
+    events = spark.range(150).selectExpr(
+        "element_at(array('a', 'a', 'c', 'd'), int(id % 4) + 1) AS record", "element_at(array('x', 'y', 'z'), int(id % 3) + 1) AS label",
+        "if(id % 7 = 0, 'mask', 'event') AS kind", "id * 97 % 4100 - 20 AS start", "if(id % 50 = 0, 1100, id * 13 % 90) AS duration",
+    )
+    return windows, events
+
+
+def test_windows_unfold_in_as_many_tasks_as_a_shuffle_has(spark):
+    windows, _ = _grid(spark)
+    assert windows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_meet_events_behind_one_shuffle(spark):
+    windows, events = _grid(spark)
+    words = wn.label_words(windows, events, ["x", "y"], 120, 2, 0.25)
+    counts = wn.label_counts(words, ["record", "slab", "win", "win_start", "class"])
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # Extents, their spread, windows, events.
+    assert plan.count("Exchange hashpartitioning") <= 4
+    hits = wn.window_hits(windows, events, 120, 2, 0.25)
+    cells = hits.select("record", "win", "label", "kind", F.explode(F.sequence("first", F.col("last") - 1)).alias("cell")).distinct().collect()
+    masked = {(r.record, r.win, r.cell) for r in cells if r.kind == "mask"}
+    ones = {(r.record, r.win, r.label, r.cell) for r in cells if r.kind == "event" and (r.record, r.win, r.cell) not in masked}
+    want = {}
+    for w in windows.collect():
+        off = [c for r, i, c in masked if (r, i) == (w.record, w.win)]
+        for k in ("x", "y"):
+            on = [c for r, i, n, c in ones if (r, i, n) == (w.record, w.win, k)]
+            want[w.record, w.win, k] = (len(on), 60 - len(on) - len(off), len(off), sum(on) - sum(off))
+    got = {(r.record, r.win, r["class"]): (r.ones, r.zeros, r.masked, r.place) for r in counts.collect()}
+    assert got == want and any(v[0] and v[2] for v in want.values())
+
+
+def test_overlaps_and_any_event_against_every_pair(spark):
+    windows, events = _grid(spark)
+    e = [r for r in events.collect() if r.duration > 10]
+    w = windows.collect()
+    meets = lambda a, b: a.record == b.record and b.start < a.start + 120 and b.start + b.duration > a.start
+    want = sorted((a.record, a.win, b.start, b.start + b.duration) for a in w for b in e if meets(a, b))
+    got = wn.window_overlaps(windows, events, 120).select("record", "win", "_s", "_e").collect()
+    assert sorted(map(tuple, got)) == want
+    any_ = {(r.record, r.win): r.y for r in wn.any_event(windows, events, 120).collect()}
+    assert any_ == {(a.record, a.win): int(any(meets(a, b) and b.kind == "event" for b in e)) for a in w}
+
+
+def test_stitched_classes_equal_the_stitched_series(spark):
+    windows, events = _grid(spark)
+    classes = ["x", "y", "z"]
+    score = lambda c: seeded.uniform("s", F.col("record"), F.col("win"), c, F.col("cell"))
+    got = spec.stitched_classes(windows, events, classes, 120, 2, score, 0.25)
+    labels = wn.window_labels(windows, events, classes, 120, 2, 0.25)
+    series = spec.epoch_series(labels.withColumn("y_pred", score(F.col("class"))), labels, 2)
+    want = metrics.one_hot_labels(series, classes)
+    rows_ = lambda df: sorted(map(tuple, df.select("record", "epoch", "true_class", "pred_class").collect()))
+    assert rows_(got) == rows_(want) and len(rows_(got)) > 50
+    with pytest.raises(ValueError, match="incomplete"):
+        spec.stitched_classes(windows.where("record = 'a' AND win <> 5 AND win <> 6"), events, classes, 120, 2, score, 0.25).count()

@@ -7,15 +7,16 @@ sample table, so Catalyst sees one plan per signal.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.rows import flat_feature
 from vitalgrid.operators import features, intervals as iv, metrics, windows as wn
+from vitalgrid.operators.chunks import floor_div, running_max
 from vitalgrid.model import layout
 from vitalgrid.plans.registry import (
     AUGMENTATIONS, CHAINED, LINKS, MULTI_PASS_STEPS, NORMALIZERS, PREPROCESSING, ROW_STEPS, WHOLE_WINDOW_NORMALIZERS,
@@ -185,6 +186,11 @@ class WindowedDataset:
         w = self.windows() if windows is None else windows
         return wn.window_labels(w, self.intervals, self.classes, self.window, self.resolution, self.so, self.use_mask)
 
+    def label_words(self, windows: DataFrame | None = None) -> DataFrame:
+        """The labels as bits, for counts."""
+        w = self.windows() if windows is None else windows
+        return wn.label_words(w, self.intervals, self.classes, self.window, self.resolution, self.so, self.use_mask)
+
     def batches(self, batch_size: int) -> DataFrame:
         return wn.batch(self.windows(), batch_size)
 
@@ -254,6 +260,46 @@ def assert_complete(series: DataFrame, keys, epoch: str, values) -> DataFrame:
     return series
 
 
+def stitched_classes(
+    windows: DataFrame, intervals: DataFrame, classes: Sequence[str], window: int, resolution: int,
+    score: Callable[[Column], Column], so: float | None = None, record: str = "record",
+) -> DataFrame:
+    """True and predicted class of the stitched epochs with exactly one true class: ``record, epoch, true_class, pred_class``.
+
+    For scores that are an expression of ``record, win, cell`` and the class ``score`` is called with (a table of scores
+    goes through ``epoch_series``). The earliest window of an epoch wins, so windows are cut to the cells that are their
+    own before any cell becomes a row: one running maximum over windows. Epochs with one true class are found on the
+    label bits; only they are unfolded and scored. A hole in 0..last is an error.
+    """
+    n = int(window // resolution)
+    begin = floor_div(F.col("start"), resolution)
+    bounds = windows.select(record, "win", "start", begin.alias("_begin"), (begin + n).alias("_end"))
+    seen = stage(running_max(bounds, [record], floor_div(F.col("start"), window * 64), ["start", "win"], "_end", "_seen"))
+    covered = F.coalesce("_seen", F.lit(0))
+    hole = seen.where((F.col("_begin") > covered) | (F.col("_seen").isNull() & (F.col("_begin") != 0))).head(1)
+    if hole:
+        raise ValueError(f"incomplete epoch series: {hole[0].asDict()}")
+    own = seen.withColumn("own", covered - F.col("_begin")).where(F.col("own") < n)
+    bits = wn.label_bits(own, intervals, classes, window, resolution, so, record=record, keep=["own"])
+    one = two = F.lit(0).cast("long")
+    for i in range(len(classes)):
+        e = F.get("events", F.lit(i))
+        one, two = one.bitwiseOR(e), two.bitwiseOR(one.bitwiseAND(e))
+    single = one.bitwiseAND(F.bitwise_not(two)).bitwiseAND(F.bitwise_not("mask"))
+    places = F.sequence(F.greatest(F.col("own") - F.col("word") * wn.WORD, F.lit(0)).cast("int"), (F.col("cells") - 1).cast("int"))
+    set_ = lambda bits, k: F.call_function("getbit", bits, k) == 1
+    found = bits.withColumn("_single", single).where((F.col("_single") != 0) & (F.col("own") < F.col("word") * wn.WORD + F.col("cells")))
+    cells = found.withColumn("_k", F.explode(F.filter(places, lambda k: set_(F.col("_single"), k)))).withColumn(
+        "cell", F.col("word") * wn.WORD + F.col("_k")
+    )
+    names = F.array(*[F.lit(c) for c in classes])
+    true = F.coalesce(*[F.when(set_(F.get("events", F.lit(i)), F.col("_k")), F.lit(c)) for i, c in enumerate(classes)])
+    scored = cells.withColumn("_scores", F.array(*[score(F.lit(c)) for c in classes]))
+    pred = F.element_at(names, F.array_position("_scores", F.array_max("_scores")).cast("int"))
+    epoch = floor_div(F.col("win_start"), resolution) + F.col("cell")
+    return scored.select(record, epoch.alias("epoch"), true.alias("true_class"), pred.alias("pred_class"))
+
+
 def agreement(series: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Accuracy and kappa over epochs with exactly one true class."""
     named = metrics.one_hot_labels(series, classes)
