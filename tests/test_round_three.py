@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import rows, seeded
+from vitalgrid.operators import intervals as iv
 from vitalgrid.operators import metrics, windows as wn
 from vitalgrid.plans import spec
 
@@ -99,3 +100,14 @@ def test_stitched_classes_equal_the_stitched_series(spark):
     assert rows_(got) == rows_(want) and len(rows_(got)) > 50
     with pytest.raises(ValueError, match="incomplete"):
         spec.stitched_classes(windows.where("record = 'a' AND win <> 5 AND win <> 6"), events, classes, 120, 2, score, 0.25).count()
+
+
+def test_spans_stitch_as_their_cells(spark, monkeypatch):
+    windows, events = _grid(spark)
+    hits = wn.window_hits(windows, events, 120, 2, 0.25).withColumnRenamed("label", "class")
+    cells = hits.withColumn("y", F.explode(F.sequence("first", F.col("last") - 1))).withColumn("epoch", F.floor(F.col("win_start") / 2) + F.col("y"))
+    monkeypatch.setattr(iv, "SLICE", 16)
+    rows_ = lambda df: sorted(map(tuple, df.select("record", "class", "epoch", "y").collect()))
+    got = iv.stitch_spans(hits, 2, lambda c: c)
+    assert rows_(got) == rows_(iv.stitch_windows(cells, win="win", values=["y"]))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ Pairs that do not overlap are implicit (overlap 0).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vitalgrid.model import CHUNK, EPS, layout
 from vitalgrid.operators.chunks import floor_div, running_max
 from vitalgrid.operators.rolling import close_then_open, runs
-from vitalgrid.session import settle, stage
+from vitalgrid.session import settle, spread, stage
 
 
 def _bucketed(df: DataFrame, keys, id_, start, stop, bucket, side) -> DataFrame:
@@ -264,6 +264,27 @@ def stitch_windows(
     return scores.groupBy(*keys, epoch).agg(*[first(v).alias(v) for v in values])
 
 
+# Epochs of a group that a task stitches together.
+SLICE = 1024
+
+
+def stitch_spans(
+    spans: DataFrame, resolution: int, value: Callable[[Column], Column], keys: Sequence[str] = ("record", "class"),
+    epoch: str = "epoch", start: str = "win_start", win: str = "win", name: str = "y",
+) -> DataFrame:
+    """``stitch_windows`` of the cells ``[first, last)`` of windows, with ``value`` of the cell.
+
+    Spans are shuffled, by slices of epochs, and unfold to cells behind the shuffle, in as many tasks as it has.
+    """
+    base = floor_div(F.col(start), resolution)
+    low, high = base + F.col("first"), base + F.col("last") - 1
+    parts = spans.withColumn("_slice", F.explode(F.sequence(floor_div(low, SLICE), floor_div(high, SLICE))))
+    inside = F.sequence(F.greatest(low, F.col("_slice") * SLICE), F.least(high, (F.col("_slice") + 1) * SLICE - 1))
+    cells = spread(parts, *keys, "_slice").withColumn(epoch, F.explode(inside))
+    timed = cells.withColumn(name, value(F.col(epoch) - base))
+    return stitch_windows(timed, [*keys, "_slice"], epoch, start, win, [name]).drop("_slice")
+
+
 def combine_append(first: DataFrame, second: DataFrame) -> DataFrame:
     """Append rows; columns missing on one side are NULL."""
     return first.unionByName(second, allowMissingColumns=True)
