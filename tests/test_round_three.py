@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import rows, seeded
 from vitalgrid.operators import intervals as iv
-from vitalgrid.operators import metrics, windows as wn
+from vitalgrid.operators import features, metrics, windows as wn
 from vitalgrid.plans import spec
 
 
@@ -111,3 +111,9 @@ def test_spans_stitch_as_their_cells(spark, monkeypatch):
     got = iv.stitch_spans(hits, 2, lambda c: c)
     assert rows_(got) == rows_(iv.stitch_windows(cells, win="win", values=["y"]))
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_epoch_statistics_unfold_in_as_many_tasks_as_a_shuffle_has(spark):
+    df = spark.range(50).selectExpr("id % 2 AS record", "id * 700000 AS us", "double(id * 7 % 11) AS v")
+    out = features.epoch_stats_of(df, ["v"], interval=10, diff_seconds=[10])
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

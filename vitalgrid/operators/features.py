@@ -23,7 +23,7 @@ from vitalgrid.operators import rolling
 from vitalgrid.operators.chunks import epoch_map, epoch_table, floor_div, over_chunks
 from vitalgrid.operators.normalize import axis_flip
 from vitalgrid.operators.resample import explode_epochs
-from vitalgrid.session import attach
+from vitalgrid.session import attach, spread
 
 # ---- aggregate builders over columns x, d1, d2, d3 of an epoch ----------------
 
@@ -354,6 +354,8 @@ def epoch_stats_of(
     by = [*keys, "epoch"]
     w = Window.partitionBy(*by)
     base = df.select(*by[:-1], floor_div(F.col(us), step).alias("epoch"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    # A sample unfolds to an entry per signal and histogram behind the shuffle.
+    base = spread(base, *by)
     own = {"_m": F.avg, "_lo": F.min, "_hi": F.max, "_n": F.count, "_s": F.stddev_samp}
     base = base.withColumns({f"{n}{i}": f(f"_v{i}").over(w) for i in range(len(values)) for n, f in own.items()})
     entries = [
