@@ -117,3 +117,19 @@ def test_epoch_statistics_unfold_in_as_many_tasks_as_a_shuffle_has(spark):
     df = spark.range(50).selectExpr("id % 2 AS record", "id * 700000 AS us", "double(id * 7 % 11) AS v")
     out = features.epoch_stats_of(df, ["v"], interval=10, diff_seconds=[10])
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_of_a_dataset_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i)
+
+    feats = spark.range(60).select(
+        F.lit("a").alias("record"), F.lit("s").alias("signal"), F.col("id").alias("t"), F.lit(0).alias("feature"),
+        value.asNondeterministic()("id").alias("value"),
+    )
+    data = spec.WindowedDataset(feats, None, ["x"], 30, 1.0, 30, 0.5)
+    assert data.signals().where("value > 0").count() > 60 and seen.value == 60

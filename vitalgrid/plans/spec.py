@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -140,14 +141,19 @@ class WindowedDataset:
     use_mask: bool = True
     spec: dict[str, dict] = field(default_factory=dict)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The features, written once: extents and windows of every signal read them several times."""
+        return stage(self.features)
+
     def windows(self) -> DataFrame:
-        extents = features.record_extent(self.features, self.fs)
+        extents = features.record_extent(self.stored, self.fs)
         return wn.window_index(extents, self.window, self.overlap)
 
     def signals(self, windows: DataFrame | None = None, train_seed: int | None = None) -> DataFrame:
         """Cells ``record, win, signal, t, bin, value``; augmented when a seed is given."""
         w = self.windows() if windows is None else windows
-        cells = wn.window_samples(self.features, w, self.window, self.fs, features=["signal", "feature"])
+        cells = wn.window_samples(self.stored, w, self.window, self.fs, features=["signal", "feature"])
         cells = cells.select("record", "win", "signal", F.col("pos").alias("t"), F.col("feature").alias("bin"), "value")
         if not self.spec:
             return cells
