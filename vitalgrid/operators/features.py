@@ -143,6 +143,22 @@ def user_feature(
     return epoch_map(df, lay.keys, lay.t, lay.value, window, ext, fun, outputs)
 
 
+def mean_crossings(x: np.ndarray) -> list[float]:
+    """Steps of an epoch that change side of its mean; NaN where it has no step between two samples.
+
+    Rounding decides the side of a sample that equals the mean. The mean is summed in time order, as SQL's ``avg``
+    does (``np.mean`` sums eight strands), and a step starts at its end less the difference. Missing samples (NaN)
+    are left out, and so are the steps that touch them.
+    """
+    step = np.diff(x)
+    there = ~np.isnan(step)
+    if not there.any():
+        return [np.nan]
+    mean = np.nancumsum(x)[-1] / np.count_nonzero(~np.isnan(x))
+    now = x[1:][there]
+    return [np.count_nonzero(np.sign(now - mean) != np.sign((now - step[there]) - mean))]
+
+
 class _Epochs:
     """Statistics of the rows of a matrix of epochs; missing samples (NaN) are left out where there are any."""
 

@@ -306,6 +306,5 @@ def _(v):
        "SELECT record, epoch, count(*) FILTER (WHERE sign(x - m) <> sign(px - m)) AS crossings FROM (SELECT *, x - d1 AS px, avg(x) OVER (PARTITION BY record, epoch) AS m FROM ep) WHERE d1 IS NOT NULL GROUP BY 1, 2",
        epochs(W, 0))
 def _(v):
-    import numpy as np
-
-    return ag.user_feature(v.sig, lambda x: [(np.diff(np.sign(x - x.mean())) != 0).sum()], W, 0, ["crossings"])
+    # Like the SQL, no row for an epoch without a step.
+    return ag.user_feature(v.sig, ag.mean_crossings, W, 0, ["crossings"]).dropna(subset=["crossings"])
